@@ -1 +1 @@
-
+"""Batch only: the corpora are trees and tables at rest, so there is no streaming operator to offer."""
