@@ -9,8 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("path").orderBy("n")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order():
+    """Lines of a path in order."""
+    return Window.partitionBy("path").orderBy("n")
+
+
+def so_far():
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
 
 #: Edit kinds of a mixed run in their cycle, and the reason that each kind gives.
 MIXED_CYCLE = ("content", "eol", "whitespace", "encoding", "binary", "metadata")
@@ -79,7 +86,7 @@ def selected(lines: DataFrame, density: float, seed: int) -> DataFrame:
 
 def runs(chosen: DataFrame) -> DataFrame:
     """(path, start, lines): maximal runs of consecutive n of rows (path, n)."""
-    grouped = chosen.withColumn("g", F.col("n") - F.row_number().over(IN_ORDER))
+    grouped = chosen.withColumn("g", F.col("n") - F.row_number().over(in_order()))
     return grouped.groupBy("path", "g").agg(F.min("n").cast("long").alias("start"), F.count("*").alias("lines")).drop("g")
 
 
@@ -90,15 +97,15 @@ def replace_hunks(lines: DataFrame) -> DataFrame:
 
 def insert_hunks(lines: DataFrame, block: int = 2) -> DataFrame:
     """Hunks of block lines put before each selected line: old_start is the number of lines before it."""
-    before = F.sum(F.col("sel").cast("long")).over(SO_FAR) - F.col("sel").cast("long")
+    before = F.sum(F.col("sel").cast("long")).over(so_far()) - F.col("sel").cast("long")
     placed = lines.withColumn("before", before).where("sel")
     return placed.select("path", F.lit("insert").alias("op"), (F.col("n") - 1).cast("long").alias("old_start"), F.lit(0).cast("long").alias("old_lines"), (F.col("n") + block * F.col("before")).cast("long").alias("new_start"), F.lit(block).cast("long").alias("new_lines"))
 
 
 def delete_hunks(lines: DataFrame) -> DataFrame:
     """Hunks of selected lines taken away, runs as one: new_start is the next line's new place."""
-    kept = F.sum((~F.col("sel")).cast("long")).over(SO_FAR)
-    gone = lines.withColumn("kept", kept).where("sel").withColumn("g", F.col("n") - F.row_number().over(IN_ORDER))
+    kept = F.sum((~F.col("sel")).cast("long")).over(so_far())
+    gone = lines.withColumn("kept", kept).where("sel").withColumn("g", F.col("n") - F.row_number().over(in_order()))
     return gone.groupBy("path", "g").agg(F.min("n").cast("long").alias("old_start"), F.count("*").alias("old_lines"), (F.min("kept") + 1).alias("new_start")).select("path", F.lit("delete").alias("op"), "old_start", "old_lines", "new_start", F.lit(0).cast("long").alias("new_lines"))
 
 
@@ -115,7 +122,7 @@ def inserted(lines: DataFrame, block: int = 2) -> DataFrame:
 
 
 def deleted(lines: DataFrame) -> DataFrame:
-    return lines.where("NOT sel").select("path", F.row_number().over(IN_ORDER).alias("n"), "content", "term")
+    return lines.where("NOT sel").select("path", F.row_number().over(in_order()).alias("n"), "content", "term")
 
 
 def eol_flipped(lines: DataFrame) -> DataFrame:
@@ -246,7 +253,7 @@ def side_coordinates(lines: DataFrame, side: str, anchor: str | None = None) ->
     is column {side}: null (kept), keep, replace or delete; {side}_ins lines come after the line."""
     length = F.when(F.col(side).eqNullSafe("delete"), 0).otherwise(1)
     added = F.coalesce(F.col(f"{side}_ins"), F.lit(0)) if anchor else F.lit(0)
-    before = F.sum(length + added).over(SO_FAR) - length - added
+    before = F.sum(length + added).over(so_far()) - length - added
     return lines.withColumn(f"{side}_len", length.cast("long")).withColumn(f"{side}_start", (before + 1).cast("long"))
 
 
@@ -258,7 +265,7 @@ def three_way(lines: DataFrame) -> DataFrame:
     with_ins = "v1_ins" in lines.columns
     placed = side_coordinates(side_coordinates(lines, "v1", "ins" if with_ins else None), "v2", "ins" if with_ins else None)
     acts = lambda s: F.col(s).isin("replace", "delete")
-    touched = placed.where(F.coalesce(acts("v1"), F.lit(False)) | F.coalesce(acts("v2"), F.lit(False))).withColumn("g", F.col("n") - F.row_number().over(IN_ORDER))
+    touched = placed.where(F.coalesce(acts("v1"), F.lit(False)) | F.coalesce(acts("v2"), F.lit(False))).withColumn("g", F.col("n") - F.row_number().over(in_order()))
     text = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{s}_len") > 0, F.struct("n", F.col(f"{s}_text").alias("t"))))), lambda x: x["t"]), "\n")
     regions = touched.groupBy("path", "g").agg(
         F.min("n").cast("long").alias("base_start"),
