@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import check_queries, graph_queries, profile_queries  # noqa: F401  (they register their queries)
+from . import check_queries, generate_queries, graph_queries, profile_queries  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
