@@ -215,3 +215,29 @@ def profile(files: DataFrame, sample: int = 50, least: int = 5, posture: str = "
     if exact:
         out["content"] = content_means(stats, "ext", "band").join(kept, ["ext", "band"])
     return out
+
+
+def closure_summary(closures: DataFrame) -> DataFrame:
+    """One row over closures (unit, files, bytes): units, and p50, p95 and the largest of files and bytes, by index
+    min(n - 1, floor(q * n)). Values are counted first, so the window sees one row per distinct value."""
+    tall = closures.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("v")) for c in ("files", "bytes")])).alias("x")).select("x.*")
+    counted = tall.groupBy("what", "v").agg(F.count("*").alias("c"))
+    placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("what").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy("what")))
+    at = lambda what, num, den: F.min(F.when((F.col("what") == what) & (F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * num / den))), F.col("v")))
+    each = [x for c in ("files", "bytes") for x in (at(c, 1, 2).alias(f"{c}_p50"), at(c, 19, 20).alias(f"{c}_p95"), F.max(F.when(F.col("what") == c, F.col("v"))).alias(f"{c}_max"))]
+    return placed.agg(F.max("n").alias("units"), *each)
+
+
+def carve_bounds(defines: DataFrame, classes: DataFrame, bytes_before: int) -> DataFrame:
+    """One row: how many define lines (name, length, terminator) are dropped at least and at most, and the bytes left, when
+    names (name, cls) that are drop must go and those that are not keep may. A dropped line keeps its terminator at most."""
+    d = defines.join(classes, "name", "left").withColumn("cls", F.coalesce("cls", F.lit("open")))
+    drop, may = F.col("cls") == "drop", F.col("cls") != "keep"
+    s = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    return d.agg(F.count("*").alias("defines"), s(drop, F.lit(1)).alias("dropped_min"), s(may, F.lit(1)).alias("dropped_max"), (F.lit(bytes_before) - s(may, F.col("length"))).alias("bytes_after_min"), (F.lit(bytes_before) - s(drop, F.col("length") - F.col("terminator"))).alias("bytes_after_max"))
+
+
+def level_recounts(names: DataFrame, pattern: str) -> DataFrame:
+    """(level, n, first, last) of names (name) that match pattern, whose group 1 is the level."""
+    level = F.regexp_extract("name", pattern, 1).try_cast("int")
+    return names.withColumn("level", level).where("level IS NOT NULL").groupBy("level").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))

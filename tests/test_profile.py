@@ -70,3 +70,13 @@ def test_text_and_binary():
 
     made = made_binary(b"hello world", np.array([0]))
     assert made[4] == 0 and made[0] == ord("h") ^ 0x5A and looks_binary(made)
+
+
+def test_closure_and_carve_summaries(spark):
+    c = spark.createDataFrame([("u1", 1, 10), ("u2", 2, 20), ("u3", 3, 30), ("u4", 10, 100)], "unit string, files long, bytes long")
+    assert tuple(P.closure_summary(c).first()) == (4, 3, 10, 10, 30, 100, 100)
+    d = spark.createDataFrame([("a", 10, 1), ("b", 20, 1), ("c", 30, 2)], "name string, length long, terminator long")
+    k = spark.createDataFrame([("a", "keep"), ("b", "drop"), ("c", "open")], "name string, cls string")
+    assert tuple(P.carve_bounds(d, k, 100).first()) == (3, 1, 2, 50, 81)
+    n = spark.createDataFrame([("L1_a",), ("L1_b",), ("L2_a",), ("x",)], "name string")
+    assert sorted(tuple(r) for r in P.level_recounts(n, r"^L(\d+)_").collect()) == [(1, 2, "L1_a", "L1_b"), (2, 1, "L2_a", "L2_a")]
