@@ -139,7 +139,8 @@ _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
 ODD = re.compile("[" + "".join(re.escape(c) for c in sorted({*LOOKALIKES, *INVISIBLE})) + "]")
 SPELLED = re.compile(rf"(?ai)\b(?:plus\W+)?{_NUMBER}(?:[\s,.-]+{_NUMBER}){{6,}}\b")
 SIGNED = re.compile(r"(?ai)[(\[{<]\s?(?:at|dot)\s?[)\]}>]")
-SPOKEN = re.compile(r"(?ai)\b([a-z0-9._%+-]+)(\s+at\s+)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b")
+SPOKEN = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++(?:\s+dot\s+[a-z0-9_%+-]++){0,3})(\s+at\s+|\s?@\s?)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b")
+DOT = re.compile(r"(?ai)\sdot\s")
 SPOKEN_DOT = re.compile(r"(?ai)\s+dot\s+")
 
 
@@ -147,8 +148,10 @@ def _spoken(tape: Tape) -> Tape:
     """Bare "x at y dot z": at and dot become signs only where they stand together in this form."""
     text, cut = "".join(tape.chars), []
     for m in SPOKEN.finditer(text):
-        cut.append((m.start(2), m.end(2), "@"))
-        cut += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[3])]
+        for k in (1, 3):
+            cut += [(m.start(k) + d.start(), m.start(k) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[k])]
+            if k == 1:
+                cut.append((m.start(2), m.end(2), "@"))
     return _spliced(tape, cut)
 
 
@@ -177,7 +180,7 @@ def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of the normalised text, in source code points, that touch no base span of their kind."""
     odd = not text.isascii() and ODD.search(text)
-    if not (odd or SIGNED.search(text) or " dot " in text or SPELLED.search(text)):
+    if not (odd or SIGNED.search(text) or DOT.search(text) or SPELLED.search(text)):
         return []
     tape = Tape.of(text)
     for stage in (FOLD.run, BRACKETED.run, _spoken, _spelled):

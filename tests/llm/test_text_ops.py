@@ -145,6 +145,10 @@ def test_pii_base_on_noise():
         ("mail joe (at) site (dot) org now", "email", "joe (at) site (dot) org"),
         ("mail joe[at]site[dot]org now", "email", "joe[at]site[dot]org"),
         ("write to joe at site dot co dot uk today", "email", "joe at site dot co dot uk"),
+        ("write to joe dot doe AT site DOT org today", "email", "joe dot doe AT site DOT org"),
+        ("write to joe@site dot org today", "email", "joe@site dot org"),
+        ("dial +49 one five one two three four five six seven now", "phone", "+49 one five one two three four five six seven"),
+        ("card four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
         ("jое@site.org is Cyrillic", "email", "jое@site.org"),
         ("joe＠site．org", "email", "joe＠site．org"),
         ("jo​e@site.org", "email", None),
