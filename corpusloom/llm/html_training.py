@@ -52,6 +52,8 @@ class Maker:
         return " ".join(self.word() for _ in range(self.r.randint(low, high)))
 
     def sentence(self) -> str:
+        if self.r.random() < 0.02:
+            return " ".join([self.word()] * self.r.randint(2, 12)) + self.r.choice((".", ""))
         return self.words(1, 18).capitalize() + self.r.choice((".", ".", ".", "!", "?"))
 
     def prose(self, most: int = 8) -> str:
@@ -229,7 +231,7 @@ def gradients(p: dict, batch: list, hidden: int, rng) -> tuple[float, int, int,
     lengths = np.array([len(x[3]) for x in batch])
     paths, words = [b for x in batch for b in x[0]], [b for x in batch for b in x[1]]
     # some blocks lose their path or words, so that the context has to tell
-    drop_path, drop_word = rng.random(len(paths)) < 0.03, rng.random(len(words)) < 0.3
+    drop_path, drop_word = rng.random(len(paths)) < 0.03, rng.random(len(words)) < 0.5
     path_in = np.tanh(bag_means(p["path"], paths)) * ~drop_path[:, None]
     word_in = np.tanh(bag_means(p["word"], words)) * ~drop_word[:, None]
     flat = np.concatenate([path_in, word_in, np.concatenate([x[2] for x in batch])], 1).astype(np.float32)
