@@ -190,7 +190,8 @@ def _index(sent, least: int) -> Block:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = contaminated(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ Repeated rows of a document are judged row by row. Extra columns are ignored by
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -110,19 +111,20 @@ def cutoffs(featured: DataFrame, labels: DataFrame, rule: RiskControl) -> DataFr
     n_metrics = len(rule.grids)
     verdicts = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     held = featured.where(~F.col("base_failed")).join(verdicts, "doc_id").select("lang_key", "good", *[c.alias(m) for m, c in metrics(featured).items()])
-    counts = held.groupBy("lang_key").agg(
+    counts = written(
+        held.groupBy("lang_key").agg(
         F.sum((F.col("good") == 1).cast("long")).alias("n"),
         *[F.sum(((F.col(m) > c) & (F.col("good") == g)).cast("long")).alias(f"{m}_{c}_{g}") for m, grid in rule.grids.items() for c in grid for g in (0, 1)],
+        ),
+        "holdout",
     )
+    threshold = math.log(rule.delta / (max(1, counts.count()) * n_metrics))
     tall = counts.select(
         "lang_key",
         "n",
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(r).alias("rank"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{m}_{c}_1").alias("k"), F.col(f"{m}_{c}_0").alias("caught")) for m, grid in rule.grids.items() for r, c in enumerate(grid)])).alias("x"),
     ).select("lang_key", "n", "x.*")
-    strata = tall.select(F.count_distinct("lang_key").alias("strata"))
-    tested = tall.crossJoin(F.broadcast(strata)).withColumn(
-        "passed", (F.col("n") > 0) & (log_binomial_tail(F.col("k"), F.col("n"), rule.alpha / n_metrics) <= F.log(F.lit(rule.delta) / (F.col("strata") * n_metrics)))
-    )
+    tested = tall.withColumn("passed", (F.col("n") > 0) & (log_binomial_tail(F.col("k"), F.col("n"), rule.alpha / n_metrics) <= threshold))
     along = Window.partitionBy("lang_key", "metric").orderBy("rank")
     certified = tested.withColumn("so_far", F.min(F.col("passed").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).where("so_far = 1")
     best = certified.withColumn("most", F.max("caught").over(Window.partitionBy("lang_key", "metric"))).where((F.col("caught") > 0) & (F.col("caught") >= rule.enough * F.col("most")))
@@ -143,10 +145,10 @@ def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Rows with a null doc_id are dropped; where rows share a
-    doc_id, all of them go if any is rejected."""
-    verdict = judge(docs, labels, rule).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("_kept").select("doc_id")
-    return docs.join(verdict, "doc_id", "left_semi")
+    """The rows of docs that are kept, with all their columns. Where rows share a doc_id (or have none), all of them go if
+    any is rejected."""
+    gone = judge(docs, labels, rule).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
