@@ -55,9 +55,31 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Applies fn to column lists, Arrow batch by Arrow batch. Strings arrive as str, binary as bytes. fn gets and
-    gives whole columns, so that it can hold compiled patterns and tables for a batch."""
+def slices(batch, most_bytes: int):
+    """Parts of an Arrow batch of at most so many bytes each, or of one row. Bounds what a Python worker holds, also
+    where a batch holds thousands of long texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if batch.nbytes <= most_bytes or batch.num_rows < 2:
+        yield batch
+        return
+    total = None
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size = pc.fill_null(pc.binary_length(column), 0)
+            total = size if total is None else pc.add(total, size)
+    ends = pc.cumulative_sum(pc.add(total.cast(pa.int64()), 16)).to_numpy() if total is not None else []
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(ends.searchsorted(done + most_bytes, "right"))) if total is not None else batch.num_rows
+        yield batch.slice(at, to - at)
+        at, done = to, ends[to - 1] if total is not None else 0
+
+
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
+    """Applies fn to column lists, part by part of each Arrow batch. Strings arrive as str, binary as bytes. fn gets and
+    gives whole columns, so that it can hold compiled patterns and tables for a part."""
     from pyspark.sql.types import StructType
 
     kinds = StructType.fromDDL(schema)
@@ -68,8 +90,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
 
         out = to_arrow_schema(kinds)
         for batch in batches:
-            if batch.num_rows:
-                made = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            for part in slices(batch, most_bytes) if batch.num_rows else ():
+                made = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, kinds)
