@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,15 +102,18 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
+    return _zstd()[0].compress(b"".join([np.int64(len(columns[0])).tobytes(), *[np.ascontiguousarray(c).tobytes() for c in columns]]))
+
+
+@lru_cache(maxsize=1)
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(columns[0])).tobytes(), *[np.ascontiguousarray(c).tobytes() for c in columns]]))
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = _zstd()[1].decompress(blob)
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
     for kind in kinds:
         k = np.dtype(kind)
@@ -184,9 +188,7 @@ def _anchor_rows(batch: dict[str, list], buckets: int) -> dict[str, list]:
 
 
 def _cut_at_magic(blob: bytes) -> tuple[bytes, bytes]:
-    import zstandard
-
-    size = zstandard.ZstdDecompressor().decompressobj()
+    size = _zstd()[1].decompressobj()
     size.decompress(blob)
     rest = size.unused_data
     return blob[: len(blob) - len(rest)], rest[1:]
@@ -239,8 +241,7 @@ def contexts(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(text)
     padded = np.zeros(n + BEFORE + LENGTH, np.uint8)
     padded[BEFORE : BEFORE + n] = text
-    view = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + LENGTH)
-    return view[places], np.minimum(places, BEFORE), np.minimum(n - places, LENGTH)
+    return padded[places[:, None] + np.arange(BEFORE + LENGTH)[None, :]], np.minimum(places, BEFORE), np.minimum(n - places, LENGTH)
 
 
 def _all_splits(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -363,14 +364,14 @@ def _repeat_rows(batches, schema_names):
 
 def covered(n: int, blobs: list[bytes]) -> np.ndarray:
     """Which of a text's n bytes its repeated strings cover."""
-    marks = np.zeros(n + 1, np.int32)
-    for blob in blobs:
-        place, masks = _unpacked(blob, "i4", "u4")
-        for o in range(SPLITS):
-            starts = place[(masks >> np.uint32(o)) & np.uint32(1) == 1] - o
-            np.add.at(marks, starts, 1)
-            np.add.at(marks, starts + LENGTH, -1)
-    return np.cumsum(marks[:-1]) > 0
+    if not blobs:
+        return np.zeros(n, bool)
+    parts = [_unpacked(blob, "i4", "u4") for blob in blobs]
+    place, masks = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at, o = np.nonzero((masks[:, None] >> np.arange(SPLITS, dtype=np.uint32)[None, :]) & np.uint32(1))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(place[at] - o, minlength=n))))
+    before = np.concatenate((np.zeros(LENGTH, np.int64), starts))[: n + 1]
+    return starts[1:] > before[1:]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
