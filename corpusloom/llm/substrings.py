@@ -91,7 +91,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide[BEFORE : BEFORE + len(least)] = least
         found = np.flatnonzero(_sliding(wide, SPLITS, np.maximum) == h)
         places.append(found + at)
-        hashes.append(h[found])
+        hashes.append(_mixed(h[found] * _BASE))  # least hashes are small; mixed again they fill all buckets alike
     if not places:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     where, h = np.concatenate(places), np.concatenate(hashes)
@@ -304,7 +304,7 @@ def gram_hashes_of(ctx: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ctx), np.uint64)
     for k in range(GRAM):
         out = out * _BASE + one[:, k]
-    return _mixed(out)
+    return _mixed(_mixed(out) * _BASE)
 
 
 def repeated_splits(ctx: np.ndarray, before: np.ndarray, after: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
