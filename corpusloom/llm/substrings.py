@@ -17,7 +17,8 @@ suffixes of a corpus would shuffle many times its size, so candidates are found
 5. Removal. Each document gets its repeated starts and drops the bytes they cover.
 
 Everything is decided on bytes; hashes only choose what meets. Buckets grow in number with the session's shuffle
-partitions, hence with the data. Shuffled and written are packed anchors, contexts of shared anchors and, once for each of
+partitions, hence with the data. What a bucket finds goes back in one row per group of documents, and is put together by
+document there; groups grow in number like buckets. Shuffled and written are packed anchors, contexts of shared anchors and, once for each of
 the two joins by document, the texts. Intermediate tables lie in the shared folder.
 
 Defined edge cases: a null text is empty; a text shorter than LENGTH keeps all its bytes. Matches never cross documents.
@@ -194,19 +195,79 @@ def _cut_at_magic(blob: bytes) -> tuple[bytes, bytes]:
     return blob[: len(blob) - len(rest)], rest[1:]
 
 
-def _shared_rows(batches, schema_names):
-    """Of the anchors of one bucket, those that two documents hold, by document; documents' own rows pass through."""
+def _group_rows(docs: np.ndarray, who: list[tuple[int, int]], groups: int, *columns: np.ndarray):
+    """(document group, packed entries): one row for each group of documents, whatever the number of documents."""
+    if not len(docs):
+        return
+    ids, text_hashes = (np.array(x, np.int64) for x in zip(*who, strict=True))
+    group = text_hashes[docs] % groups
+    by = np.argsort(group, kind="stable")
+    edge = np.searchsorted(group[by], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(edge)):
+        part = by[edge[g] : edge[g + 1]]
+        used, local = np.unique(docs[part], return_inverse=True)
+        yield int(g), _packed(ids[used], text_hashes[used]) + b"|" + _packed(local.astype(np.int32), *[c[part] for c in columns])
+
+
+def _merged_rows(batches, kinds: tuple[str, ...]):
+    """Rows of _group_rows of one document group, from all buckets, as one row for each document."""
+    import pyarrow as pa
+
+    ids, text_hashes, docs, columns, seen = [], [], [], [[] for _ in kinds], 0
+    for batch in batches:
+        for packed in batch.column("packed").to_pylist():
+            head, entries = _cut_at_magic(packed)
+            i, t = _unpacked(head, "i8", "i8")
+            local, *values = _unpacked(entries, "i4", *kinds)
+            ids.append(i)
+            text_hashes.append(t)
+            docs.append(local.astype(np.int64) + seen)
+            seen += len(i)
+            for column, v in zip(columns, values, strict=True):
+                column.append(v)
+    if not ids:
+        return
+    i, t = np.concatenate(ids), np.concatenate(text_hashes)
+    by = np.lexsort((t, i))
+    new = np.concatenate(([True], (i[by][1:] != i[by][:-1]) | (t[by][1:] != t[by][:-1])))
+    number = np.empty(seen, np.int64)
+    number[by] = np.cumsum(new) - 1
+    who = list(zip(i[by][new].tolist(), t[by][new].tolist(), strict=True))
+    out = list(_rows_of_docs(number[np.concatenate(docs)], who, *[np.concatenate(c) for c in columns]))
+    for at in range(0, len(out), 2_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out[at : at + 2_000], strict=True)], names=["doc_id", "text_hash", "packed"])
+
+
+def _passed(rows: list[tuple[int, int, bytes]], who: list[tuple[int, int]], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """Entries (document number, columns) of documents' own rows; the documents are added to who."""
+    docs, columns = [np.empty(0, np.int64)], [[np.empty(0, k)] for k in kinds]
+    for doc_id, text_hash, packed in rows:
+        values = _unpacked(packed, *kinds)
+        docs.append(np.full(len(values[0]), len(who), np.int64))
+        who.append((doc_id, text_hash))
+        for column, v in zip(columns, values, strict=True):
+            column.append(v)
+    return [np.concatenate(docs), *[np.concatenate(c) for c in columns]]
+
+
+def _grouped_batch(rows):
     import pyarrow as pa
 
+    for row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names=["bucket", "packed"])
+
+
+def _shared_rows(batches, groups: int):
+    """Of the anchors of one bucket, those that two documents hold, and those that documents' own rows tell of, by group of
+    documents."""
     who: list[tuple[int, int]] = []
+    own: list[tuple[int, int, bytes]] = []
     hashes, docs, places = [], [], []
     lone = 0
     for batch in batches:
-        rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "packed")], strict=True)
-        passed = []
-        for doc_id, text_hash, packed in rows:
+        for doc_id, text_hash, packed in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "packed")], strict=True):
             if doc_id is not None:
-                passed.append((doc_id, text_hash, packed))
+                own.append((doc_id, text_hash, packed))
                 continue
             ids, entries = _cut_at_magic(packed)
             doc_ids, text_hashes = _unpacked(ids, "i8", "i8")
@@ -218,21 +279,18 @@ def _shared_rows(batches, schema_names):
             hashes.append(np.cumsum(steps, dtype=np.uint64))
             docs.append(number)
             places.append(place)
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*passed, strict=True)], names=schema_names)
-    if not hashes:
-        return
-    h, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-    by = np.lexsort((doc, h))
-    h, doc, place = h[by], doc[by], place[by]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    tails = np.concatenate((heads[1:], [len(h)])) - 1
-    shared = ((doc[heads] != doc[tails]) | (doc[heads] < 0))[group] & (doc >= 0)
-    out = list(_rows_of_docs(doc[shared], who, place[shared]))
-    for at in range(0, len(out), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out[at : at + 20_000], strict=True)], names=schema_names)
+    doc, place = np.empty(0, np.int64), np.empty(0, np.int32)
+    if hashes:
+        h, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+        by = np.lexsort((doc, h))
+        h, doc, place = h[by], doc[by], place[by]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        heads = np.flatnonzero(new)
+        tails = np.concatenate((heads[1:], [len(h)])) - 1
+        shared = ((doc[heads] != doc[tails]) | (doc[heads] < 0))[np.cumsum(new) - 1] & (doc >= 0)
+        doc, place = doc[shared], place[shared]
+    more, at = _passed(own, who, ("i4",))
+    yield from _grouped_batch(_group_rows(np.concatenate((doc, more)), who, groups, np.concatenate((place, at))))
 
 
 def contexts(text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,34 +390,30 @@ def repeated_splits(ctx: np.ndarray, before: np.ndarray, after: np.ndarray, doc_
     return masks
 
 
-def _repeat_rows(batches, schema_names):
-    """Of the contexts of one bucket, the repeats by document; documents' own rows pass through."""
-    import pyarrow as pa
-
+def _repeat_rows(batches, groups: int):
+    """Of the contexts of one bucket, the repeats, and those that documents' own rows tell of, by group of documents."""
     who: list[tuple[int, int]] = []
+    own: list[tuple[int, int, bytes]] = []
     parts = []
     for batch in batches:
-        passed = []
         for doc_id, text_hash, packed in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "packed")], strict=True):
             if doc_id is not None:
-                passed.append((doc_id, text_hash, packed))
+                own.append((doc_id, text_hash, packed))
                 continue
             ids, entries = _cut_at_magic(packed)
             doc_ids, text_hashes = _unpacked(ids, "i8", "i8")
             local, place, before, after, ctx = _unpacked(entries, "i4", "i4", "u1", "u1", f"V{BEFORE + LENGTH}")
             parts.append((local.astype(np.int64) + len(who), place, before, after, ctx.view(np.uint8).reshape(-1, BEFORE + LENGTH)))
             who += zip(doc_ids.tolist(), text_hashes.tolist(), strict=True)
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*passed, strict=True)], names=schema_names)
-    if not parts:
-        return
-    doc, place, before, after, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    masks = repeated_splits(ctx, before, after, np.array([w[0] for w in who], np.int64)[doc])
-    hit = np.flatnonzero(masks)
-    out = list(_rows_of_docs(doc[hit], who, place[hit], masks[hit]))
-    for at in range(0, len(out), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out[at : at + 20_000], strict=True)], names=schema_names)
+    doc, place, masks = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+    if parts:
+        doc, place, before, after, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        masks = repeated_splits(ctx, before, after, np.array([w[0] for w in who], np.int64)[doc])
+        hit = np.flatnonzero(masks)
+        doc, place, masks = doc[hit], place[hit], masks[hit]
+    more, at, own_masks = _passed(own, who, ("i4", "u4"))
+    yield from _grouped_batch(_group_rows(np.concatenate((doc, more)), who, groups, np.concatenate((place, at)), np.concatenate((masks, own_masks))))
 
 
 def covered(n: int, blobs: list[bytes]) -> np.ndarray:
@@ -400,13 +454,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     usable = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     transit = f"bucket int, {WHO}, packed binary"
-    names = ["doc_id", "text_hash", "packed"]
-    found = map_rows(usable, lambda b: _anchor_rows(b, buckets), transit).repartitionById(buckets, "bucket")
-    shared = written(found.mapInArrow(lambda b: _shared_rows(b, names), f"{WHO}, packed binary"), "anchors")
-    of_doc = shared.groupBy("doc_id", "text_hash").agg(F.collect_list("packed").alias("places"))
-    around = map_rows(usable.join(of_doc, ["doc_id", "text_hash"]), lambda b: _context_rows(b, buckets), transit).repartitionById(buckets, "bucket")
-    repeats = written(around.mapInArrow(lambda b: _repeat_rows(b, names), f"{WHO}, packed binary"), "repeats")
-    of_text = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("packed").alias("repeats"))
+    grouped = "bucket int, packed binary"
+
+    def by_document(rows: DataFrame, reduce, kinds: tuple[str, ...], label: str) -> DataFrame:
+        """rows (transit) meet in their buckets; what reduce finds there meets again by group of documents."""
+        met = rows.repartitionById(buckets, "bucket").mapInArrow(lambda b: reduce(b, buckets), grouped)
+        return written(met.repartitionById(buckets, "bucket").mapInArrow(lambda b: _merged_rows(b, kinds), f"{WHO}, packed binary"), label)
+
+    shared = by_document(map_rows(usable, lambda b: _anchor_rows(b, buckets), transit), _shared_rows, ("i4",), "anchors")
+    of_doc = shared.select("doc_id", "text_hash", F.array("packed").alias("places"))
+    around = map_rows(usable.join(of_doc, ["doc_id", "text_hash"]), lambda b: _context_rows(b, buckets), transit)
+    repeats = by_document(around, _repeat_rows, ("i4", "u4"), "repeats")
+    of_text = repeats.select("doc_id", "text_hash", F.array("packed").alias("repeats"))
     joined = texts.join(of_text, ["doc_id", "text_hash"], "left").select("doc_id", "text", "repeats")
     return map_rows(joined, lambda b: _removed_rows(b, with_text), RESULT + (", kept binary" if with_text else ""))
 
