@@ -8,10 +8,10 @@
    DISTANCE = 2 * CHUNKS - 1 positions have a chunk with at most one error. Every chunk is indexed under each of its
    one-error masks (the chunk without one position, which an exact match shares as well), so all pairs within DISTANCE
    share a key. A key held by two classes is a pair; among three or more, signatures are compared.
-4. Within such a group no all-pairs list is made: leaders are chosen near the group's consensus, members within DISTANCE
-   are paired with their leader, and members of different leaders with each other where they are within DISTANCE. Pairs
-   of members of one leader are left to transitivity; should a member's link to its leader not hold, a second round
-   compares it with all others of its groups that are not yet in its component.
+4. Within such a group no all-pairs list is made, but a shortest spanning forest over distances of at most DISTANCE.
+   Confirmed pairs make components. Members of one group in different components are then compared by odd sketches,
+   whose difference is a lower bound of how the sets differ, so that no linked pair is ruled out; what is left is tested,
+   most alike first, round by round, until no untested pair remains. Most of what is tested then is linked.
 5. Pairs are confirmed on full sets: 100 * |A & B| >= 85 * |A | B|. Links become components by alternating large-star
    and small-star steps.
 
@@ -19,7 +19,8 @@ At similarity 0.85 the distance of a pair is binomial with mean 9 of 60 position
 probability about 4e-6, and less the more similar the pair.
 
 Scale: keys are counted with map-side combination, so a key held by a third of all classes costs one row per task; only
-keys with three or more classes carry signatures (120 bytes) to a second shuffle. Texts travel for candidate documents
+keys with three or more classes carry signatures (120 bytes) to a second shuffle, and only groups that are still split
+carry sketches (up to a byte per shingle) to a third. Texts travel for candidate documents
 only. All joins are equi-joins that adaptive execution can split when skewed. Intermediate tables lie in the shared
 folder, so nothing hangs on one executor.
 
@@ -42,6 +43,12 @@ WORDS = 5
 SHARE = 85
 CHUNKS, CHUNK = 12, 5
 POSITIONS, DISTANCE = CHUNKS * CHUNK, 2 * CHUNKS - 1
+#: Members of a group for which a forest is found by all distances; larger groups go by leaders first.
+FOREST = 4096
+#: Pairs of a member and another component that the first round across components tests; later rounds test 8 times as many.
+FIRST_ACROSS = 64
+#: Stands among a round's pairs if the round left some out.
+MORE = (-(2**63), -(2**63))
 #: Document ids that may be sent to all tasks to pick candidates' texts; beyond, the texts are joined by a shuffle.
 MANY = 1_000_000
 
@@ -138,49 +145,100 @@ def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (many != one).sum(1)
 
 
-def leader_pairs(signatures: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a group: members with their leaders, and members of different leaders, all within DISTANCE."""
+def forest_pairs(signatures: np.ndarray) -> list[tuple[int, int]]:
+    """A shortest spanning forest of a group over distances of at most DISTANCE: pairs that connect all that such
+    distances connect, the nearest first. Beyond FOREST members, pairs with leaders near the middle of what is left."""
     n, out = len(signatures), []
-    attached: list[set[int]] = [set() for _ in range(n)]
-    members: list[np.ndarray] = []
-    open_ = np.ones(n, bool)
-    while open_.any():
-        rest = np.flatnonzero(open_)
-        if len(rest) > 2:
-            ordered = np.sort(signatures[rest], 0)
-            middle = ordered[len(rest) // 2]
-            leader = int(rest[np.argmin(distances(middle, signatures[rest]))])
-        else:
-            leader = int(rest[0])
-        near = np.flatnonzero(distances(signatures[leader], signatures) <= DISTANCE)
-        others = near[near != leader]
-        out += [(leader, int(x)) for x in others]
-        for x in near:
-            attached[x].add(leader)
-        if len(others):
-            members.append(others)
-        open_[near] = False
-        open_[leader] = False
-    for i, a in enumerate(members):
-        for b in members[i + 1 :]:
-            for x in a:
-                for y in b[distances(signatures[x], signatures[b]) <= DISTANCE]:
-                    if x != y and not attached[x] & attached[y]:
-                        out.append((int(x), int(y)))
+    if n > FOREST:
+        left = np.arange(n)
+        while len(left) > 1:
+            part = signatures[left]
+            middle = np.sort(part, 0)[len(left) // 2]
+            leader = left[np.argmin(distances(middle, part))]
+            near = distances(signatures[leader], part) <= DISTANCE
+            out += [(int(leader), int(x)) for x in left[near] if x != leader]
+            left = left[~near & (left != leader)]
+        return out
+    # ties go by the members' order, which is that of their ids: groups that share members then share most of their edges
+    number = np.arange(n)
+    best = np.full(n, (POSITIONS + 1) << 40)
+    parent = np.full(n, -1)
+    outside = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        outside[at] = False
+        d = (distances(signatures[at], signatures) << 40) | (np.minimum(number, at) << 20) | np.maximum(number, at)
+        closer = outside & (d < best)
+        best[closer], parent[closer] = d[closer], at
+        rest = np.flatnonzero(outside)
+        at = int(rest[np.argmin(best[rest])])
+        if best[at] >> 40 <= DISTANCE:
+            out.append((int(parent[at]), at))
     return out
 
 
-def orphan_pairs(signatures: np.ndarray, orphan: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of an orphan and a member of another component, within DISTANCE."""
-    out = []
-    for x in np.flatnonzero(orphan):
-        near = (distances(signatures[x], signatures) <= DISTANCE) & (component != component[x])
-        out += [(int(x), int(y)) for y in np.flatnonzero(near)]
-    return out
+def own_pairs(key: int, signatures: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of a group's pairs, those whose least shared key is the group's. A pair that is left out is joined in the group of
+    its least key by a path of pairs that are as near, and so on down, so that together the groups still connect all."""
+    if not pairs:
+        return []
+    keys = chunk_keys(signatures).view(np.int64)
+    a, b = np.array(pairs).T
+    least = np.where(keys[a] == keys[b], keys[a], np.iinfo(np.int64).max).min(1)
+    return [p for p, x in zip(pairs, least.tolist(), strict=True) if x == key]
+
+
+def odd_sketch(found: np.ndarray) -> bytes:
+    """A bit for each of 4 to 8 times as many cells as the set has members: whether an odd number of them falls there. Two
+    sketches of one size differ in no more bits than the sets differ in members, whatever the hashes do."""
+    cells = max(64, 1 << (4 * len(found) - 1).bit_length())
+    counts = np.bincount((found & _U(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def across_pairs(sketches: list[bytes], sizes: np.ndarray, component: np.ndarray, share: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of members of different components that their sketches do not rule out, for each member and other component
+    the most alike, at most so many; and whether there were more. A pair that is linked is never ruled out: |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s)."""
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    widths = np.array([len(x) for x in sketches])
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        by_width[int(w)] = rows, np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1)
+    main = np.bincount(np.unique(component, return_inverse=True)[1]).argmax()
+    main = np.unique(component)[main]
+    out, more = [], False
+    for x in np.flatnonzero(component != main):
+        own = np.frombuffer(sketches[x], np.uint64)
+        near, gaps = [], []
+        for w in (len(sketches[x]) // 2, len(sketches[x]), 2 * len(sketches[x])):
+            if w not in by_width:
+                continue
+            rows, bits = by_width[w]
+            mine = own
+            if w > len(sketches[x]):
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            elif w < len(sketches[x]):
+                half = len(own) // 2
+                mine = own[:half] ^ own[half:]
+            gap = np.bitwise_count(bits ^ mine).sum(1, dtype=np.int64)
+            fits = ((100 + share) * gap <= (100 - share) * (sizes[rows] + sizes[x])) & (component[rows] != component[x])
+            near.append(rows[fits])
+            gaps.append(gap[fits])
+        near, gaps = np.concatenate(near), np.concatenate(gaps)
+        order = np.lexsort((near, gaps))
+        taken: dict[int, int] = {}
+        for y in near[order]:
+            c = int(component[y])
+            taken[c] = taken.get(c, 0) + 1
+            if taken[c] <= most:
+                out.append((int(x), int(y)))
+            more |= taken[c] > most
+    return out, more
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of each row; the last two are null for an empty set."""
+    """(doc_id, n_shingles, digest, signature, sketch) of each row; the last three are null for an empty set."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in batch["text"]]
@@ -189,9 +247,10 @@ def prepared(docs: DataFrame) -> DataFrame:
             "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets],
             "signature": [signature(s).tobytes() if len(s) else None for s in sets],
+            "sketch": [odd_sketch(s) if len(s) else None for s in sets],
         }
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), rows, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), rows, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary")
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -208,45 +267,50 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _grouped_pairs(rows: DataFrame, second: bool) -> DataFrame:
-    """Pairs of groups of rows (key, rep, signature[, component, orphan]), each group read as it streams by."""
+def _grouped_pairs(rows: DataFrame, share: int, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of groups: most None: a forest of rows (key, rep, signature); else pairs across components of rows (key,
+    rep, sketch, n, component), with MORE if some are left out. Groups are read as they stream by."""
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(reps, signatures, component, orphan):
-            sig = np.frombuffer(b"".join(signatures), "<u2").reshape(-1, POSITIONS)
-            found = orphan_pairs(sig, np.array(orphan), np.array(component)) if second else leader_pairs(sig)
-            return [(min(reps[a], reps[b]), max(reps[a], reps[b]), reps[b]) for a, b in found]
+        def pairs(key, reps, first, sizes=None, component=None):
+            if most is None:
+                signatures = np.frombuffer(b"".join(first), "<u2").reshape(-1, POSITIONS)
+                found = own_pairs(key, signatures, forest_pairs(signatures))
+                more = False
+            else:
+                found, more = across_pairs(first, np.array(sizes), np.array(component), share, most)
+            return [(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in found] + [MORE] * more
 
         seen: set = set()
-        key, group = None, ([], [], [], [])
+        names = ("key", "rep", "signature") if most is None else ("key", "rep", "sketch", "n", "component")
+        key, group = None, tuple([] for _ in names[1:])
 
         def flush():
-            out = []
-            for x in pairs(*group) if len(group[0]) > 1 else ():
-                if x not in seen:
-                    seen.add(x)
-                    out.append(x)
+            out = [x for x in pairs(key, *group) if x not in seen] if len(group[0]) > 1 else []
+            seen.update(out)
             if len(seen) > 500_000:
                 seen.clear()
             return out
 
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "rep", "signature", *(("component", "orphan") if second else ()))]
             out = []
-            for k, *row in zip(*columns, strict=True):
+            for k, *row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if k != key:
                     out += flush()
-                    key, group = k, ([], [], [], [])
-                for column, value in zip(group, row, strict=False):
+                    key, group = k, tuple([] for _ in names[1:])
+                for column, value in zip(group, row, strict=True):
                     column.append(value)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "member"])
+                yield batch_of(out)
         if out := flush():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "member"])
+            yield batch_of(out)
 
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long, member long")
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
@@ -282,36 +346,42 @@ def components(links: DataFrame) -> DataFrame:
         kept = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return kept.where("a <> b").distinct()
 
-    edges, before = written(links.select("a", "b"), "edges"), None
+    edges = written(links.select("a", "b"), "edges")
     while True:
         edges = written(star(star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when every node has one edge, to a node that has none
+        state = edges.select("a", F.lit(0).alias("down")).union(edges.select("b", F.lit(1))).groupBy("a").agg(F.count_if(F.col("down") == 0).alias("up"), F.max("down").alias("down"))
+        if not state.where("up > 1 or (up > 0 and down > 0)").take(1):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     made = written(prepared(docs), "signatures")
-    classes = written(made.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
+    usable = made.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), "classes")
     keyed = _keyed(classes)
     counted = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "keys")
-    crowded = counted.where("n > 2").select("key")
-    groups = written(keyed.join(crowded, "key").join(classes.select("rep", "signature"), "rep").select("key", "rep", "signature"), "groups")
-    starred = written(_grouped_pairs(groups, False).distinct(), "stars")
-    first = written(confirmed(counted.where("n = 2 and a <> b").select("a", "b").union(starred.select("a", "b")).distinct(), docs, share), "links")
-    links = first.where("linked").select("a", "b")
-    failed = starred.join(first.where(~F.col("linked")), ["a", "b"]).select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    known = components(links)
-    if failed.take(1):
-        labelled = groups.join(known, groups["rep"] == known["node"], "left").join(failed.withColumn("orphan", F.lit(True)), "rep", "left")
-        touched = labelled.where("orphan").select("key").distinct()
-        again = labelled.join(touched, "key", "left_semi").select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"), F.coalesce("orphan", F.lit(False)).alias("orphan"))
-        more = written(_grouped_pairs(again, True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "orphans")
-        second = written(confirmed(more, docs, share).where("linked").select("a", "b"), "links")
-        if second.take(1):
-            known = components(links.union(second))
+    crowded = written(keyed.join(counted.where("n > 2").select("key"), "key").select("key", "rep"), "groups")
+    forest = _grouped_pairs(crowded.join(classes.select("rep", "signature"), "rep"), share)
+    # written first: confirmed() reads its pairs several times
+    pairs = written(counted.where("n = 2 and a <> b").select("a", "b").union(forest).distinct(), "pairs")
+    tested = written(confirmed(pairs, docs, share), "tested")
+    known, most = components(tested.where("linked")), FIRST_ACROSS
+    while True:
+        labelled = written(crowded.join(known, crowded["rep"] == known["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
+        split = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
+        across = labelled.join(split, "key", "left_semi").join(classes.select("rep", "sketch", "n"), "rep").select("key", "rep", "sketch", "n", "component")
+        found = written(_grouped_pairs(across, share, most).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        new = found.where(F.col("a") != MORE[0])
+        if new.take(1):
+            more = written(confirmed(new, docs, share), "tested")
+            tested = tested.unionByName(more)
+            if more.where("linked").take(1):
+                known = components(tested.where("linked"))
+        if not found.where(F.col("a") == MORE[0]).take(1):
+            break  # every pair across the components of this round has been tested
+        most *= 8
     of_class = classes.join(known, classes["rep"] == known["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     joined = made.join(of_class, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))

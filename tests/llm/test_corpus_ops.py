@@ -254,7 +254,7 @@ def test_odd_sketches_never_rule_out_a_link():
             b = np.unique(np.concatenate([a[: len(a) - r.integers(0, 1 + n // 6)], r.integers(0, 1 << 62, r.integers(0, 1 + n // 8)).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if common and 100 * common >= 85 * (len(a) + len(b) - common):
-                found = neardup.across_pairs([neardup.odd_sketch(a), neardup.odd_sketch(b)], np.array([len(a), len(b)]), np.array([0, 1]), 85, 9)
+                found = neardup.across_pairs([neardup.odd_sketch(a), neardup.odd_sketch(b)], np.array([len(a), len(b)]), np.array([0, 1]), 85, 9)[0]
                 assert len(found) == 1
 
 
