@@ -18,6 +18,10 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import filter_documents
 
 
+#: Least similarity of near duplicates in hundredths.
+SHARE = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return filter_documents(docs, table(spark, sf_dir, "labels"))
@@ -30,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near duplicates, by the general rule; op10's own contract has 85."""
+    return drop_near_duplicates(docs, share=SHARE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,20 +3,22 @@
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes). Texts with one set are one class, and the least
    doc_id stands for it: copies cost nothing further on.
 2. A class has a signature of POSITIONS b-bit MinHash values. Two sets of similarity s differ in a position with
-   probability 1 - s, so the pairs wanted lie within a distance of at most DISTANCE positions (see below).
-3. Multi-index: the positions are split into CHUNKS. By the pigeonhole principle two signatures that differ in at most
-   DISTANCE = 2 * CHUNKS - 1 positions have a chunk with at most one error. Every chunk is indexed under each of its
+   probability 1 - s, so the pairs wanted lie within a distance that the index covers (see below).
+3. Multi-index: the positions are split into chunks. By the pigeonhole principle two signatures that differ in at most
+   2 * chunks - 1 positions have a chunk with at most one error; chunks_for() takes the fewest chunks whose distance
+   covers the share asked for. Every chunk is indexed under each of its
    one-error masks (the chunk without one position, which an exact match shares as well), so all pairs within DISTANCE
    share a key. A key held by two classes is a pair; among three or more, signatures are compared.
-4. Within such a group no all-pairs list is made, but a shortest spanning forest over distances of at most DISTANCE.
+4. Within such a group no all-pairs list is made, but a shortest spanning forest over distances that it covers.
    Confirmed pairs make components. Members of one group in different components are then compared by odd sketches,
    whose difference is a lower bound of how the sets differ, so that no linked pair is ruled out; what is left is tested,
    most alike first, round by round, until no untested pair remains. Most of what is tested then is linked.
-5. Pairs are confirmed on full sets: 100 * |A & B| >= 85 * |A | B|. Links become components by alternating large-star
+5. Pairs are confirmed on full sets: 100 * |A & B| >= share * |A | B|. Links become components by alternating large-star
    and small-star steps.
 
-At similarity 0.85 the distance of a pair is binomial with mean 9 of 60 positions; it passes DISTANCE = 23 with
-probability about 4e-6, and less the more similar the pair.
+At similarity 0.85 the distance of a pair is binomial with mean 9 of 60 positions; it passes 23 (12 chunks) with
+probability 2.3e-6, and less the more similar the pair. At 0.80 it would with 3e-4, so 15 chunks cover 29 there. A share
+that no split of the positions covers with a loss of at most LOSS is refused.
 
 Scale: keys are counted with map-side combination, so a key held by a third of all classes costs one row per task; only
 keys with three or more classes carry signatures (120 bytes) to a second shuffle, and only groups that are still split
@@ -32,6 +34,7 @@ row; rows that share a doc_id count as one document with the links of all of the
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +46,8 @@ WORDS = 5
 SHARE = 85
 CHUNKS, CHUNK = 12, 5
 POSITIONS, DISTANCE = CHUNKS * CHUNK, 2 * CHUNKS - 1
+#: Largest probability that a pair at exactly the share passes the distance of the index.
+LOSS = 4e-6
 #: Members of a group for which a forest is found by all distances; larger groups go by leaders first.
 FOREST = 4096
 #: Pairs of a member and another component that the first round across components tests; later rounds test 8 times as many.
@@ -126,36 +131,46 @@ def signature(found: np.ndarray) -> np.ndarray:
         return (mixed(best) >> _U(48)).astype("<u2")
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """For each row of signatures its CHUNKS * CHUNK keys: every chunk without each one of its positions."""
-    rows = signatures.reshape(len(signatures), CHUNKS, CHUNK).astype(np.uint64)
+def chunk_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """For each row of signatures its POSITIONS keys: every chunk without each one of its positions."""
+    size = POSITIONS // chunks
+    rows = signatures.reshape(len(signatures), chunks, size).astype(np.uint64)
     with np.errstate(over="ignore"):
-        slots = mixed(np.arange(POSITIONS, dtype=np.uint64) + _U(1)).reshape(CHUNKS, CHUNK)
-        out = np.empty((len(rows), CHUNKS, CHUNK), np.uint64)
-        for gone in range(CHUNK):
-            packed = np.zeros((len(rows), CHUNKS), np.uint64)
-            for k in range(CHUNK):
+        slots = mixed(np.arange(POSITIONS, dtype=np.uint64) + _U(1)).reshape(chunks, size)
+        out = np.empty((len(rows), chunks, size), np.uint64)
+        for gone in range(size):
+            packed = np.zeros((len(rows), chunks), np.uint64)
+            for k in range(size):
                 if k != gone:
                     packed = (packed << _U(16)) | rows[:, :, k]
             out[:, :, gone] = mixed(packed ^ slots[None, :, gone])
     return out.reshape(len(rows), POSITIONS)
 
 
+def chunks_for(share: int) -> int:
+    """The fewest chunks, of equal size, whose distance a pair of that share passes with probability LOSS at most."""
+    differ = 1 - share / 100
+    for chunks in (CHUNKS, *[POSITIONS // size for size in range(CHUNK - 1, 2, -1) if POSITIONS % size == 0]):
+        if sum(math.comb(POSITIONS, d) * differ**d * (1 - differ) ** (POSITIONS - d) for d in range(2 * chunks, POSITIONS + 1)) <= LOSS:
+            return chunks
+    raise ValueError(f"share {share}: no index of {POSITIONS} positions covers it")
+
+
 def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (many != one).sum(1)
 
 
-def forest_pairs(signatures: np.ndarray) -> list[tuple[int, int]]:
-    """A shortest spanning forest of a group over distances of at most DISTANCE: pairs that connect all that such
+def forest_pairs(signatures: np.ndarray, chunks: int = CHUNKS) -> list[tuple[int, int]]:
+    """A shortest spanning forest of a group over distances that so many chunks cover: pairs that connect all that such
     distances connect, the nearest first. Beyond FOREST members, pairs with leaders near the middle of what is left."""
-    n, out = len(signatures), []
+    n, out, within = len(signatures), [], 2 * chunks - 1
     if n > FOREST:
         left = np.arange(n)
         while len(left) > 1:
             part = signatures[left]
             middle = np.sort(part, 0)[len(left) // 2]
             leader = left[np.argmin(distances(middle, part))]
-            near = distances(signatures[leader], part) <= DISTANCE
+            near = distances(signatures[leader], part) <= within
             out += [(int(leader), int(x)) for x in left[near] if x != leader]
             left = left[~near & (left != leader)]
         return out
@@ -172,17 +187,17 @@ def forest_pairs(signatures: np.ndarray) -> list[tuple[int, int]]:
         best[closer], parent[closer] = d[closer], at
         rest = np.flatnonzero(outside)
         at = int(rest[np.argmin(best[rest])])
-        if best[at] >> 40 <= DISTANCE:
+        if best[at] >> 40 <= within:
             out.append((int(parent[at]), at))
     return out
 
 
-def own_pairs(key: int, signatures: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def own_pairs(key: int, signatures: np.ndarray, pairs: list[tuple[int, int]], chunks: int = CHUNKS) -> list[tuple[int, int]]:
     """Of a group's pairs, those whose least shared key is the group's. A pair that is left out is joined in the group of
     its least key by a path of pairs that are as near, and so on down, so that together the groups still connect all."""
     if not pairs:
         return []
-    keys = chunk_keys(signatures).view(np.int64)
+    keys = chunk_keys(signatures, chunks).view(np.int64)
     a, b = np.array(pairs).T
     least = np.where(keys[a] == keys[b], keys[a], np.iinfo(np.int64).max).min(1)
     return [p for p, x in zip(pairs, least.tolist(), strict=True) if x == key]
@@ -253,14 +268,14 @@ def prepared(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), rows, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary")
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
+def _keyed(classes: DataFrame, chunks: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, POSITIONS)
             for at in range(0, len(sig), 1000):
-                keys = chunk_keys(sig[at : at + 1000])
+                keys = chunk_keys(sig[at : at + 1000], chunks)
                 reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False)[at : at + 1000], POSITIONS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
@@ -271,13 +286,15 @@ def _grouped_pairs(rows: DataFrame, share: int, most: int | None = None) -> Data
     """Pairs (a, b) of groups: most None: a forest of rows (key, rep, signature); else pairs across components of rows (key,
     rep, sketch, n, component), with MORE if some are left out. Groups are read as they stream by."""
 
+    chunks = chunks_for(share)
+
     def run(batches):
         import pyarrow as pa
 
         def pairs(key, reps, first, sizes=None, component=None):
             if most is None:
                 signatures = np.frombuffer(b"".join(first), "<u2").reshape(-1, POSITIONS)
-                found = own_pairs(key, signatures, forest_pairs(signatures))
+                found = own_pairs(key, signatures, forest_pairs(signatures, chunks), chunks)
                 more = False
             else:
                 found, more = across_pairs(first, np.array(sizes), np.array(component), share, most)
@@ -357,10 +374,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    chunks = chunks_for(share)
     made = written(prepared(docs), "signatures")
     usable = made.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), "classes")
-    keyed = _keyed(classes)
+    keyed = _keyed(classes, chunks)
     counted = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "keys")
     crowded = written(keyed.join(counted.where("n > 2").select("key"), "key").select("key", "rep"), "groups")
     forest = _grouped_pairs(crowded.join(classes.select("rep", "signature"), "rep"), share)

@@ -227,6 +227,36 @@ def test_near_duplicates(spark, seed):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == wanted and all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_near_duplicates_by_share(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = prose(r, 200, 5000)
+        texts += [base, edited(r, base, 4), edited(r, base, 5), edited(r, base, 3)]
+    rows = list(enumerate(texts))
+    wanted = brute_components(rows, 80)
+    assert wanted != brute_components(rows)
+    got = neardup.near_duplicates(docs(spark, texts), 80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == wanted
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").collect()
+    assert {x.doc_id for x in kept} == {i for i, (_, c) in wanted.items() if i == c}
+
+
+def test_index_covers_the_share():
+    assert [neardup.chunks_for(s) for s in (100, 90, 85, 80)] == [12, 12, 12, 15]
+    r = np.random.default_rng(1)
+    a = r.integers(0, 1 << 16, neardup.POSITIONS).astype("<u2")
+    for _ in range(200):
+        b = a.copy()
+        b[r.choice(neardup.POSITIONS, 29, replace=False)] ^= 1
+        ka, kb = neardup.chunk_keys(np.stack([a, b]), 15)
+        assert set(ka) & set(kb)
+    with pytest.raises(ValueError, match="share 20"):
+        neardup.chunks_for(20)
+
+
 def test_near_duplicate_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(d).collect()), key=repr)
