@@ -1,7 +1,7 @@
 """The document pipeline: quality rules, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's rows to the shared folder and reads them again as the next one's docs. Null doc_ids pass all stages;
+writes each stage's rows to the shared folder and reads them again as the next one's docs. Rows without a doc_id are judged as rows like others;
 an empty table gives an empty result at every stage.
 """
 

@@ -55,6 +55,13 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, _row, _row2) that gone (_gone, _row, _row2) does not hold. _row and _row2 are hashes of what
+    the verdict hangs on; with them, rows without a doc_id meet only those alike, and spread."""
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (docs["_row"] == gone["_row"]) & (docs["_row2"] == gone["_row2"])
+    return docs.join(gone, same, "left_anti")
+
+
 def slices(batch, most_bytes: int):
     """Parts of an Arrow batch of at most so many bytes each, or of one row. Bounds what a Python worker holds, also
     where a batch holds thousands of long texts."""

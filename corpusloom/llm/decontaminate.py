@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, table, without
 from .licenses import split_words
 
 LEAST = 5
@@ -164,21 +164,23 @@ def blocks(items: DataFrame, most_items: int, most_bytes: int):
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document (doc_id, text) and item (item_id, text) whose tiles cover enough of the item."""
+def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document (doc_id, text) and item (item_id, text) whose tiles cover enough of the item; last the
+    document's columns of keep, all of type long."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *keep)
+    schema = ", ".join([SCHEMA, *[f"{c} long" for c in keep]])
+    out = spark.createDataFrame([], schema)
     for block in blocks(items, block_items, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batch: dict[str, list], sent=sent) -> dict[str, list]:
             index = _index(sent, least)
-            found = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if t for x in index.match(t, coverage)]
-            names = ("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile")
+            found = [(d, *x, *more) for d, t, *more in zip(batch["doc_id"], batch["text"], *[batch[c] for c in keep], strict=True) if t for x in index.match(t, coverage)]
+            names = ("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", *keep)
             return dict(zip(names, map(list, zip(*found)), strict=True)) if found else {n: [] for n in names}
 
-        out = out.unionByName(map_rows(source, rows, SCHEMA))
+        out = out.unionByName(map_rows(source, rows, schema))
     return out
 
 
@@ -189,9 +191,10 @@ def _index(sent, least: int) -> Block:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    gone = contaminated(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the contaminated rows; rows that share a doc_id (or have none) go only if they share the text too."""
+    marked = docs.withColumn("_row", F.xxhash64("text")).withColumn("_row2", F.xxhash64(F.lit(1), "text"))
+    gone = contaminated(marked, items, keep=("_row", "_row2")).select(F.col("doc_id").alias("_gone"), "_row", "_row2").distinct()
+    return without(marked, gone).drop("_row", "_row2")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

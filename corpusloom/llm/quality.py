@@ -23,9 +23,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, table, written
+from .common import broadcast_if_small, let, table, without, written
 
 SYMBOLS = "#*$%&|<>"
+#: What a verdict hangs on.
+ROW = ("text", "lang")
 WINDOW = 5
 
 
@@ -131,10 +133,11 @@ def cutoffs(featured: DataFrame, labels: DataFrame, rule: RiskControl) -> DataFr
     return best.groupBy("lang_key").agg(*[F.max(F.when(F.col("metric") == m, F.col("cutoff"))).alias(f"max_{m}") for m in rule.grids])
 
 
-def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -> DataFrame:
-    """A row for each row of docs (doc_id, text, lang): the counts, base_failed, kept, and the cutoffs of its stratum."""
+def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None, *keep: str) -> DataFrame:
+    """A row for each row of docs (doc_id, text, lang): the columns of keep, the counts, base_failed, kept, and the cutoffs
+    of its stratum."""
     rule = rule or RiskControl()
-    featured = written(features(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0null")).alias("lang_key")), "lang_key"), "quality")
+    featured = written(features(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0null")).alias("lang_key"), *keep), "lang_key", *keep), "quality")
     limits = broadcast_if_small(cutoffs(featured, labels, rule), 10_000)
     judged = featured.join(limits, "lang_key", "left")
     within = [F.coalesce(c <= F.col(f"max_{m}"), F.lit(True)) for m, c in metrics(featured).items() if m in rule.grids]
@@ -145,10 +148,11 @@ def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Where rows share a doc_id (or have none), all of them go if
-    any is rejected."""
-    gone = judge(docs, labels, rule).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that are kept, with all their columns. A verdict follows from text and language, so rows that share
+    a doc_id (or have none) go only if they share these too."""
+    marked = docs.withColumn("_row", F.xxhash64(*ROW)).withColumn("_row2", F.xxhash64(F.lit(1), *ROW))
+    gone = judge(marked, labels, rule, "_row", "_row2").where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_row", "_row2").distinct()
+    return without(marked, gone).drop("_row", "_row2")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontamination_by_row(spark):
+    item = " ".join(f"b{i}" for i in range(25))
+    rows = [(None, item), (None, "clean one"), (None, None), (3, item), (3, "clean two"), (4, item), (5, "clean one")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.drop_contaminated(d, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[2], rows[4], rows[6]], key=repr)
+
+
 # ---- pipeline ----
 
 

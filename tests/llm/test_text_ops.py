@@ -82,6 +82,15 @@ def test_quality_empty(spark):
 
 
 # ---- licenses ----
+def test_quality_by_row(spark):
+    good, bad = " ".join(f"word{i}" for i in range(40)), "again and again so " * 30
+    rows = [(None, good, "en"), (None, bad, "en"), (None, bad, "en"), (7, bad, None), (7, good, None), (8, good, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = quality.filter_documents(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[4], rows[5]], key=repr)
+
+
 
 
 def test_licenses(spark):
