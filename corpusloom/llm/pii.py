@@ -132,14 +132,19 @@ NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "f
 SIGNS = {f"{a}{s}{word}{s}{b}": sign for word, sign in (("at", "@"), ("dot", ".")) for a, b in ("()", "[]", "{}", "<>") for s in ("", " ")}
 
 FOLD = Transducer(LOOKALIKES | INVISIBLE)
-DIGITS = Transducer(NUMBER_WORDS | {"plus": "+"}, whole=True)
 BRACKETED = Transducer(SIGNS | {f" {k} ": v for k, v in SIGNS.items()} | {f" {k}": v for k, v in SIGNS.items()} | {f"{k} ": v for k, v in SIGNS.items()})
 
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
 ODD = re.compile("[" + "".join(re.escape(c) for c in sorted({*LOOKALIKES, *INVISIBLE})) + "]")
-SPELLED = re.compile(rf"(?ai)\b(?:plus\W+)?{_NUMBER}(?:[\s,.-]+{_NUMBER}){{6,}}\b")
+_UNIT = rf"(?:{_NUMBER}|[0-9]++)\b"
+_GAP = r"[\s,.()-]++(?:(?:dot|point)\b[\s,.()-]++)?"
+#: Number words and digits side by side, or with "dot" or "point" between them.
+RUN = re.compile(rf"(?ai)(?<![a-z0-9_])(?:plus\W+)?{_UNIT}(?:{_GAP}{_UNIT})+")
+PART = re.compile(rf"(?ai)plus\b|{_NUMBER}\b|[0-9]+")
+POINT = re.compile(r"(?ai)\b(?:dot|point)\b")
 SIGNED = re.compile(r"(?ai)[(\[{<]\s?(?:at|dot)\s?[)\]}>]")
-SPOKEN = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++(?:\s+dot\s+[a-z0-9_%+-]++){0,3})(\s+at\s+|\s?@\s?)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b")
+#: A local part however long, and what makes an address of it where that follows; a local part is read once either way.
+SPOKEN = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++(?:\s+dot\s+(?!at\s)[a-z0-9._%+-]++)*)(?:(\s+at\s+|\s?@\s?)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b)?")
 DOT = re.compile(r"(?ai)\sdot\s")
 SPOKEN_DOT = re.compile(r"(?ai)\s+dot\s+")
 
@@ -147,21 +152,39 @@ SPOKEN_DOT = re.compile(r"(?ai)\s+dot\s+")
 def _spoken(tape: Tape) -> Tape:
     """Bare "x at y dot z": at and dot become signs only where they stand together in this form."""
     text, cut = "".join(tape.chars), []
-    for m in SPOKEN.finditer(text):
-        for k in (1, 3):
+    for m in SPOKEN.finditer(text) if DOT.search(text) else ():
+        for k in (1, 3) if m[2] else ():
             cut += [(m.start(k) + d.start(), m.start(k) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[k])]
             if k == 1:
                 cut.append((m.start(2), m.end(2), "@"))
     return _spliced(tape, cut)
 
 
-def _spelled(tape: Tape) -> Tape:
-    """Runs of seven or more number words become digits, one for each word, without what stands between."""
+def _worded(run: str) -> bool:
+    """Whether a run is more than digits."""
+    return any(c.isalpha() for c in run)
+
+
+def _spelled(tape: Tape, dots: bool = False, glued: bool = False) -> Tape:
+    """Number words beside digits or other number words become digits, without what stands between words; what stands
+    beside digits stays, unless glued and a word is on its other side. "dot" and "point" become a dot; with dots, a lone
+    dot between words stays."""
     text, cut = "".join(tape.chars), []
-    for m in SPELLED.finditer(text):
-        part = DIGITS.run(Tape.of(m[0]))
-        signs = [i for i, c in enumerate(part.chars) if c.isdigit() or c == "+"]
-        cut += [(m.start() + part.starts[i], m.start() + part.starts[j] if j is not None else m.start() + part.ends[i], part.chars[i]) for i, j in zip(signs, [*signs[1:], None], strict=True)]
+    for m in RUN.finditer(text):
+        if not _worded(m[0]):
+            continue
+        before = None
+        for p in PART.finditer(text, m.start(), m.end()):
+            word = not p[0].isdigit()
+            if before is not None:
+                gap = text[before.end() : p.start()]
+                if POINT.search(gap) or (dots and gap == "."):
+                    cut.append((before.end(), p.start(), "."))
+                elif word + (not before[0].isdigit()) + glued > 1:
+                    cut.append((before.end(), p.start(), ""))
+            if word:
+                cut.append((p.start(), p.end(), NUMBER_WORDS.get(p[0].lower(), "+")))
+            before = p
     return _spliced(tape, cut)
 
 
@@ -170,9 +193,9 @@ def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
         return tape
     chars, starts, ends, at = [], [], [], 0
     for a, b, target in cut:
-        chars += tape.chars[at:a] + [target]
-        starts += tape.starts[at:a] + [tape.starts[a]]
-        ends += tape.ends[at:a] + [tape.ends[b - 1]]
+        chars += tape.chars[at:a] + list(target)
+        starts += tape.starts[at:a] + [tape.starts[a]] * len(target)
+        ends += tape.ends[at:a] + [tape.ends[b - 1]] * len(target)
         at = b
     return Tape(chars + tape.chars[at:], starts + tape.starts[at:], ends + tape.ends[at:])
 
@@ -180,21 +203,27 @@ def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of the normalised text, in source code points, that touch no base span of their kind."""
     odd = not text.isascii() and ODD.search(text)
-    if not (odd or SIGNED.search(text) or DOT.search(text) or SPELLED.search(text)):
+    if not (odd or SIGNED.search(text) or DOT.search(text) or any(_worded(m[0]) for m in RUN.finditer(text))):
         return []
     tape = Tape.of(text)
-    for stage in (FOLD.run, BRACKETED.run, _spoken, _spelled):
+    for stage in (FOLD.run, BRACKETED.run, _spoken):
         tape = stage(tape)
-    flat = "".join(tape.chars)
-    if flat == text:
-        return []
-    out = []
-    for kind, a, b in base_spans(flat):
-        start, end = tape.source(a, b)
-        while end > start and text[end - 1].isspace():
-            end -= 1
-        if text[start:end] != flat[a:b] and not any(k == kind and x < end and start < y for k, x, y in base):
-            out.append((kind, start, end))
+    out: list[Span] = []
+    done = {text}
+    for how in ({}, {"dots": True}, {"glued": True}):  # a dot or comma may set off parts of one number, or two of them
+        read = _spelled(tape, **how)
+        flat = "".join(read.chars)
+        if flat in done:
+            continue
+        done.add(flat)
+        new = []
+        for kind, a, b in base_spans(flat):
+            start, end = read.source(a, b)
+            while end > start and text[end - 1].isspace():
+                end -= 1
+            if text[start:end] != flat[a:b] and not any(k == kind and x < end and start < y for k, x, y in base + out):
+                new.append((kind, start, end))
+        out += new
     return out
 
 

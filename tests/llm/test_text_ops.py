@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,6 @@ def test_quality_empty(spark):
     assert quality.filter_documents(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
-# ---- licenses ----
 def test_quality_by_row(spark):
     good, bad = " ".join(f"word{i}" for i in range(40)), "again and again so " * 30
     rows = [(None, good, "en"), (None, bad, "en"), (None, bad, "en"), (7, bad, None), (7, good, None), (8, good, None)]
@@ -91,6 +91,7 @@ def test_quality_by_row(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[4], rows[5]], key=repr)
 
 
+# ---- licenses ----
 
 
 def test_licenses(spark):
@@ -174,6 +175,37 @@ def test_pii_disguises(text, kind, part):
     assert [text[a:b] for _, a, b in found] == [part]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("card 4111 one one one one 1111 1111 ok", "card", "4111 one one one one 1111 1111"),
+        ("card 4111, one one one one, 1111 1111 ok", "card", "4111, one one one one, 1111 1111"),
+        ("in 2019, four one one one one one one one one one one one one one one one ok", "card", "four one one one one one one one one one one one one one one one"),
+        ("dial +49 151 five five five one two three, please", "phone", "+49 151 five five five one two three"),
+        ("dial +1 four one five 555 two six seven one now", "phone", "+1 four one five 555 two six seven one"),
+        ("dial +1 (four one five) 555-two six seven one now", "phone", "+1 (four one five) 555-two six seven one"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 10 point 0 dot 0 dot seven up", "ip", "10 point 0 dot 0 dot seven"),
+        ("host one nine two.one six eight.one.one up", "ip", "one nine two.one six eight.one.one"),
+        ("to a dot b dot c dot d dot e dot f at site dot org now", "email", "a dot b dot c dot d dot e dot f at site dot org"),
+        ("a dot at site dot org", "email", "dot at site dot org"),
+        ("call plus four.nine.one.five.one.two.three.four.five.six.seven now", "phone", "plus four.nine.one.five.one.two.three.four.five.six.seven"),
+    ],
+)
+def test_pii_spelled_in_part(text, kind, part):
+    found = [x for x in pii.disguised_spans(text, pii.base_spans(text)) if x[0] == kind]
+    assert [text[a:b] for _, a, b in found] == [part]
+
+
+def test_pii_spelled_prose_and_time():
+    for t in ("one. two. three. four", "version 3 point 5 of 2", "one 4111 1111 1111 1112", "in 2019 one of 12"):
+        assert pii.disguised_spans(t, pii.base_spans(t)) == []
+    start = time.process_time()
+    for t in ("a dot " * 40_000, "one " * 40_000, "1 . " * 40_000, "one" + " " * 200_000 + "x", "a at " * 40_000):
+        pii.disguised_spans(t, [])
+    assert time.process_time() - start < 20
+
+
 def test_pii_leaves_prose_alone():
     for t in ("We met at noon. The dot is small.", "one two three four", "look at it (at last)", "Érétrech ierêtre étioneux", "at home dot"):
         assert pii.disguised_spans(t, pii.base_spans(t)) == []
