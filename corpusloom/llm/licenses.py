@@ -126,14 +126,9 @@ class Scanner:
                 self.starts.setdefault(w, []).append(one)
         heads = sorted({p[0] for p, _ in self.phrases} | set(self.starts), key=lambda w: (-len(w), w))
         self.heads = set(heads)
-        #: Word that every template and phrase holds one of: texts without any are done after counting.
-        self.needs = re.compile(b"licens|granted|permitted|reserved|cc|" + b"|".join(sorted({re.escape(p[-1]) for p, _ in self.phrases} - {b"license", b"by"})) if any(p[-1] not in (b"license", b"by") for p, _ in self.phrases) else b"licens|granted|permitted|reserved|cc")
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
-        flat = text.translate(WORD_BYTES)
-        words = flat.split()
-        if not self.needs.search(flat):
-            return len(words), 0, None, None, "", "", 0.0
+        words = text.translate(WORD_BYTES).split()
         places: list[int] = []
         base: set[str] = set()
         found: list[tuple[int, int]] = []

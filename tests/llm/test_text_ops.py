@@ -118,6 +118,12 @@ def test_licenses(spark):
     assert "cc-by-nc" in got[n + 3].labels and got[n + 5].labels == "mit-grant" and got[n + 6].labels == ""
 
 
+def test_licenses_of_other_words(spark):
+    own = [("PD", "public domain dedication")]
+    got = licenses.scan_licenses(docs(spark, ["a public domain dedication b", "public domain"]), own).collect()
+    assert sorted((x.doc_id, x.labels) for x in got) == [(0, "PD"), (1, "")]
+
+
 def test_template_language():
     one = licenses.compile_template("x", "a <<optional>>b c<<end>> <<var:0-2>> d")
     run = lambda t: one.longest(t.split() and licenses.split_words(t.encode()), 0)
