@@ -8,23 +8,26 @@
    2 * chunks - 1 positions have a chunk with at most one error; chunks_for() takes the fewest chunks whose distance
    covers the share asked for. Every chunk is indexed under each of its
    one-error masks (the chunk without one position, which an exact match shares as well), so all pairs within DISTANCE
-   share a key. A key held by two classes is a pair; among three or more, signatures are compared.
-4. Within such a group no all-pairs list is made, but a shortest spanning forest over distances that it covers.
-   Confirmed pairs make components. Members of one group in different components are then compared by odd sketches,
-   whose difference is a lower bound of how the sets differ, so that no linked pair is ruled out; what is left is tested,
-   most alike first, round by round, until no untested pair remains. Most of what is tested then is linked.
-5. Pairs are confirmed on full sets: 100 * |A & B| >= share * |A | B|. Links become components by alternating large-star
+   share a key.
+4. A key of two classes is a pair. Of larger keys every class is first paired with the least class of one of its keys, the
+   one whose signature is nearest. Confirmed pairs make components.
+5. Keys that hold more than one component are then searched to the end. The home of a class is its most crowded key; a key
+   knows the homes of its members. A class that is not of its key's largest component asks the homes of the others there,
+   each home once, whatever number of keys leads to it. Odd
+   sketches, whose difference is a lower bound of how the sets differ, rule pairs out without losing a link; what is left
+   is tested, most alike first, round by round, until no untested pair remains.
+6. Pairs are confirmed on full sets: 100 * |A & B| >= share * |A | B|. Links become components by alternating large-star
    and small-star steps.
 
 At similarity 0.85 the distance of a pair is binomial with mean 9 of 60 positions; it passes 23 (12 chunks) with
 probability 2.3e-6, and less the more similar the pair. At 0.80 it would with 3e-4, so 15 chunks cover 29 there. A share
 that no split of the positions covers with a loss of at most LOSS is refused.
 
-Scale: keys are counted with map-side combination, so a key held by a third of all classes costs one row per task; only
-keys with three or more classes carry signatures (120 bytes) to a second shuffle, and only groups that are still split
-carry sketches (up to a byte per shingle) to a third. Texts travel for candidate documents
-only. All joins are equi-joins that adaptive execution can split when skewed. Intermediate tables lie in the shared
-folder, so nothing hangs on one executor.
+Scale: keys are counted with map-side combination, so a key held by a third of all classes costs one row per task. No step
+gathers a key's classes in one task: pairs of step 4 are rows of joins, and groups of step 5 are dealt as blocks of bounded
+size against blocks of bounded size. Signatures and sketches travel once for a class and step, not for each of its keys.
+Texts travel for candidate documents only. All joins are equi-joins that adaptive execution can split when skewed.
+Intermediate tables lie in the shared folder, so nothing hangs on one executor.
 
 Defined edge cases: a null or empty text, or one without words, has no shingles, is linked with nothing and kept. A text
 of fewer than five words is one shingle. A null doc_id has no component and is kept. Repeated rows are returned row by
@@ -48,12 +51,12 @@ CHUNKS, CHUNK = 12, 5
 POSITIONS, DISTANCE = CHUNKS * CHUNK, 2 * CHUNKS - 1
 #: Largest probability that a pair at exactly the share passes the distance of the index.
 LOSS = 4e-6
-#: Members of a group for which a forest is found by all distances; larger groups go by leaders first.
-FOREST = 4096
+#: Bytes of sketches that a side of a block holds.
+BLOCK_BYTES = 4 << 20
+#: Homes in a list that a key sends to its classes.
+HOMES = 256
 #: Pairs of a member and another component that the first round across components tests; later rounds test 8 times as many.
 FIRST_ACROSS = 64
-#: Stands among a round's pairs if the round left some out.
-MORE = (-(2**63), -(2**63))
 #: Document ids that may be sent to all tasks to pick candidates' texts; beyond, the texts are joined by a shuffle.
 MANY = 1_000_000
 
@@ -156,53 +159,6 @@ def chunks_for(share: int) -> int:
     raise ValueError(f"share {share}: no index of {POSITIONS} positions covers it")
 
 
-def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (many != one).sum(1)
-
-
-def forest_pairs(signatures: np.ndarray, chunks: int = CHUNKS) -> list[tuple[int, int]]:
-    """A shortest spanning forest of a group over distances that so many chunks cover: pairs that connect all that such
-    distances connect, the nearest first. Beyond FOREST members, pairs with leaders near the middle of what is left."""
-    n, out, within = len(signatures), [], 2 * chunks - 1
-    if n > FOREST:
-        left = np.arange(n)
-        while len(left) > 1:
-            part = signatures[left]
-            middle = np.sort(part, 0)[len(left) // 2]
-            leader = left[np.argmin(distances(middle, part))]
-            near = distances(signatures[leader], part) <= within
-            out += [(int(leader), int(x)) for x in left[near] if x != leader]
-            left = left[~near & (left != leader)]
-        return out
-    # ties go by the members' order, which is that of their ids: groups that share members then share most of their edges
-    number = np.arange(n)
-    best = np.full(n, (POSITIONS + 1) << 40)
-    parent = np.full(n, -1)
-    outside = np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        outside[at] = False
-        d = (distances(signatures[at], signatures) << 40) | (np.minimum(number, at) << 20) | np.maximum(number, at)
-        closer = outside & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        rest = np.flatnonzero(outside)
-        at = int(rest[np.argmin(best[rest])])
-        if best[at] >> 40 <= within:
-            out.append((int(parent[at]), at))
-    return out
-
-
-def own_pairs(key: int, signatures: np.ndarray, pairs: list[tuple[int, int]], chunks: int = CHUNKS) -> list[tuple[int, int]]:
-    """Of a group's pairs, those whose least shared key is the group's. A pair that is left out is joined in the group of
-    its least key by a path of pairs that are as near, and so on down, so that together the groups still connect all."""
-    if not pairs:
-        return []
-    keys = chunk_keys(signatures, chunks).view(np.int64)
-    a, b = np.array(pairs).T
-    least = np.where(keys[a] == keys[b], keys[a], np.iinfo(np.int64).max).min(1)
-    return [p for p, x in zip(pairs, least.tolist(), strict=True) if x == key]
-
-
 def odd_sketch(found: np.ndarray) -> bytes:
     """A bit for each of 4 to 8 times as many cells as the set has members: whether an odd number of them falls there. Two
     sketches of one size differ in no more bits than the sets differ in members, whatever the hashes do."""
@@ -211,45 +167,41 @@ def odd_sketch(found: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def across_pairs(sketches: list[bytes], sizes: np.ndarray, component: np.ndarray, share: int, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of members of different components that their sketches do not rule out, for each member and other component
-    the most alike, at most so many; and whether there were more. A pair that is linked is never ruled out: |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s)."""
-    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    widths = np.array([len(x) for x in sketches])
-    for w in np.unique(widths):
-        rows = np.flatnonzero(widths == w)
-        by_width[int(w)] = rows, np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1)
-    main = np.bincount(np.unique(component, return_inverse=True)[1]).argmax()
-    main = np.unique(component)[main]
-    out, more = [], False
-    for x in np.flatnonzero(component != main):
-        own = np.frombuffer(sketches[x], np.uint64)
-        near, gaps = [], []
-        for w in (len(sketches[x]) // 2, len(sketches[x]), 2 * len(sketches[x])):
-            if w not in by_width:
-                continue
-            rows, bits = by_width[w]
-            mine = own
-            if w > len(sketches[x]):
-                half = bits.shape[1] // 2
-                bits = bits[:, :half] ^ bits[:, half:]
-            elif w < len(sketches[x]):
-                half = len(own) // 2
-                mine = own[:half] ^ own[half:]
-            gap = np.bitwise_count(bits ^ mine).sum(1, dtype=np.int64)
-            fits = ((100 + share) * gap <= (100 - share) * (sizes[rows] + sizes[x])) & (component[rows] != component[x])
-            near.append(rows[fits])
-            gaps.append(gap[fits])
-        near, gaps = np.concatenate(near), np.concatenate(gaps)
-        order = np.lexsort((near, gaps))
-        taken: dict[int, int] = {}
-        for y in near[order]:
-            c = int(component[y])
-            taken[c] = taken.get(c, 0) + 1
-            if taken[c] <= most:
-                out.append((int(x), int(y)))
-            more |= taken[c] > most
-    return out, more
+class Asked:
+    """Classes that look for links, by the width of their sketches."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]], share: int):
+        self.share, self.by_width = share, {}
+        for width in {len(x[3]) for x in rows}:
+            part = [x for x in rows if len(x[3]) == width]
+            self.by_width[width] = *(np.array(c) for c in zip(*[x[:3] for x in part], strict=True)), np.frombuffer(b"".join(x[3] for x in part), np.uint64).reshape(len(part), -1)
+
+    def pairs(self, reps: np.ndarray, components: np.ndarray, sizes: np.ndarray, sketches: list[bytes], most: int) -> tuple[list[tuple[int, int]], set[int]]:
+        """Pairs with the classes given that lie in another component and that the sketches do not rule out: for each class
+        that asks and other component the most alike, at most so many; and the classes for which there were more. A pair
+        that is linked is never ruled out: |A ^ B| <= (|A| + |B|) (1 - s) / (1 + s)."""
+        out, more = [], set()
+        widths = np.array([len(x) for x in sketches])
+        for w in set(widths.tolist()):
+            rows = np.flatnonzero(widths == w)
+            bits = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1)
+            half = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+            for width, against in ((w // 2, half), (w, bits), (2 * w, bits)):
+                for x, component, n, own in zip(*self.by_width.get(width, ((), (), (), ())), strict=True):
+                    mine = own[: len(own) // 2] ^ own[len(own) // 2 :] if width > w else own
+                    gap = np.bitwise_count(against ^ mine).sum(1, dtype=np.int64)
+                    near = np.flatnonzero((100 + self.share) * gap <= (100 - self.share) * (sizes[rows] + n))
+                    near = near[components[rows[near]] != component]
+                    if not len(near):
+                        continue
+                    near = near[np.lexsort((reps[rows[near]], gap[near], components[rows[near]]))]
+                    of = components[rows[near]]
+                    first = np.concatenate(([True], of[1:] != of[:-1]))
+                    rank = np.arange(len(near)) - np.maximum.accumulate(np.where(first, np.arange(len(near)), 0))
+                    if (rank >= most).any():
+                        more.add(int(x))
+                    out += [(min(int(x), y), max(int(x), y)) for y in reps[rows[near[rank < most]]].tolist()]
+        return out, more
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -282,52 +234,87 @@ def _keyed(classes: DataFrame, chunks: int) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _grouped_pairs(rows: DataFrame, share: int, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of groups: most None: a forest of rows (key, rep, signature); else pairs across components of rows (key,
-    rep, sketch, n, component), with MORE if some are left out. Groups are read as they stream by."""
-
-    chunks = chunks_for(share)
+def _nearest(stars: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): for each class b of the pairs (a, b) its nearest a by signature, within the distance."""
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(key, reps, first, sizes=None, component=None):
-            if most is None:
-                signatures = np.frombuffer(b"".join(first), "<u2").reshape(-1, POSITIONS)
-                found = own_pairs(key, signatures, forest_pairs(signatures, chunks), chunks)
-                more = False
-            else:
-                found, more = across_pairs(first, np.array(sizes), np.array(component), share, most)
-            return [(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in found] + [MORE] * more
-
-        seen: set = set()
-        names = ("key", "rep", "signature") if most is None else ("key", "rep", "sketch", "n", "component")
-        key, group = None, tuple([] for _ in names[1:])
-
-        def flush():
-            out = [x for x in pairs(key, *group) if x not in seen] if len(group[0]) > 1 else []
-            seen.update(out)
-            if len(seen) > 500_000:
-                seen.clear()
-            return out
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, POSITIONS) for c in ("signature", "signature_b"))
+            d = (one != other).sum(1)
+            near = np.flatnonzero(d <= distance)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near)), pa.array(d[near].astype(np.int64))], names=["a", "b", "d"])
+
+    sides = stars.join(classes.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b")), "b").join(classes.select(F.col("rep").alias("a"), "signature"), "a")
+    measured = sides.select("a", "b", "signature", "signature_b").mapInArrow(run, "a long, b long, d long")
+    return measured.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
+
+
+def _questions(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(home, rep): the homes that a class asks (see step 5 above). crowded: (key, rep); labels: (rep, home, component)."""
+    held = written(crowded.join(labels, "rep").groupBy("key", "component", "home").agg(F.count("*").alias("n"), F.max("rep").alias("last")), "held")
+    parts = held.groupBy("key", "component").agg(F.sum("n").alias("n"))
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    split = written(split.select("key", F.col("top.component").alias("main")), "split")
+    beside = crowded.join(labels.select("rep", "component"), "rep").join(split, "key").where(F.col("component") != F.col("main")).select("key", "rep")
+    # of two classes beside the main component the lesser one asks
+    last = F.when(F.col("component") == F.col("main"), F.lit(2**63 - 1)).otherwise(F.col("last"))
+    hosts = written(held.join(split, "key").groupBy("key", "home").agg(F.max(last).alias("last")), "hosts")
+    # a key's homes travel as lists of about HOMES, not as a row for each class and home
+    part = F.pmod(F.xxhash64("home"), F.ceil(F.col("homes") / HOMES))
+    lists = hosts.join(hosts.groupBy("key").agg(F.count("*").alias("homes")), "key").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("home", "last")).alias("hosts"))
+    met = beside.join(lists, "key").select("rep", F.transform(F.filter("hosts", lambda x: x["last"] > F.col("rep")), lambda x: x["home"]).alias("homes"))
+    asked = met.groupBy("rep").agg(F.collect_set("homes").alias("homes"))
+    return asked.select(F.explode(F.array_distinct(F.flatten("homes"))).alias("home"), "rep")
+
+
+def _answers(asks: DataFrame, labels: DataFrame, classes: DataFrame, share: int, most: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components, of questions asks (home, rep) and the classes of those homes, as
+    Asked finds them; (a, null) where a has more. Either side of a home is dealt to blocks of about BLOCK_BYTES, and every
+    block of one meets every block of the other."""
+    asking = asks.join(labels.select("rep", "component"), "rep").select("home", "rep", "component", F.lit(0).alias("side"))
+    asked = labels.join(asks.select("home").distinct(), "home", "left_semi").select("home", "rep", "component", F.lit(1).alias("side"))
+    rows = asking.unionByName(asked).join(classes.select("rep", "sketch", "n"), "rep")
+    blocks = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.octet_length("sketch") + 64).otherwise(1)) / BLOCK_BYTES).cast("int")
+    met = rows.join(rows.groupBy("home").agg(blocks(0).alias("n0"), blocks(1).alias("n1")), "home")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = met.where("side = 0").withColumn("x", own("n0")).withColumn("y", every("n1")).unionByName(met.where("side = 1").withColumn("y", own("n1")).withColumn("x", every("n0")))
+    names = ("home", "x", "y", "side", "rep", "component", "n")
 
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+    def run(batches):
+        import pyarrow as pa
 
+        place, waiting, ready, seen = None, [], None, set()
         for batch in batches:
-            out = []
-            for k, *row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-                if k != key:
-                    out += flush()
-                    key, group = k, tuple([] for _ in names[1:])
-                for column, value in zip(group, row, strict=True):
-                    column.append(value)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            sketches = batch.column("sketch")
+            heads = np.stack([c.astype(np.int64) for c in columns[:4]], 1)
+            cuts = np.concatenate(([0], np.flatnonzero((heads[1:] != heads[:-1]).any(1)) + 1, [len(heads)]))
+            out: set = set()
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if (here := tuple(heads[lo, :3].tolist())) != place:
+                    place, waiting, ready = here, [], None
+                reps, component, n = (c[lo:hi] for c in columns[4:])
+                bits = sketches.slice(lo, hi - lo).to_pylist()
+                if heads[lo, 3] == 0:
+                    waiting += zip(reps.tolist(), component.tolist(), n.tolist(), bits, strict=True)
+                    continue
+                ready = ready or Asked(waiting, share)
+                found, more = ready.pairs(reps, component, n, bits, most)
+                out.update(found)
+                out.update((x, None) for x in more)
+            out -= seen
+            seen |= out
+            if len(seen) > 500_000:
+                seen.clear()
             if out:
-                yield batch_of(out)
-        if out := flush():
-            yield batch_of(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
+    return dealt.select(*names, "sketch").repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "side", "rep").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
@@ -380,26 +367,28 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), "classes")
     keyed = _keyed(classes, chunks)
     counted = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "keys")
-    crowded = written(keyed.join(counted.where("n > 2").select("key"), "key").select("key", "rep"), "groups")
-    forest = _grouped_pairs(crowded.join(classes.select("rep", "signature"), "rep"), share)
+    crowded = written(keyed.join(counted.where("n > 2").select("key", "n", "a"), "key").select("key", "rep", "n", "a"), "groups")
+    homes = written(crowded.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("x")).select("rep", F.col("x.key").alias("home")), "homes")
+    stars = crowded.where(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
     # written first: confirmed() reads its pairs several times
-    pairs = written(counted.where("n = 2 and a <> b").select("a", "b").union(forest).distinct(), "pairs")
+    pairs = written(counted.where("n = 2 and a <> b").select("a", "b").union(_nearest(stars, classes, 2 * chunks - 1)).distinct(), "pairs")
     tested = written(confirmed(pairs, docs, share), "tested")
-    known, most = components(tested.where("linked")), FIRST_ACROSS
+    known, most, asks = components(tested.where("linked")), FIRST_ACROSS, None
     while True:
-        labelled = written(crowded.join(known, crowded["rep"] == known["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
-        split = labelled.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
-        across = labelled.join(split, "key", "left_semi").join(classes.select("rep", "sketch", "n"), "rep").select("key", "rep", "sketch", "n", "component")
-        found = written(_grouped_pairs(across, share, most).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        new = found.where(F.col("a") != MORE[0])
+        labels = written(homes.join(known, homes["rep"] == known["node"], "left").select("rep", "home", F.coalesce("component", "rep").alias("component")), "labels")
+        # components only grow together, so that later rounds ask no more than the first
+        asks = written(_questions(crowded.select("key", "rep"), labels), "asks") if asks is None else asks
+        found = written(_answers(asks, labels, classes, share, most).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        new = found.where("b is not null")
         if new.take(1):
             more = written(confirmed(new, docs, share), "tested")
             tested = tested.unionByName(more)
             if more.where("linked").take(1):
                 known = components(tested.where("linked"))
-        if not found.where(F.col("a") == MORE[0]).take(1):
-            break  # every pair across the components of this round has been tested
-        most *= 8
+        left = found.where("b is null").select(F.col("a").alias("rep")).distinct()
+        if not left.take(1):
+            break  # every pair that the questions lead to is tested, linked by others or ruled out
+        asks, most = written(asks.join(left, "rep", "left_semi"), "asks"), 8 * most
     of_class = classes.join(known, classes["rep"] == known["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     joined = made.join(of_class, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))

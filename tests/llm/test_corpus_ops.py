@@ -284,8 +284,8 @@ def test_odd_sketches_never_rule_out_a_link():
             b = np.unique(np.concatenate([a[: len(a) - r.integers(0, 1 + n // 6)], r.integers(0, 1 << 62, r.integers(0, 1 + n // 8)).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if common and 100 * common >= 85 * (len(a) + len(b) - common):
-                found = neardup.across_pairs([neardup.odd_sketch(a), neardup.odd_sketch(b)], np.array([len(a), len(b)]), np.array([0, 1]), 85, 9)[0]
-                assert len(found) == 1
+                asked = neardup.Asked([(0, 0, len(a), neardup.odd_sketch(a))], 85)
+                assert asked.pairs(np.array([1]), np.array([1]), np.array([len(b)]), [neardup.odd_sketch(b)], 9) == ([(0, 1)], set())
 
 
 def test_components(spark):
@@ -294,13 +294,20 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[102] == got[103] == 100
 
 
-def test_large_groups_go_by_leaders(spark, monkeypatch):
-    r = np.random.default_rng(2)
-    base = r.integers(0, 1 << 16, (3, neardup.POSITIONS)).astype("<u2")
-    sig = np.concatenate([np.where(r.random((20, neardup.POSITIONS)) < 0.05, 1, b).astype("<u2") for b in base])
-    monkeypatch.setattr(neardup, "FOREST", 10)
-    pairs = neardup.forest_pairs(sig)
-    assert len(pairs) == 57 and all(a // 20 == b // 20 for a, b in pairs)
+def test_blocks_and_rounds(spark, monkeypatch):
+    """Groups larger than a block, and links that only a second round finds."""
+    r = random.Random(21)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(neardup, "FIRST_ACROSS", 1)
+    monkeypatch.setattr(neardup, "HOMES", 2)
+    base = prose(r, 60, 5000)
+    texts = [edited(r, base, r.choice((0, 1, 1, 2, 2, 3))) for _ in range(150)]
+    half = prose(r, 50, 5000)
+    texts += [f"{half} {prose(r, 7, 5000)}" for _ in range(60)]
+    wanted = brute_components(list(enumerate(texts)))
+    assert len({c for _, c in wanted.values()}) > 5
+    got = neardup.near_duplicates(docs(spark, texts)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == wanted
 
 
 # ---- decontamination ----
