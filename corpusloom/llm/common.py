@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its
+    own; a cluster is refused, since its executors would not find each other's files there."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="corpusloom-")
@@ -55,11 +58,32 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, _row, _row2) that gone (_gone, _row, _row2) does not hold. _row and _row2 are hashes of what
-    the verdict hangs on; with them, rows without a doc_id meet only those alike, and spread."""
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (docs["_row"] == gone["_row"]) & (docs["_row2"] == gone["_row2"])
-    return docs.join(gone, same, "left_anti")
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each of wanted that no column of df has, whatever its case; so that extra columns never clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_marks(docs: DataFrame, *of: str) -> tuple[DataFrame, list[str]]:
+    """docs with two hashes of the columns that a verdict hangs on, and the names of these columns."""
+    names = free_names(docs, "_row", "_row2")
+    return docs.withColumns({names[0]: F.xxhash64(*of), names[1]: F.xxhash64(F.lit(1), *of)}), names
+
+
+def without(docs: DataFrame, gone: DataFrame, marks: list[str]) -> DataFrame:
+    """The rows of docs that gone (doc_id and the marks of row_marks) does not hold, without the marks. With them, rows
+    without a doc_id meet only those alike, and spread."""
+    out, other = docs.alias("out"), gone.alias("gone")
+    same = F.col("out.doc_id").eqNullSafe(F.col("gone.doc_id"))
+    for m in marks:
+        same = same & (F.col(f"out.`{m}`") == F.col(f"gone.`{m}`"))
+    return out.join(other, same, "left_anti").drop(*marks)
 
 
 def slices(batch, most_bytes: int):

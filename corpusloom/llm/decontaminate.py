@@ -7,8 +7,10 @@ marked from long to short so that no word is in two tiles. A document is contami
 the item's words, in whatever order the passages stand.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each block sent to all tasks and matched
-with all rows of the documents in one pass; more items make more blocks, not a larger broadcast. Only windows whose words
-all occur in the block can match, so a document without such a window costs one dictionary lookup per word.
+with all rows of the documents in one pass. A benchmark of B bytes so costs B / BLOCK_BYTES passes over the documents (or
+items / BLOCK_ITEMS, if more), one after the other, and never more than one block's memory. Only windows whose words all
+occur in the block can match, so a document without such a window costs one dictionary lookup per word. A pair of item and
+document costs time in proportion to their lengths and to the number of distinct tile lengths, however often words repeat.
 
 Defined edge cases: a null or empty text has no words and no hits; an item without words is no query; an item shorter
 than LEAST words must be found whole. Repeated rows give repeated hits. Ties between equally long runs go to the first in
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, without
+from .common import map_rows, row_marks, table, without, written
 from .licenses import split_words
 
 LEAST = 5
@@ -56,42 +58,64 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return done
 
 
+def _free(marked: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows of so many places none of which is marked."""
+    if len(marked) < length:
+        return np.empty(0, np.int64)
+    before = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(before[length:] == before[:-length])
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length) of the tiles. Negative numbers in doc match nothing."""
-    free_item, free_doc = np.ones(len(item), bool), doc >= 0
+    """(start in item, start in doc, length) of the tiles, longest first, then by place in the item, then in the document.
+    Negative numbers in doc match nothing. Each turn finds the longest common run of unmarked words by bisection over its
+    length, with one pass of Karp-Rabin hashes over both for each try, then marks all runs of that length in order: a turn
+    is linear but for a logarithm, however often words repeat."""
+    used_item, used_doc = np.zeros(len(item), bool), doc < 0
     out: list[tuple[int, int, int]] = []
-    length = max(least, min(len(item), len(doc)) // 2)
-    while True:
-        at: dict[int, list[int]] = defaultdict(list)
-        open_item = np.convolve(free_item, np.ones(length, int), "valid") == length if len(item) >= length else np.empty(0, bool)
-        for i, h in zip(np.flatnonzero(open_item), window_hashes(item, length)[open_item], strict=True):
-            at[int(h)].append(int(i))
-        found = []
-        if at and len(doc) >= length:
-            hashes = window_hashes(doc, length)
-            full = np.convolve(free_doc, np.ones(length, int), "valid") == length
-            for j in np.flatnonzero(full & np.isin(hashes, np.fromiter(at, np.uint64, len(at)))):
-                for i in at[int(hashes[j])]:
-                    if i and j and free_item[i - 1] and free_doc[j - 1] and item[i - 1] == doc[j - 1]:
-                        continue  # the run starts earlier
-                    n = 0
-                    while i + n < len(item) and j + n < len(doc) and free_item[i + n] and free_doc[j + n] and item[i + n] == doc[j + n]:
-                        n += 1
-                    if n >= length:
-                        found.append((-n, i, int(j)))
-        longest = -min(found)[0] if found else 0
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n, i, j in sorted(found):
-            if free_item[i : i - n].all() and free_doc[j : j - n].all():
-                free_item[i : i - n] = False
-                free_doc[j : j - n] = False
-                out.append((i, j, -n))
-        if length == least and not found:
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, j = _free(used_item, length), _free(used_doc, length)
+        a, b = window_hashes(item, length)[i], window_hashes(doc, length)[j]
+        in_both = np.isin(a, b)
+        i, a = i[in_both], a[in_both]
+        in_both = np.isin(b, a)
+        return i, a, j[in_both], b[in_both]
+
+    most = min(len(item), len(doc))
+    while most >= least:
+        if not len(common(least)[0]):
             return out
-        if length > least:
-            length = max(least, length // 2)
+        low = least
+        while 2 * low <= most and len(common(2 * low)[0]):
+            low *= 2
+        high = min(most, 2 * low - 1)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        i, a, j, b = common(low)
+        places: dict[int, list[int]] = defaultdict(list)
+        for x, h in zip(j.tolist(), b.tolist(), strict=True):
+            places[h].append(x)
+        for x in places.values():
+            x.reverse()
+        marked = False
+        for x, h in zip(i.tolist(), a.tolist(), strict=True):
+            if used_item[x] or used_item[x + low - 1]:
+                continue  # marks are as long as the window, so that one which overlaps it covers an end
+            left = places[h]
+            while left and (used_doc[left[-1]] or used_doc[left[-1] + low - 1]):
+                left.pop()
+            if left and (item[x : x + low] == doc[left[-1] : left[-1] + low]).all():
+                y = left.pop()
+                used_item[x : x + low] = used_doc[y : y + low] = True
+                out.append((x, y, low))
+                marked = True
+        most = low if marked else low - 1  # no mark: hashes that are equal by chance
+    return out
 
 
 class Block:
@@ -100,54 +124,62 @@ class Block:
     def __init__(self, items: list[tuple[int, bytes]], least: int = LEAST):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        seeds: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
         for item_id, text in items:
             words = split_words(text)
             if words:
                 ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
                 short = min(least, len(ids))
                 for i, h in enumerate(window_hashes(ids, short)):
-                    seeds[short][int(h)].append((len(self.items), i))
+                    seeds[short][int(h)][len(self.items)].append(i)
                 self.items.append((item_id, ids, short))
-        self.seeds = {n: (np.sort(np.fromiter(x, np.uint64, len(x))), dict(x)) for n, x in seeds.items()}
+        # for each seed length: the hashes, and for each hash the places by item
+        self.seeds = {n: (np.sort(np.fromiter(x, np.uint64, len(x))), {h: [(k, np.array(v)) for k, v in by.items()] for h, by in x.items()}) for n, x in seeds.items()}
 
     def match(self, text: bytes, coverage: float) -> list[tuple[int, int, int, int, int]]:
         """(item_id, item's words, covered words, tiles, longest tile) of the items that the text covers far enough."""
         doc = np.fromiter(map(lambda w: self.vocabulary.get(w, -1), split_words(text)), np.int64)
         known = doc >= 0
-        places: dict[int, set[int]] = defaultdict(set)
-        spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # of each item the seeds that the text holds, each once, whatever number of places it has in either
+        shared: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for n, (table_, index) in self.seeds.items():
-            if len(doc) < n:
+            where = _free(~known, n)
+            if not len(where):
                 continue
-            run = np.convolve(known, np.ones(n, int), "valid") == n
-            if not run.any():
-                continue
-            hashes = window_hashes(doc, n)
-            where = np.flatnonzero(run)
-            at = np.searchsorted(table_, hashes[where])
+            hashes = window_hashes(doc, n)[where]
+            at = np.searchsorted(table_, hashes)
             at[at == len(table_)] = 0
-            for j in where[table_[at] == hashes[where]]:
-                for item, i in index[int(hashes[j])]:
-                    places[item].update(range(i, i + n))
-                    spots[item].append((int(j), n))
+            hit = table_[at] == hashes
+            where, hashes = where[hit], hashes[hit]
+            order = np.argsort(hashes, kind="stable")
+            where, hashes = where[order], hashes[order]
+            cuts = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+            for h, part in zip(hashes[np.concatenate(([0], cuts))].tolist(), np.split(where, cuts), strict=True) if len(where) else ():
+                for item, places in index[h]:
+                    shared[item].append((places, part))
         out = []
-        for item, covered in places.items():
+        for item, met in shared.items():
             item_id, ids, least = self.items[item]
-            if len(covered) < coverage * len(ids):
+            if len(_covered([p for p, _ in met], least, len(ids))) < coverage * len(ids):
                 continue  # tiles lie within seeds, so they cannot cover more
-            keep = np.zeros(len(doc) + 1, bool)
-            for j, n in spots[item]:
-                keep[j : j + n] = True
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], keep.astype(np.int8), [0]))))
-            parts = [x for a, b in zip(edges[::2], edges[1::2], strict=True) for x in (doc[a : min(b, len(doc))], [-1])]
-            found = tiles(ids, np.concatenate(parts), least)
+            inside = _covered([p for _, p in met], least, len(doc))
+            parts = np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1)
+            found = tiles(ids, np.concatenate([x for p in parts for x in (doc[p], [-1])]), least)
             total = sum(n for _, _, n in found)
             if total >= coverage * len(ids) and total:
                 out.append((item_id, len(ids), total, len(found), max(n for _, _, n in found)))
         return sorted(out)
 
 
+def _covered(starts: list[np.ndarray], length: int, size: int) -> np.ndarray:
+    """The places that windows of so many places with these starts cover, in order."""
+    edge = np.zeros(size + 1, np.int64)
+    at = np.concatenate(starts)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
 SCHEMA = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long"
 
 
@@ -170,8 +202,11 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *keep)
     schema = ", ".join([SCHEMA, *[f"{c} long" for c in keep]])
-    out = spark.createDataFrame([], schema)
+    done, pending = spark.createDataFrame([], schema), None
     for block in blocks(items, block_items, block_bytes):
+        if pending is not None:  # one block's index at a time lies on the executors
+            done = done.unionByName(written(pending, "hits"))
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batch: dict[str, list], sent=sent) -> dict[str, list]:
@@ -180,8 +215,8 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
             names = ("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", *keep)
             return dict(zip(names, map(list, zip(*found)), strict=True)) if found else {n: [] for n in names}
 
-        out = out.unionByName(map_rows(source, rows, schema))
-    return out
+        pending = map_rows(source, rows, schema)
+    return done if pending is None else done.unionByName(pending)
 
 
 def _index(sent, least: int) -> Block:
@@ -192,9 +227,9 @@ def _index(sent, least: int) -> Block:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows; rows that share a doc_id (or have none) go only if they share the text too."""
-    marked = docs.withColumn("_row", F.xxhash64("text")).withColumn("_row2", F.xxhash64(F.lit(1), "text"))
-    gone = contaminated(marked, items, keep=("_row", "_row2")).select(F.col("doc_id").alias("_gone"), "_row", "_row2").distinct()
-    return without(marked, gone).drop("_row", "_row2")
+    marked, marks = row_marks(docs, "text")
+    gone = contaminated(marked, items, keep=tuple(marks)).select("doc_id", *marks).distinct()
+    return without(marked, gone, marks)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

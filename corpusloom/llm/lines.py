@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, table, written
+from .common import broadcast_if_small, free_names, let, table, written
 
 MIN_SITES = 10
 LG_K = 10
@@ -46,21 +46,26 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     return clear.unionByName(unsure.join(exact.where(F.col("sites") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with text as it is kept, and n_lines (lines with a word) and n_removed."""
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text as it is kept, and the columns named by counts: lines with a word, and lines removed. They take the
+    place of columns of docs of that name; all other columns of docs stay, whatever their names."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in counts}])
+    hashed, hashed2, gone, doc = free_names(docs.withColumns({c: F.lit(0) for c in counts}), "_hash", "_hash2", "_gone", "_doc")
     filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
     lines = _lines(filled, site)
     known = broadcast_if_small(written(boilerplate(lines, min_sites), "boilerplate"), 50_000)
-    gone = lines.join(known, ["h1", "h2"]).where(~F.struct("doc", "text_hash", "n").eqNullSafe(F.col("first")))
-    per_doc = gone.groupBy("doc", "text_hash").agg(F.collect_set("n").alias("gone"))
-    joined = filled.withColumn("_hash", F.xxhash64("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left")
-    all_lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).when(F.size(left) == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(F.arrays_zip(all_lines.alias("line"), F.sequence(F.lit(0), F.size(all_lines) - 1).alias("n")), lambda x: F.when(F.array_contains("gone", x["n"]), F.lit(None)).otherwise(x["line"])), "\n")
-    )
-    counted = joined.withColumn("n_lines", F.size(F.filter(all_lines, lambda x: x.rlike("[^ \\t-\\r]"))).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", kept).drop("doc", "text_hash", "gone", "_hash")
+    found = lines.join(known, ["h1", "h2"]).where(~F.struct("doc", "text_hash", "n").eqNullSafe(F.col("first")))
+    per_doc = found.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(hashed2)).agg(F.collect_set("n").alias(gone))
+    joined = filled.withColumn(hashed, F.xxhash64("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(hashed) == F.col(hashed2)), "left")
+    has_word = lambda x: x.rlike("[^ \\t-\\r]")
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
+    counted = joined.withColumns({counts[0]: F.size(F.filter(F.split("text", "\n"), has_word)).cast("long"), counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long")})
+    return counted.withColumn("text", kept).drop(doc, hashed, hashed2, gone)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

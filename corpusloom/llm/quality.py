@@ -12,7 +12,8 @@ documents are not spent for nothing.
 Defined edge cases: a null text has no words (base_failed). A null language is a stratum of its own. A stratum without
 enough labelled good documents gets no cutoff, and keeps whatever passes the base rules. Repeated labels of a document
 count once, as good only if all agree; labels with a null in quality are ignored. An empty table gives an empty result.
-Repeated rows of a document are judged row by row. Extra columns are ignored by the query and kept by filter_documents.
+Repeated rows of a document are judged row by row. Extra columns are ignored by the query and kept by
+filter_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, table, without, written
+from .common import broadcast_if_small, let, row_marks, table, without, written
 
 SYMBOLS = "#*$%&|<>"
 #: What a verdict hangs on.
@@ -150,9 +151,9 @@ def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None, *
 def filter_documents(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -> DataFrame:
     """The rows of docs that are kept, with all their columns. A verdict follows from text and language, so rows that share
     a doc_id (or have none) go only if they share these too."""
-    marked = docs.withColumn("_row", F.xxhash64(*ROW)).withColumn("_row2", F.xxhash64(F.lit(1), *ROW))
-    gone = judge(marked, labels, rule, "_row", "_row2").where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_row", "_row2").distinct()
-    return without(marked, gone).drop("_row", "_row2")
+    marked, marks = row_marks(docs, *ROW)
+    gone = judge(marked, labels, rule, *marks).where(~F.col("kept")).select("doc_id", *marks).distinct()
+    return without(marked, gone, marks)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
