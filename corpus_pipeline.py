@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes each stage's rows to the shared folder and reads them again as the next one's docs. Rows without a doc_id are judged as rows like others;
-an empty table gives an empty result at every stage.
+an empty table gives an empty result at every stage. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import free_names, table, written
 from corpusloom.llm.decontaminate import drop_contaminated
 from corpusloom.llm.lines import dedup_lines
 from corpusloom.llm.neardup import drop_near_duplicates
@@ -29,7 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; those of which nothing but white space is left go."""
-    kept = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    counts = free_names(docs, "_lines", "_removed")
+    kept = dedup_lines(docs, counts=tuple(counts)).where((F.col(counts[1]) == 0) | F.col("text").rlike("[^ \\t-\\r]"))
     return kept.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
