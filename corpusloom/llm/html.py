@@ -6,8 +6,9 @@ A bidirectional LSTM in numpy reads the sequence of all blocks of the page, each
 its words and a few measures, and labels every block from the whole page's context; the main blocks are the text.
 
 The model is trained by html_training.py on generated pages and stored next to this module; it is loaded on the driver,
-bounded in size, and sent with the tasks. Pages are labelled in groups of like length, so that memory is bounded by the
-longest page of a group.
+bounded in size, and sent with the tasks. Pages are labelled in groups of like length of at most GROUP blocks (padding
+counted) or of one page. All words of a block, all elements of its path and all blocks of a page reach the model: path
+vectors are sums that a child element takes over from its parent, so that deep pages cost no more than flat ones.
 
 Defined edge cases: null or empty html, or html without a main block, gives an empty text. Repeated rows are labelled row
 by row. Broken markup is read like a browser does: unknown or unclosed tags never stop the reading. A page is never cut.
@@ -51,18 +52,47 @@ SIBLINGS = {
 
 _QUOTE_OR_END = re.compile("[>\"']")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 
-#: Of a path deeper than twice this, the features take so many elements from either end.
-DEPTH = 64
+PATH_BUCKETS, WORD_BUCKETS, MEASURES = 1024, 1024, 8
+#: Blocks of the pages that are labelled together, padding counted; a longer page goes alone.
+GROUP = 16_384
+#: Words beyond which a block's vector comes from counts.
+LONG_BAG = 512
+#: Steps whose gates are held at once.
+STRETCH = 2048
+
+
+@lru_cache(maxsize=200_000)
+def _bucket(word: str, buckets: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+
+
+class Element:
+    """An open element as blocks see it: its marks, its parent, and the hashed features that it adds to the path."""
+
+    __slots__ = ("added", "fresh", "index", "marks", "name", "parent")
+
+    def __init__(self, index: int, parent: Element | None, marks: tuple[str, ...], held: Counter):
+        self.index, self.parent, self.marks = index, parent, marks
+        above = parent.name if parent else ""
+        self.name = above if marks[0] in ("html", "body") else marks[0]
+        self.added = [f"m:{m}" for m in set(marks)]
+        if above and self.name is marks[0]:
+            self.added.append(f"p:{above}>{marks[0]}")
+        self.fresh = tuple(_bucket(x, PATH_BUCKETS) for x in self.added if not held[x])
+        held.update(self.added)
 
 
 class Block:
+    """path: the innermost open element, or None."""
+
     __slots__ = ("links", "path", "text")
 
-    def __init__(self, path: tuple, text: str, links: int):
+    def __init__(self, path: Element | None, text: str, links: int):
         self.path, self.text, self.links = path, text, links
 
 
@@ -88,46 +118,51 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name == "hidden":
-            out.append("@hidden")
+        if name in ("hidden", "aria-hidden", "style"):
+            if name == "hidden" or (name == "aria-hidden" and "true" in value) or HIDES.search(value):
+                out.append("@hidden")
             continue
         parts = _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value.strip("\"'")).lower())
-        out += [f"@{p}" for p in parts[:8] if not p.isdigit()]
+        out += [f"@{p}" for p in parts if not p.isdigit()]
     return tuple(out)
 
 
 def read_blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in page order; every block has text."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Element]] = []
     open_: Counter[str] = Counter()
+    held: Counter[str] = Counter()
+    made = 0
     pieces: list[str] = []
     links = 0
-    path: tuple | None = None
+    path: Element | None = None
+    started = False
     at, n = 0, len(page)
     low = None
 
     def flush() -> None:
-        nonlocal links, path
+        nonlocal links, path, started
         if pieces:
             raw = "".join(pieces)
             text = " ".join(entities.unescape(raw).split())
             if text:
-                blocks.append(Block(path or (), text, links))
+                blocks.append(Block(path, text, links))
             pieces.clear()
-        links, path = 0, None
+        links, path, started = 0, None, False
 
     def add(text: str) -> None:
-        nonlocal links, path
-        if path is None and not text.isspace():
-            inner = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
-            path = tuple(x[1] for x in inner)
+        nonlocal links, path, started
+        if not started and not text.isspace():
+            path, started = stack[-1][1] if stack else None, True
         pieces.append(text)
-        if any(x[0] == "a" for x in stack[-4:]):
+        if open_["a"]:
             links += len(text)
 
     def close(i: int) -> None:
-        open_.subtract(x[0] for x in stack[i:])
+        for tag, element in stack[i:]:
+            open_[tag] -= 1
+            held.subtract(element.added)
         del stack[i:]
 
     while at < n:
@@ -196,28 +231,54 @@ def read_blocks(page: str) -> list[Block]:
                 end = page.find(">", end)
                 at = end + 1 if end >= 0 else n
         elif tag not in VOID_TAGS and not (attributes.endswith("/") and tag not in BLOCK_TAGS):
-            stack.append((tag, _marks(tag, attributes)))
+            if tag == "a" and open_["a"]:  # links do not nest: a second one ends the first
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "a"))
+            stack.append((tag, Element(made, stack[-1][1] if stack else None, _marks(tag, attributes), held)))
+            made += 1
             open_[tag] += 1
     flush()
     return blocks
 
 
-PATH_BUCKETS, WORD_BUCKETS, MEASURES = 1024, 1024, 8
+@lru_cache(maxsize=20_000)
+def tail_buckets(marks: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
+    """Features of the last elements of a path by their distance from the leaf."""
+    return tuple(_bucket(f"l{i}:{m}", PATH_BUCKETS) for i, element in enumerate(marks) for m in set(element))
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+def last_marks(path: Element | None) -> tuple[tuple[str, ...], ...]:
+    out = []
+    while path is not None and len(out) < 4:
+        out.append(path.marks)
+        path = path.parent
+    return tuple(out)
 
 
-@lru_cache(maxsize=20_000)
-def path_buckets(path: tuple) -> tuple[int, ...]:
-    """Hashed features of a tag path: all its marks, the last elements by their distance from the leaf, and pairs."""
-    marks = [m for element in path for m in element]
-    names = [element[0] for element in path if element[0] not in ("html", "body")]
-    out = {f"m:{m}" for m in marks} | {f"p:{a}>{b}" for a, b in zip(names, names[1:], strict=False)}
-    out |= {f"l{i}:{m}" for i, element in enumerate(reversed(path[-4:])) for m in element}
-    return tuple(sorted(_bucket(x, PATH_BUCKETS) for x in out))
+def path_buckets(path: Element | None) -> tuple[int, ...]:
+    """Hashed features of a tag path: all its marks and pairs of neighbours, and the last elements by their distance."""
+    out = list(tail_buckets(last_marks(path)))
+    while path is not None:
+        out += path.fresh
+        path = path.parent
+    return tuple(out)
+
+
+def path_means(table: np.ndarray, blocks: list[Block]) -> np.ndarray:
+    """What bag_means gives for the blocks' path_buckets, with each element's part summed once."""
+    sums: dict[int, tuple[np.ndarray, int]] = {-1: (np.zeros(table.shape[1], table.dtype), 0)}
+    out = np.zeros((len(blocks), table.shape[1]), table.dtype)
+    for k, block in enumerate(blocks):
+        todo, at = [], block.path
+        while at is not None and at.index not in sums:
+            todo.append(at)
+            at = at.parent
+        for x in reversed(todo):
+            total, n = sums[x.parent.index if x.parent else -1]
+            sums[x.index] = (total + table[list(x.fresh)].sum(0), n + len(x.fresh)) if x.fresh else (total, n)
+        total, n = sums[block.path.index if block.path else -1]
+        last = tail_buckets(last_marks(block.path))
+        out[k] = (total + table[list(last)].sum(0)) / np.sqrt(n + len(last)) if last else table[0]
+    return out
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -225,7 +286,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def word_buckets(text: str) -> tuple[int, ...]:
     words = _WORD.findall(text.lower())
-    return tuple(_bucket(w, WORD_BUCKETS) for w in words[:60] + words[-20:]) or (0,)
+    return tuple(_bucket(w, WORD_BUCKETS) for w in words) or (0,)
 
 
 def measures(block: Block, i: int, n: int) -> list[float]:
@@ -249,22 +310,29 @@ class Labeller:
     def inputs(self, blocks: list[Block]) -> np.ndarray:
         """A row for each block: path vector, word vector, measures."""
         p, n = self.p, len(blocks)
-        paths, words = [path_buckets(b.path) or (0,) for b in blocks], [word_buckets(b.text) for b in blocks]
-        return np.concatenate([np.tanh(bag_means(p["path"], paths)), np.tanh(bag_means(p["word"], words)), np.array([measures(b, i, n) for i, b in enumerate(blocks)], np.float32)], 1)
+        words = np.concatenate([bag_means(p["word"], [word_buckets(b.text) for b in blocks[at : at + 1000]]) for at in range(0, n, 1000)])
+        return np.concatenate([np.tanh(path_means(p["path"], blocks)), np.tanh(words), np.array([measures(b, i, n) for i, b in enumerate(blocks)], np.float32)], 1)
 
     def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page the log odds of each block to be main text."""
         out: list[np.ndarray] = [np.empty(0, np.float32)] * len(pages)
         by_length = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for at in range(0, len(by_length), 64):
-            part = by_length[at : at + 64]
+        at = 0
+        while at < len(by_length):
+            to = at + 1
+            while to < min(at + 64, len(by_length)) and len(pages[by_length[to]]) * (to + 1 - at) <= GROUP:
+                to += 1
+            part, at = by_length[at:to], to
             x = [self.inputs(pages[i]) for i in part]
             lengths = np.array([len(v) for v in x])
             padded = np.zeros((lengths.max(), len(part), x[0].shape[1]), np.float32)
             for k, v in enumerate(x):
                 padded[: len(v), k] = v
-            states = [lstm_states(padded, lengths, self.p, d) for d in ("forward", "backward")]
-            odds = np.concatenate([*states, padded], 2) @ self.p["out"] + self.p["out_bias"]
+            odds, row = padded @ self.p["out"][-padded.shape[2] :] + self.p["out_bias"], 0
+            for d in ("forward", "backward"):
+                states = lstm_states(padded, lengths, self.p, d)
+                odds += states @ self.p["out"][row : row + states.shape[2]]
+                row += states.shape[2]
             for k, i in enumerate(part):
                 out[i] = odds[: lengths[k], k, 0]
         return out
@@ -273,9 +341,14 @@ class Labeller:
 def bag_means(vectors: np.ndarray, bags: list[tuple[int, ...]]) -> np.ndarray:
     """The sum of each bag's vectors over the root of its size."""
     sizes = np.array([len(b) for b in bags])
-    flat = np.fromiter((i for b in bags for i in b), np.int64, sizes.sum())
-    sums = np.add.reduceat(vectors[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), 0)
-    return sums / np.sqrt(sizes)[:, None]
+    small = np.flatnonzero(sizes <= LONG_BAG)
+    sums = np.zeros((len(bags), vectors.shape[1]), vectors.dtype)
+    if len(small):
+        flat = np.fromiter((i for k in small for i in bags[k]), np.int64, sizes[small].sum())
+        sums[small] = np.add.reduceat(vectors[flat], np.concatenate(([0], np.cumsum(sizes[small])[:-1])), 0)
+    for k in np.flatnonzero(sizes > LONG_BAG):
+        sums[k] = np.bincount(bags[k], minlength=len(vectors)).astype(vectors.dtype) @ vectors
+    return sums / np.sqrt(sizes)[:, None].astype(vectors.dtype)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -288,12 +361,15 @@ def lstm_states(x: np.ndarray, lengths: np.ndarray, p: dict[str, np.ndarray], di
     steps, n, _ = x.shape
     w, u, b = p[f"{direction}_x"], p[f"{direction}_h"], p[f"{direction}_b"]
     size = u.shape[0]
-    gates = x @ w + b
+    gates, base = None, -1
     h, c = np.zeros((n, size), x.dtype), np.zeros((n, size), x.dtype)
     out = np.zeros((steps, n, size), x.dtype)
     for t in range(steps) if direction == "forward" else range(steps - 1, -1, -1):
+        if t // STRETCH != base:
+            base = t // STRETCH
+            gates = x[base * STRETCH : (base + 1) * STRETCH] @ w + b
         live = (t < lengths).astype(x.dtype)[:, None]
-        g = gates[t] + h @ u
+        g = gates[t - base * STRETCH] + h @ u
         i, f, o, z = sigmoid(g[:, :size]), sigmoid(g[:, size : 2 * size]), sigmoid(g[:, 2 * size : 3 * size]), np.tanh(g[:, 3 * size :])
         new_c = f * c + i * z
         squashed = np.tanh(new_c)

@@ -12,13 +12,26 @@ import sys
 
 import numpy as np
 
-from .html import MEASURES, MODEL, PATH_BUCKETS, WORD_BUCKETS, Block, Labeller, bag_means, lstm_states, measures, path_buckets, read_blocks, word_buckets
+from .html import MEASURES, MODEL, PATH_BUCKETS, WORD_BUCKETS, Block, Element, Labeller, bag_means, lstm_states, measures, path_buckets, read_blocks, word_buckets
 
 SYLLABLES = ["an er in on re th the ti es en at ed nd ha to or is it ing ou", "en er ch de ein ge ung sch lich heit te zu be ver auf", "de la que en ción el os as ado ar mente ue ie co do", "le de la les ré é tion eau que ment an ou ai eux pa"]
 MENU = "Home About Contact Login Search Products Services News Blog Archive Help Support Careers Sitemap Accueil Startseite Inicio Impressum Kontakt".split()
 TALK = ["Reply", "Report", "Like", "posted by", "says:", "Share", "Permalink", "Antworten", "Responder", "Répondre"]
 BUTTONS = ["Subscribe", "Sign up", "Submit", "Send", "OK", "Accept", "Close", "Email address", "Your name", "Anmelden", "Enviar", "Envoyer", "Search"]
 
+#: Plain words and set phrases, so that not all text is made of syllables.
+PLAIN = [
+    "the of and to in that it was for on with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know",
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei",
+    "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué solo han yo hay vez puede todos así nos ni parte tiene",
+    "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la mais avec ou comme été son tout nous sa cette ont aux être fait leur même deux ces dont elle si ans encore aussi peut où bien sans je mon vous",
+]
+SAID = {
+    "advert": "Buy now and save;Limited offer;Shop the sale;Sponsored content;Free shipping on all orders;Learn more about our plans;Jetzt kaufen;Publicidad;Annonce".split(";"),
+    "notice": "We use cookies to improve your experience;By continuing you accept our privacy policy;Please enable JavaScript;Accept all cookies;This site uses cookies;Wir verwenden Cookies;Usamos cookies;Nous utilisons des cookies".split(";"),
+    "talk": "Great post, thanks;I disagree with this;First comment;Thanks for sharing;Could you explain this;Danke;Gracias;Merci".split(";"),
+    "foot": "All rights reserved;Terms of use;Privacy policy;Powered by;Impressum;Aviso legal;Mentions légales".split(";"),
+}
 #: Kind of region: (element names, marks that its class or id may carry, may it come without a mark).
 SIDE = {
     "menu": ("nav ul div nav nav", "nav menu navbar navigation main-menu topnav breadcrumb breadcrumbs links tabs pagination toc", True),
@@ -31,6 +44,9 @@ SIDE = {
     "talk": ("section div ol ul section", "comments comment-list discussion responses replies comment-thread disqus user-comments", False),
     "share": ("div ul p", "share social sharing follow meta byline toolbar actions", False),
 }
+#: Attributes that tell nothing.
+DRESS = (' style="color:red"', ' style="margin:0; padding:2px"', ' data-x="1"', ' lang="en"')
+HIDDEN = (' style="display:none"', ' style="display: none;"', " hidden", ' style="visibility:hidden"', ' aria-hidden="true"')
 MAIN = ("article main div section td div article", "article content post entry story main post-body article-body entry-content text body-text page-content blog-post post-content", True)
 
 
@@ -39,12 +55,17 @@ class Maker:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        self.syllables = self.r.choice(SYLLABLES).split()
         self.main: list[str] = []
-        self.tight = self.r.random() < 0.5
+        language = self.r.randrange(len(SYLLABLES))
+        self.syllables, self.plain = SYLLABLES[language].split(), PLAIN[language].split()
+        self.share = self.r.choice((0, 0, 0.3, 0.6))
+        #: How the page is laid out: with named regions, in nameless divs, in a table, or as bare text.
+        self.layout = self.r.choices(("named", "bare", "table", "text"), (76, 12, 8, 4))[0]
         self.unclosed = self.r.random() < 0.3
 
     def word(self) -> str:
+        if self.share and self.r.random() < self.share:
+            return self.r.choice(self.plain)
         w = "".join(self.r.choices(self.syllables, k=self.r.choice((1, 1, 2, 2, 3, 4))))
         return w + self.r.choice(("", "", "", "", "***", "%%%", "###", "&amp;&amp;&amp;")) if self.r.random() < 0.04 else w
 
@@ -64,6 +85,8 @@ class Maker:
 
     def opened(self, kind: tuple) -> tuple[str, str]:
         names, marks, bare = kind
+        if self.layout != "named":
+            return "div", "<div>"
         name = self.r.choice(names.split())
         if bare and self.r.random() < 0.4 and name not in ("div", "td", "ul", "ol", "p", "section"):
             return name, f"<{name}>"
@@ -76,7 +99,7 @@ class Maker:
         elif style < 0.3:
             mark = mark.title().replace("-", "")
         attribute = "id" if self.r.random() < 0.25 else "class"
-        return name, f'<{name} {attribute}="{mark}">'
+        return name, f'<{name} {attribute}="{mark}"{self.r.choice(DRESS) if self.r.random() < 0.1 else ""}>'
 
     def links(self, n: int) -> str:
         text = lambda: self.r.choice(MENU) if self.r.random() < 0.4 else self.words(1, 5)
@@ -108,6 +131,10 @@ class Maker:
             )
         else:
             inner = r.choice((self.links(3), f"{r.choice(('By', 'Von', 'Por', 'Par'))} {self.words(2, 2)}", " ".join(self.ref(x) for x in ("Facebook", "Twitter", "Email"))))
+        if kind in SAID and r.random() < 0.3:
+            inner = r.choice((f"{r.choice(SAID[kind])}. {inner}", f"<p>{r.choice(SAID[kind])}.</p>{inner}"))
+        if kind in ("notice", "advert", "share") and r.random() < 0.1:
+            start = start[:-1] + r.choice(HIDDEN) + ">"
         return f"{start}{inner}</{name}>"
 
     def keep(self, text: str) -> str:
@@ -129,6 +156,14 @@ class Maker:
 
     def paragraph(self) -> str:
         r, x = self.r, self.r.random()
+        if self.layout == "text":
+            return f"{self.inline(self.keep(self.prose(10)))}{r.choice(('<br>', '<br><br>'))}"
+        if self.layout == "table" and x < 0.3:
+            return f"<font size=2>{self.inline(self.keep(self.prose(10)))}</font><br><br>"
+        if self.layout == "bare" and x < 0.25:
+            return f"<div>{self.inline(self.keep(self.prose(10)))}</div>"
+        if x < 0.05 and self.layout == "named":  # set phrases of side matter stand in articles too
+            return f"<p>{self.keep(r.choice(r.choice(list(SAID.values()))) + r.choice(('.', '.', '!', '')))}</p>"
         if x < 0.68:
             return f"<p>{self.inline(self.keep(self.prose(14)))}" + ("" if self.unclosed and r.random() < 0.5 else "</p>")
         if x < 0.74:
@@ -156,11 +191,33 @@ class Maker:
         for _ in range(r.choice((1, 2, 3, r.randint(1, 24)))):
             inner += self.paragraph()
             if r.random() < 0.03:
-                inner += self.side(r.choice(("advert", "share", "side", "form", "notice")))
+                inner += self.side(r.choice(("advert", "share", "side", "form", "notice"))) if self.layout == "named" else ""
+            if self.layout == "named" and r.random() < 0.02:  # hidden text inside
+                inner += f"<div{r.choice(HIDDEN)}>{self.prose(2)}</div>"
         return f"{start}{inner}</{name}>"
 
+    def nameless(self) -> str:
+        """A page whose regions carry no names: links above or beside, the article, a last line."""
+        r = self.r
+        if self.layout == "text":
+            return "".join(self.paragraph() for _ in range(r.choice((1, 2, r.randint(1, 12)))))
+        last = f"{r.choice(('&copy; ', '© ', 'Copyright ', ''))}{r.randint(1990, 2030)} {self.words(1, 3)}. {r.choice(SAID['foot'])}"
+        before = "".join(self.side(k) for k in ("head", "menu") if r.random() < 0.8)
+        article = (f"<h{h}>{self.keep(self.words(2, 10))}</h{h}>" if (h := r.choice((0, 1, 1, 2))) else "") + "".join(self.paragraph() for _ in range(r.choice((1, 2, 4, r.randint(1, 16)))))
+        after = self.side("menu") if r.random() < 0.2 else ""
+        if self.layout == "bare":
+            article = r.choice((article, f"<div>{article}</div>", f"<div><div>{article}</div></div>"))
+            return f"{before}{article}{after}<div>{last}</div>" if r.random() < 0.7 else f"<div>{before}<div>{article}</div>{after}<p>{last}</p></div>"
+        beside = "<br>".join(self.ref(r.choice(MENU) if r.random() < 0.5 else self.words(1, 3)) for _ in range(r.randint(2, 9)))
+        width = r.choice(("", " width=150", " valign=top"))
+        top = f"<tr><td colspan=2>{self.words(1, 4)}</td></tr>" if r.random() < 0.5 else ""
+        return f"<table{r.choice(('', ' border=0', ' cellpadding=4'))}>{top}<tr><td{width}>{beside}</td><td>{article}</td></tr><tr><td colspan=2>{last}</td></tr></table>"
+
     def page(self) -> str:
         r = self.r
+        if self.layout != "named":
+            body = self.nameless()
+            return r.choice((body, f"<html><body>{body}</body></html>", f"<html><head><title>{self.words(2, 8)}</title></head><body bgcolor=white>{body}"))
         before = [self.side(k) for k in ("head", "menu", "notice", "advert", "menu", "form", "share") if r.random() < (0.75 if k == "menu" else 0.3)]
         after = [self.side(k) for k in ("share", "advert", "side", "talk", "form", "menu", "notice") if r.random() < 0.3]
         if r.random() < 0.3:
@@ -193,10 +250,13 @@ def labelled_page(seed: int) -> tuple[list[Block], np.ndarray, str]:
     return blocks, labels, " ".join(wanted) if at == len(wanted) else "\0"
 
 
-def _inside(path: tuple) -> bool:
+def _inside(path: Element | None) -> bool:
     """A text that side matter repeats by chance isn't taken for the article's."""
-    side = {"nav", "footer", "aside", "header", "form"}
-    return not any(e[0] in side for e in path)
+    while path is not None:
+        if path.marks[0] in ("nav", "footer", "aside", "header", "form"):
+            return False
+        path = path.parent
+    return True
 
 
 def train(n_pages: int, epochs: int, path_size: int = 32, word_size: int = 12, hidden: int = 24) -> dict[str, np.ndarray]:
