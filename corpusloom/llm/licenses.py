@@ -40,6 +40,17 @@ TEMPLATES = (
     ("cc-by-sa", "<<optional>>licensed under<<end>> <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by sa <<optional>>4 0<<end>>"),
     ("cc-by-plain", "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by 4 0"),
     ("all-rights-reserved", "all rights reserved"),
+    ("lgpl-header", "this <<var:1-2>> is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<<end>> <<optional>>library<<end>> general public license as published by the free software foundation either version <<var:1-3>> of the license or <<optional>>at your option<<end>> any later version"),
+    ("agpl-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or <<optional>>at your option<<end>> any later version"),
+    ("mpl-2.0-header", "this source code form is subject to the terms of the mozilla public license v 2 0 <<optional>>if a copy of the mpl was not distributed with this file you can obtain one at <<var:1-8>><<end>>"),
+    ("epl-2.0-header", "this program and the accompanying materials are made available under the terms of the eclipse public license <<optional>>v<<end>> 2 0 which <<optional>>accompanies this distribution and<<end>> is available at"),
+    ("cc0-notice", "to the extent possible under law <<var:1-12>> has waived all copyright and related or neighboring rights to"),
+    ("mit-full", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-full", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var:2-4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:2-4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-full", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>><<optional>>3<<end>> neither the name of <<var:1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>> this software is provided by <<var:2-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:2-8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib-full", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<optional>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<optional>>3<<end>> this notice may not be removed or altered from any source distribution"),
+    ("unlicense-full", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("boost-full", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
 )
 
 #: To a word's byte: itself, lower-cased if A-Z; all else becomes a space.

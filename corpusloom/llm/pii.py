@@ -2,7 +2,7 @@
 
 The base patterns run over the text as it is. A second pass undoes disguises: transducers (tries of rewriting rules,
 longest match first) replace look-alike letters and digits, drop invisible characters, spell number words as digits and
-turn "(at)", "[dot]", "at ... dot ..." into the characters they stand for. Every output character carries the source
+turn "(at)", "[dot]", "at ... dot ...", "_at_ ... _dot_ ..." into the characters they stand for. Every output character carries the source
 span it came from, so that a match in the normalised text maps back to exact code points. Matches of the second pass
 that touch no base span of their kind are added; base spans always stay.
 
@@ -146,18 +146,45 @@ SIGNED = re.compile(r"(?ai)[(\[{<]\s?(?:at|dot)\s?[)\]}>]")
 #: A local part however long, and what makes an address of it where that follows; a local part is read once either way.
 SPOKEN = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++(?:\s+dot\s+(?!at\s)[a-z0-9._%+-]++)*)(?:(\s+at\s+|\s?@\s?)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b)?")
 DOT = re.compile(r"(?ai)\sdot\s")
+AT = re.compile(r"(?ai)\sat\s")
+PLAIN_AT = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++)(\s+at\s+)([a-z0-9-]++(?:\.[a-z0-9-]++)++)")
+GLUED_AT, GLUED_DOT = re.compile(r"(?ai)[_-]at[_-]"), re.compile(r"(?ai)[_-]dot[_-]")
+GLUED = re.compile(r"(?ai)(?<![a-z0-9._%+-])[a-z0-9._%+-]++")
+#: Generic top-level domains, and words of two letters that are no country's in a spoken address.
+GENERIC_DOMAINS = frozenset("com org net edu gov mil int info biz name pro museum aero coop jobs mobi tel travel cat asia post xxx app dev blog shop site online tech store cloud live".split())
+SHORT_WORDS = frozenset("ab ad ah al am an as at au by da do du ei el em en er es et go he hi id if il in is it je la le lo ma me mi mu my na ne no nu of oh ok on or os ou ox pa pi re sa se si so su te ti to tu un up us va wa we wo ya ye zu".split())
 SPOKEN_DOT = re.compile(r"(?ai)\s+dot\s+")
 
 
+def _ends_well(domain: str) -> bool:
+    """Whether a domain in bare words ends like one, and not like a sentence."""
+    last = re.split(r"[\s._-]", domain.lower())[-1]
+    return last in GENERIC_DOMAINS or (len(last) == 2 and last.isalpha() and last not in SHORT_WORDS)
+
+
 def _spoken(tape: Tape) -> Tape:
-    """Bare "x at y dot z": at and dot become signs only where they stand together in this form."""
+    """Bare "x at y dot z" and x_at_y_dot_z: at and dot become signs only where they stand together in such a form and the
+    domain ends in a known way. "x at y.z" counts where x has a sign or digit, since words stand before web sites too."""
     text, cut = "".join(tape.chars), []
     for m in SPOKEN.finditer(text) if DOT.search(text) else ():
-        for k in (1, 3) if m[2] else ():
+        for k in (1, 3) if m[2] and (m[2].strip() == "@" or _ends_well(m[3])) else ():
             cut += [(m.start(k) + d.start(), m.start(k) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[k])]
             if k == 1:
                 cut.append((m.start(2), m.end(2), "@"))
-    return _spliced(tape, cut)
+    for m in PLAIN_AT.finditer(text) if AT.search(text) else ():
+        if not m[1].isalpha() and _ends_well(m[3]):
+            cut.append((m.start(2), m.end(2), "@"))
+    for m in GLUED.finditer(text) if GLUED_AT.search(text) else ():
+        at = GLUED_AT.search(m[0])
+        if at and at.start() and GLUED_DOT.search(m[0], at.end()) and _ends_well(m[0]):
+            cut.append((m.start() + at.start(), m.start() + at.end(), "@"))
+            cut += [(m.start() + d.start(), m.start() + d.end(), ".") for d in GLUED_DOT.finditer(m[0], at.end())]
+    out, free = [], 0
+    for c in sorted(cut):
+        if c[0] >= free:
+            out.append(c)
+            free = c[1]
+    return _spliced(tape, out)
 
 
 def _worded(run: str) -> bool:
@@ -203,7 +230,7 @@ def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of the normalised text, in source code points, that touch no base span of their kind."""
     odd = not text.isascii() and ODD.search(text)
-    if not (odd or SIGNED.search(text) or DOT.search(text) or any(_worded(m[0]) for m in RUN.finditer(text))):
+    if not (odd or SIGNED.search(text) or DOT.search(text) or (AT.search(text) and PLAIN_AT.search(text)) or (GLUED_AT.search(text) and GLUED_DOT.search(text)) or any(_worded(m[0]) for m in RUN.finditer(text))):
         return []
     tape = Tape.of(text)
     for stage in (FOLD.run, BRACKETED.run, _spoken):
