@@ -80,25 +80,72 @@ def _trigrams(data: bytes) -> np.ndarray:
     return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:] if len(b) > 2 else np.empty(0, np.uint32)
 
 
+#: Trigrams that a task holds of a group before it drops repeated ones.
+HELD = 4 << 20
+
+
 def trigram_sets(files: DataFrame, group: str, content: str) -> DataFrame:
-    """(group, trigram) pairs, distinct within each Arrow batch by a bitmap: the partial step of a distinct count."""
+    """(group, trigram) pairs, distinct within parts of an Arrow batch: the partial step of a distinct count. A worker holds
+    one group's trigrams at a time, HELD of them or one file's."""
     from pyspark.sql import functions as F
 
     def run(batches):
         import pyarrow as pa
 
+        def part(g, held):
+            found = np.unique(np.concatenate(held)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([g] * len(found), pa.string()), pa.array(found)], names=["group", "trigram"])
+
         for batch in batches:
-            bits: dict[str, np.ndarray] = {}
-            for g, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw:
-                    bits.setdefault(g, np.zeros(1 << 24, bool))[_trigrams(raw)] = True
-            for g, seen in bits.items():
-                found = np.flatnonzero(seen).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(found), pa.string()), pa.array(found)], names=["group", "trigram"])
+            groups = batch.column(0).to_pylist()
+            by: dict = {}
+            for i, g in enumerate(groups):
+                by.setdefault(g, []).append(i)
+            for g, rows in by.items():
+                held, n = [], 0
+                for i in rows:
+                    raw = batch.column(1)[i].as_py()
+                    if raw:
+                        held.append(np.unique(_trigrams(raw)))
+                        n += len(held[-1])
+                    if n >= HELD:
+                        yield part(g, held)
+                        held, n = [], 0
+                if held:
+                    yield part(g, held)
 
     return files.select(F.col(group).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "group string, trigram int")
 
 
+def fnv1a(units: list[np.ndarray]) -> np.ndarray:
+    """64-bit FNV-1a over the 16-bit units of each array, one step for each unit, all arrays side by side."""
+    out = np.full(len(units), 0xCBF29CE484222325, np.uint64)
+    lengths = np.array([len(x) for x in units], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    flat, starts = np.concatenate([*units, np.empty(0, np.uint16)]), np.concatenate(([0], np.cumsum(lengths)))
+    with np.errstate(over="ignore"):
+        for at in range(int(lengths.max(initial=0))):
+            live = order[: int(np.searchsorted(-lengths[order], -at, "left"))]
+            out[live] = (out[live] ^ flat[starts[live] + at].astype(np.uint64)) * np.uint64(0x100000001B3)
+    return out
+
+
+def line_hashes(lines: DataFrame, content: str = "content") -> DataFrame:
+    """lines with hash, the FNV-1a of the content's UTF-16 units as a signed 64-bit number; null contents hash as empty."""
+    from pyspark.sql.types import LongType, StructType
+
+    schema = StructType([*lines.schema.fields]).add("hash", LongType())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            units = [np.frombuffer((x or "").encode("utf-16-le", "surrogatepass"), "<u2") for x in batch.column(content).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fnv1a(units).view(np.int64))], names=[*batch.schema.names, "hash"])
+
+    return lines.mapInArrow(run, schema)
+
+
 def made_binary(raw: bytes, flips: np.ndarray) -> bytes:
     """Bytes with those at flips changed, so that they look binary: a NUL within the first five bytes, and no wide
     byte-order mark."""
@@ -110,3 +157,18 @@ def made_binary(raw: bytes, flips: np.ndarray) -> bytes:
     if out.startswith((b"\xff\xfe", b"\xfe\xff", b"\0\0\xfe\xff")):
         out = bytes([out[0] ^ 1]) + out[1:]
     return out
+
+
+def decode_checks(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, binary, decodes): whether a file looks binary, and the encoding in which all of it decodes, else null."""
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raws = [x or b"" for x in batch.column(1).to_pylist()]
+            texts = [strict_text(x) for x in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([looks_binary(x) for x in raws]), pa.array([t and t[1] for t in texts], pa.string())], names=["key", "binary", "decodes"])
+
+    return files.select(F.col(key).cast("string").alias("key"), F.col(content).cast("binary")).mapInArrow(run, "key string, binary boolean, decodes string")

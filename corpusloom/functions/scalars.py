@@ -115,6 +115,14 @@ def contained(path: Column) -> Column:
     return ~path.rlike(r"^(/|\\|[A-Za-z]:)") & (depth["low"] >= 0)
 
 
+def folded_path(path: Column) -> Column:
+    """A relative path with its . and .. segments worked off, for paths that contained() accepts."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(parts, start, lambda s, x: F.when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x))))
+    return F.array_join(kept, "/")
+
+
 def normal_path(path: Column) -> Column:
     """Sort key of a path: slashes only. Spark orders strings by their UTF-8 bytes."""
     return F.translate(path, "\\", "/")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def in_order():
     """Lines of a path in order."""
@@ -201,13 +203,13 @@ def milli(common: Column, a: Column, b: Column) -> Column:
     return F.when(m == 0, 1000).otherwise(F.floor((1000 * common + F.floor(m / 2)) / m)).cast("long")
 
 
-def similarities(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b, common, milli) of texts of two sets of line bags (key, line, c) that share a line; pairs (a, b) bounds which.
-    Without pairs, lines that very many texts share make many pairs: give pairs, or filter such lines first."""
+def similarities(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """(a, b, common, milli) of texts of two sets of line bags (key, line, c) that share least lines or more; pairs (a, b)
+    bounds which. Without pairs, left is a query set: give one that is small beside right."""
     sizes = lambda x, k, n: x.groupBy(F.col("key").alias(k)).agg(F.sum("c").alias(n))
     a, b = left.select(F.col("key").alias("a"), "line", F.col("c").alias("ca")), right.select(F.col("key").alias("b"), "line", F.col("c").alias("cb"))
     met = a.join(b, "line") if pairs is None else pairs.join(a, "a").join(b, ["b", "line"])
-    common = met.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("common"))
+    common = met.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("common"), F.count("*").alias("lines")).where(F.col("lines") >= least)
     return common.join(sizes(left, "a", "na"), "a").join(sizes(right, "b", "nb"), "b").select("a", "b", "common", milli(F.col("common"), F.col("na"), F.col("nb")).alias("milli"))
 
 
@@ -302,7 +304,7 @@ def joint_edits(lines: DataFrame, density: float, overlap: float, seed: int) ->
 def shards(rows: DataFrame, order: str, size: int) -> DataFrame:
     """rows with shard, size rows each in order. Ranks come from a range sort: counts per partition, then a rank within
     each, so that no single task sees all rows."""
-    part = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    part = cut(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))  # written: both uses see one dealing
     first = part.groupBy("_p").agg(F.count("*").alias("c"))
     starts = first.select("_p", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order))).join(F.broadcast(starts), "_p")

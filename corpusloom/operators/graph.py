@@ -1,8 +1,9 @@
 """Reachability, class hierarchies and fixpoints over edge tables.
 
-Fixpoints are loops on the driver over DataFrames. A round joins the frontier with the edges and takes away what was
-seen; rounds end when nothing is new. Each round's frontier goes to the shared checkpoint folder (a table there, so that
-lineage stays short and a lost executor costs a read). Edges are partitioned by their join key once and kept.
+Fixpoints are loops on the driver over DataFrames. A job joins the frontier with the edges, several steps at once, and takes
+away what was seen; jobs end when nothing is new. Each job's result goes to the shared checkpoint folder (a table there, so
+that lineage stays short and a lost executor costs a read). Edges are partitioned by their join key once and kept. Long
+chains are shortened by doubling: steps taken grow with the logarithm of a chain's length.
 """
 
 from __future__ import annotations
@@ -16,41 +17,85 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a local session gets a folder of its own, and a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="corpusloom-graph-"))
-    path = f"{where.rstrip('/')}/corpusloom-graph/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="corpusloom-graph-")
+        where = _OWN[app]
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/corpusloom-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Steps of one job at most, and the size of a frontier from which on a job takes one step only.
+MOST_STEPS, WIDE = 12, 2_000_000
+#: Steps after which chains are shortened.
+PATIENCE = 24
 
 
-def reach(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node) reachable from roots (node) over edges (src, dst), roots included. Cycles are fine."""
-    edges = edges.select("src", "dst").distinct().repartition("src").persist()
-    seen = cut(roots.select("node").distinct())
-    frontier = seen
+def shortcuts(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) over 2, 4, 8, ... steps along chains, that is nodes with one way on. They are paths of the graph, so
+    that they change nothing of what is reachable."""
+    jump = cut(edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1 and src <> dst").select("src", "dst"))
+    longest, out, span = jump.count(), None, 1
+    while span < longest:
+        jump = cut(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("on")), "dst").select("src", F.col("on").alias("dst")))
+        if not jump.take(1):
+            break
+        out, span = jump if out is None else out.unionByName(jump), 2 * span
+    return out if out is not None else edges.limit(0)
+
+
+def reach(edges: DataFrame, roots: DataFrame, most_jobs: int = 100_000) -> DataFrame:
+    """(node) reachable from roots (node) over edges (src, dst), roots included. Cycles are fine. A job takes 1, 2, 4, ...
+    steps while frontiers are small, and ends with one anti-join against what was seen."""
+    kept = edges.select("src", "dst").distinct().repartition("src").persist()
+    seen = frontier = cut(roots.select("node").distinct())
+    steps, taken, shortened = 1, 0, False
     try:
-        for _ in range(most_rounds):
-            found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-            frontier = cut(found.join(seen, "node", "left_anti"))
-            if not frontier.take(1):
-                return seen
-            seen = seen.unionByName(frontier)
+        for _ in range(most_jobs):
+            met = frontier.withColumn("k", F.lit(0))
+            for k in range(steps):  # each step reads the one before once; a group by node keeps the edges' partitioning
+                on = met.join(kept, (met["node"] == kept["src"]) & (met["k"] == k), "left")
+                pair = F.array(F.struct(F.col("node"), F.col("k")), F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), F.lit(k + 1).alias("k"))))
+                met = on.select(F.explode(F.array_compact(pair)).alias("x")).groupBy("x.node").agg(F.min("x.k").alias("k"))
+            new = cut(met.where("k > 0").join(seen, "node", "left_anti"))
+            # nodes met before the last step have been followed within the job
+            frontier = new.where(F.col("k") == steps).select("node")
+            seen = seen.unionByName(new.select("node"))
             if len(seen.inputFiles()) > 400:
                 seen = cut(seen)
-        raise RuntimeError(f"not closed after {most_rounds} rounds")
+            size = frontier.count()
+            if not size:
+                return seen
+            taken += steps
+            steps = 1 if size >= WIDE else min(2 * steps, MOST_STEPS)
+            if taken >= PATIENCE and not shortened:
+                shortened = True
+                longer = edges.select("src", "dst").union(shortcuts(kept)).distinct().repartition("src").persist()
+                kept.unpersist()
+                kept = longer
+        raise RuntimeError(f"not closed after {most_jobs} jobs")
     finally:
-        edges.unpersist()
+        kept.unpersist()
 
 
-def reach_acyclic(spark: SparkSession, edges: str, roots: str, depth: int = 100) -> DataFrame:
-    """The same for graphs without cycles, as one recursive query over two views (src, dst) and (node)."""
+def reach_acyclic(spark: SparkSession, edges: str, roots: str, depth: int = 10_000) -> DataFrame:
+    """The same for graphs without cycles, as one recursive query over two views (src, dst) and (node); paths longer than
+    depth are an error."""
     return spark.sql(
-        f"""WITH RECURSIVE r(node, d) AS (
-              SELECT node, 0 FROM {roots} UNION ALL SELECT e.dst, r.d + 1 FROM r JOIN {edges} e ON e.src = r.node WHERE r.d < {depth})
+        f"""WITH RECURSIVE r(node, d) MAX RECURSION LEVEL {depth} AS (
+              SELECT node, 0 FROM {roots} UNION ALL SELECT e.dst, r.d + 1 FROM r JOIN {edges} e ON e.src = r.node)
             SELECT DISTINCT node FROM r"""
     )
 
@@ -79,15 +124,25 @@ def mode_edges(direct: DataFrame, implicit: DataFrame, virtual: DataFrame, membe
 
 def ancestors(spark: SparkSession, bases: DataFrame) -> DataFrame:
     """(cls, anc, path) of every class above every class of bases (cls, base, ord), with the class itself; path is the
-    order in which a depth-first walk meets it."""
-    name = f"bases_{uuid.uuid4().hex}"
-    bases.createOrReplaceTempView(name)
-    return spark.sql(
-        f"""WITH RECURSIVE up(cls, anc, path) AS (
-              SELECT cls, cls, CAST(array() AS ARRAY<INT>) FROM (SELECT cls FROM {name} UNION SELECT base FROM {name} WHERE base IS NOT NULL)
-              UNION ALL SELECT u.cls, b.base, concat(u.path, array(CAST(b.ord AS INT))) FROM up u JOIN {name} b ON b.cls = u.anc WHERE b.base IS NOT NULL)
-            SELECT cls, anc, path FROM up"""
-    )
+    least one, in the order in which a depth-first walk meets it. One row for a pair however many ways lead up, found by
+    doubling: a round joins what lies within k steps with itself. Least paths of a hierarchy without cycles consist of
+    least paths, since two paths to one class are never prefixes of each other."""
+    known = bases.where("base IS NOT NULL")
+    classes = bases.select("cls").union(known.select("base")).distinct()
+    nothing = F.array().cast("array<int>")
+    step = known.select("cls", F.col("base").alias("anc"), F.array(F.col("ord").cast("int")).alias("path"))
+    least = lambda x: x.groupBy("cls", "anc").agg(F.min("path").alias("path"))
+    up = cut(least(classes.select("cls", F.col("cls").alias("anc"), nothing.alias("path")).unionByName(step)))
+    state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("cls", "anc", "path").cast("decimal(38,0)"))).first())
+    before, span, most = state(up), 1, classes.count()
+    while span < most:
+        on = up.select(F.col("cls").alias("anc"), F.col("anc").alias("top"), F.col("path").alias("rest"))
+        up = cut(least(up.join(on, "anc").select("cls", F.col("top").alias("anc"), F.concat("path", "rest").alias("path"))))
+        span *= 2
+        if (now := state(up)) == before:
+            break
+        before = now
+    return up
 
 
 def subtree(up: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.bytes import featured, trigram_sets
+from .graph import cut
 
 
 def rank_percentile(ordered: str, q_num: int, q_den: int, *keys: str) -> Column:
@@ -87,7 +88,7 @@ def samples(files: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def file_stats(files: DataFrame) -> DataFrame:
     """A row for each file (path, content): all statistics of its prefix, and its content class."""
-    made = featured(files)
+    made = featured(files).repartition("key")  # the one shuffle: all that follows goes by this key
     lines = T.lines_lf(made, "text", "key")
     tallies = T.line_tallies(lines, "key").join(T.distinct_identifiers(lines, "key"), "key", "left").join(T.modal_commas(lines, "key"), "key", "left")
     joined = made.drop("text").join(tallies, "key", "left")
@@ -163,7 +164,7 @@ def fold_small(clusters: DataFrame, files: DataFrame, least: int, *keys: str) ->
 def distinct_trigrams(files: DataFrame, group: str, content: str) -> DataFrame:
     """(group, distinct_tri) for each group, exactly; group null is the whole corpus. At most 2^24 rows per group reach
     the count."""
-    found = trigram_sets(files, group, content).distinct()
+    found = cut(trigram_sets(files, group, content).distinct())
     per = found.groupBy("group").agg(F.count("*").alias("distinct_tri"))
     return per.unionByName(found.select("trigram").distinct().agg(F.count("*").alias("distinct_tri")).select(F.lit(None).cast("string").alias("group"), "distinct_tri"))
 
@@ -181,6 +182,16 @@ def population_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.sum("files").alias("file_count"), F.sum("bytes").alias("total_bytes"), F.sum("idents").alias("ident_count"))
 
 
+def parsed_source_bytes(classed: DataFrame) -> DataFrame:
+    """(class, bytes) of files (size, class) that are parsed as source."""
+    return classed.where(S.is_parsed_source(F.col("class"))).groupBy("class").agg(F.sum("size").alias("bytes"))
+
+
+def indexed_bytes(files: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row: the bytes of all files (path, size) but those that were sampled (path, class) and found binary."""
+    return files.join(stats.select("path", "class"), "path", "left").agg(F.sum(F.when(F.col("class").eqNullSafe("binary"), 0).otherwise(F.col("size"))).alias("indexed_bytes"))
+
+
 def profile(files: DataFrame, sample: int = 50, least: int = 5, posture: str = "class-labeled") -> dict[str, DataFrame]:
     """The sections of a profile of files (path, size, content), each a DataFrame; the posture says what may leave."""
     reads, exact = S.POSTURES[posture]
@@ -209,8 +220,8 @@ def profile(files: DataFrame, sample: int = 50, least: int = 5, posture: str = "
     out |= {
         "classes": modal.join(kept, ["ext", "band"]),
         "densities": bands.drop(*hidden),
-        "parsed_source_by_class": classed.where(S.is_parsed_source(F.col("class"))).groupBy("class").agg(F.sum("size").alias("bytes")),
-        "indexed": flat.join(stats.select("path", "class"), "path", "left").agg(F.sum(F.when(F.col("class").eqNullSafe("binary"), 0).otherwise(F.col("size"))).alias("indexed_bytes")),
+        "parsed_source_by_class": parsed_source_bytes(classed),
+        "indexed": indexed_bytes(flat, stats),
     }
     if exact:
         out["content"] = content_means(stats, "ext", "band").join(kept, ["ext", "band"])

@@ -3,8 +3,6 @@ verdict. All joins are equi-joins, semi or anti where only existence counts."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +83,8 @@ def resolve_includes(includes: DataFrame, dirs: DataFrame, files: DataFrame) ->
     # the search path is a list of directories of the build: its size does not follow the corpus
     searched = includes.crossJoin(F.broadcast(dirs)).where(F.col("idx") >= least).select("id", "idx", "dir", "spec")
     path = F.when(F.col("dir") == "", F.col("spec")).otherwise(F.concat_ws("/", "dir", "spec"))
-    flat = F.regexp_replace(F.regexp_replace(path, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
-    hits = own.unionByName(searched).select("id", "idx", flat.alias("path")).where(S.contained(F.col("path"))).join(files.select("path"), "path", "left_semi")
+    flat = S.folded_path(F.col("path"))
+    hits = own.unionByName(searched).select("id", "idx", path.alias("path")).where(S.contained(F.col("path"))).select("id", "idx", flat.alias("path")).join(files.select("path"), "path", "left_semi")
     return hits.groupBy("id").agg(F.min_by("path", "idx").alias("path"), F.min("idx").alias("idx"))
 
 
@@ -140,21 +138,22 @@ def resolve_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return local.unionByName(rest.join(nodes.where("NOT local").select("name", "key"), "name").select("unit", "name", "key"))
 
 
-def affix_matches(patterns: DataFrame, names: DataFrame, digits_only: bool = False, block: int = 3) -> DataFrame:
-    """(id, name): names that start with prefix and end with suffix, without overlap. Patterns (id, prefix, suffix) with a
-    prefix or suffix of block characters meet names by those, as an equi-join; shorter ones meet by what they have."""
+def affix_matches(patterns: DataFrame, names: DataFrame, digits_only: bool = False) -> DataFrame:
+    """(id, name): names that start with prefix and end with suffix, without overlap. Patterns (id, prefix, suffix) meet names
+    by their whole prefix, or without one by their whole suffix: a name stands under its beginnings (or ends) of those
+    lengths that patterns have, which are few."""
     fits = (F.length("name") >= F.length("prefix") + F.length("suffix")) & F.startswith("name", F.col("prefix")) & F.endswith("name", F.col("suffix"))
     if digits_only:
         middle = F.expr("substring(name, length(prefix) + 1, length(name) - length(prefix) - length(suffix))")
         fits = fits & middle.rlike("^[0-9]+$")
-    out = []
-    for n in range(block, 0, -1):
-        exactly = (F.length("prefix") >= n) if n == block else (F.length("prefix") == n)
-        out.append(patterns.where(exactly).withColumn("k", F.substring("prefix", 1, n)).join(names.withColumn("k", F.substring("name", 1, n)), "k"))
-    for n in range(block, 0, -1):
-        exactly = (F.length("suffix") >= n) if n == block else (F.length("suffix") == n)
-        out.append(patterns.where((F.length("prefix") == 0) & exactly).withColumn("k", F.expr(f"right(suffix, {n})")).join(names.withColumn("k", F.expr(f"right(name, {n})")), "k"))
-    return reduce(DataFrame.unionByName, out).where(fits).select("id", "name").distinct()
+
+    def met(side: DataFrame, by: str, part: str) -> DataFrame:
+        lengths = [r.n for r in side.select(F.length(by).alias("n")).distinct().collect() if r.n]
+        parts = F.array(*[F.when(F.length("name") >= n, F.expr(f"{part}(name, {n})")) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+        return side.join(names.select("name", F.explode(F.array_compact(parts)).alias("k")), F.col(by) == F.col("k"))
+
+    found = met(patterns.where("prefix <> ''"), "prefix", "left").unionByName(met(patterns.where("prefix = '' AND suffix <> ''"), "suffix", "right"))
+    return found.where(fits).select("id", "name").distinct()
 
 
 def base_mismatches(class_lines: DataFrame, bases: DataFrame) -> DataFrame:
@@ -185,3 +184,19 @@ def report(violations: DataFrame, top: int = 20) -> list[str]:
     total = violations.count()
     lines = [f"{r.check}: {r.key} {r.site or ''} {r.reason}" for r in violations.orderBy("check", "key", "site").limit(top).collect()]
     return lines + ([f"... and {total - top} more"] if total > top else [])
+
+
+def byte_mass(symbols: DataFrame) -> DataFrame:
+    """One row: symbols, and the bytes of those whose bytes are known."""
+    return symbols.agg(F.count("*").alias("symbols"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def only_here(mine: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """The rows of mine whose keys others lack."""
+    return mine.join(others.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def first_occurrences(df: DataFrame, order: str, *keys: str) -> DataFrame:
+    """Of rows with the same keys the one that comes first in order; (keys..., order, all other columns)."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("x")).select(*keys, "x.*")

@@ -88,29 +88,27 @@ def jon_13_completeness(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-  bag AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY 1, 2), sz AS (SELECT doc_id, sum(c) AS n FROM bag GROUP BY 1),
-  rare AS (SELECT line FROM bag GROUP BY 1 HAVING count(*) <= 20),
-  pair AS (SELECT x.doc_id AS a, y.doc_id AS b FROM bag x JOIN bag y USING (line) JOIN rare USING (line) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT a, b, cast(sum(least(x.c, y.c)) AS BIGINT) AS common, cast((1000 * sum(least(x.c, y.c)) + greatest(any_value(p.n), any_value(q.n)) // 2) // greatest(any_value(p.n), any_value(q.n)) AS BIGINT) AS milli
-FROM pair JOIN bag x ON x.doc_id = a JOIN bag y ON y.doc_id = b AND x.line = y.line JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b GROUP BY a, b""")
+  bag AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY 1, 2), sz AS (SELECT doc_id, sum(c) AS n FROM bag GROUP BY 1)
+SELECT x.doc_id AS a, y.doc_id AS b, cast(sum(least(x.c, y.c)) AS BIGINT) AS common, cast((1000 * sum(least(x.c, y.c)) + greatest(any_value(p.n), any_value(q.n)) // 2) // greatest(any_value(p.n), any_value(q.n)) AS BIGINT) AS milli
+FROM bag x JOIN bag y USING (line) JOIN sz p ON p.doc_id = x.doc_id JOIN sz q ON q.doc_id = y.doc_id WHERE x.doc_id % 20 = 0 AND x.doc_id <> y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2""")
 def sim_01_line_similarity(spark, sf_dir):
-    """Pairs that share two lines or more, met by lines that at most 20 documents hold; scored on all their lines. A line
-    of very many documents tells nothing of a pair, and as a join key would make pairs by the square."""
+    """A search: each document whose id is divisible by 20 against all others that share two lines or more with it."""
     bags = D.line_bags(lines(spark, sf_dir).withColumn("path", F.col("path").cast("long")).where("content <> ''"))
-    rare = bags.groupBy("line").agg(F.count("*").alias("docs")).where("docs <= 20").select("line")
-    met = bags.join(rare, "line", "left_semi").select("key", "line")
-    pairs = met.select(F.col("key").alias("a"), "line").join(met.select(F.col("key").alias("b"), "line"), "line").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-    return D.similarities(bags, bags, pairs)
+    return D.similarities(bags.where("key % 20 = 0"), bags, least=2).where("a <> b")
 
 
 @query("""WITH d AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2),
   i AS (SELECT item_id, line, count(*) AS c FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) GROUP BY 1, 2),
-  n AS (SELECT doc_id, sum(c) AS n FROM d GROUP BY 1), m AS (SELECT item_id, sum(c) AS n FROM i GROUP BY 1)
+  n AS (SELECT doc_id, sum(c) AS n FROM d GROUP BY 1), m AS (SELECT item_id, sum(c) AS n FROM i GROUP BY 1),
+  wanted AS (SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (line) WHERE length(line) > 20)
 SELECT item_id AS a, doc_id AS b, cast(sum(least(i.c, d.c)) AS BIGINT) AS common, cast((1000 * sum(least(i.c, d.c)) + greatest(any_value(n.n), any_value(m.n)) // 2) // greatest(any_value(n.n), any_value(m.n)) AS BIGINT) AS milli
-FROM i JOIN d USING (line) JOIN n USING (doc_id) JOIN m USING (item_id) GROUP BY 1, 2""")
+FROM wanted JOIN i USING (item_id) JOIN d USING (doc_id, line) JOIN n USING (doc_id) JOIN m USING (item_id) GROUP BY 1, 2""")
 def jon_18_margin(spark, sf_dir):
+    """Benchmark items against documents that share a line of more than 20 characters: the pairs wanted."""
     items = T.lines_lf(table(spark, sf_dir, "benchmark"), "text", "item_id").select(F.col("item_id").alias("path"), F.col("line").alias("content"))
-    return D.similarities(D.line_bags(items), D.line_bags(lines(spark, sf_dir).withColumn("path", F.col("path").cast("long"))))
+    mine, all_ = D.line_bags(items), D.line_bags(lines(spark, sf_dir).withColumn("path", F.col("path").cast("long")))
+    long = lambda x, name: x.where(F.length("line") > 20).select(F.col("key").alias(name), "line")
+    return D.similarities(mine, all_, long(mine, "a").join(long(all_, "b"), "line").select("a", "b").distinct())
 
 
 # ---- digests ----
@@ -142,13 +140,13 @@ def dig_03_cpp(spark, sf_dir):
     return G.cpp_sha(virtual, m, m.withColumn("via", F.lit("arg")).withColumn("dispatched", F.lit(True)), kinds, n.limit(0).select(F.col("n_name").alias("name")))
 
 
-@query("WITH f AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) " + sections_sql((fields("o_orderkey", "'content'", "o_orderstatus", "'n'", "o_custkey", "o_custkey + 1"), "f"), (fields("o_orderkey", "'replace'", "o_custkey", "1", "o_custkey", "1"), "f"), (fields("o_orderkey", "'replace'", "20", "1", "5000", "1"), "r"), (fields("o_orderkey", "o_orderkey + 1", "900"), "r")))
+@query("WITH f AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0), h AS (SELECT * FROM orders WHERE o_orderkey % 3 = 1), r AS (SELECT * FROM orders WHERE o_orderkey % 3 = 2) " + sections_sql((fields("o_orderkey", "'content'", "o_orderstatus", "'n'", "o_custkey", "o_custkey + 1"), "f"), (fields("o_orderkey", "'replace'", "o_custkey", "1", "o_custkey", "1"), "h"), (fields("o_orderkey", "'replace'", "20", "1", "5000", "1"), "r"), (fields("o_orderkey", "o_orderkey + 1", "900"), "r")))
 def dig_04_diff(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), "o_orderstatus", "o_custkey")
-    f, r = o.where("path % 3 = 0"), o.where("path % 5 = 0")
+    f, h, r = (o.where(f"path % 3 = {k}") for k in range(3))  # every order is in one kind of section
     c = F.col("o_custkey")
     recs = f.select("path", F.lit("content").alias("reason"), F.col("o_orderstatus").alias("old_sha"), F.lit("n").alias("new_sha"), c.alias("old_size"), (c + 1).alias("new_size"))
-    hunks = f.select("path", F.lit("replace").alias("op"), c.alias("old_start"), F.lit(1).alias("old_lines"), c.alias("new_start"), F.lit(1).alias("new_lines"))
+    hunks = h.select("path", F.lit("replace").alias("op"), c.alias("old_start"), F.lit(1).alias("old_lines"), c.alias("new_start"), F.lit(1).alias("new_lines"))
     rules = r.select("path", F.lit("replace").alias("op"), F.lit(20).alias("stride"), F.lit(1).alias("range_start"), F.lit(5000).alias("range_end"), F.lit(1).alias("per_hunk"))
     return G.diff_sha(recs, hunks, rules, r.select(F.col("path").alias("from"), (F.col("path") + 1).alias("to"), F.lit(900).alias("similarity_milli")))
 

@@ -47,9 +47,9 @@ def read_manifest(spark: SparkSession, text: str) -> tuple[DataFrame, dict]:
     return raw.select("name", "ord", F.from_json("body", VERSIONS[version].replace("bigint", "long")).alias("s")).select("name", "ord", "s.*"), meta
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, fields) of many manifests, one document a file, read in parallel."""
-    one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"struct<symbols:map<string,{SYMBOL_V2}>>").alias("m"))
+def read_manifests(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(file, name, fields) of many manifests, read in parallel: one document a file, or with whole False one a line."""
+    one = spark.read.text(path, wholetext=whole).select(F.input_file_name().alias("file"), F.from_json("value", f"struct<symbols:map<string,{SYMBOL_V2}>>").alias("m"))
     return one.select("file", F.explode("m.symbols").alias("name", "s")).select("file", "name", "s.*")
 
 

@@ -97,6 +97,22 @@ def write_list(names: Iterable[str], path: str, hash_only: bool = False) -> tupl
     return h.hexdigest(), n
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Files (path, content) of a tree below a local or mounted folder, each written by the task that holds it, under a name
+    of its own first and then renamed, so that a task that runs twice leaves one whole file."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                write_atomic(full, content or b"", text=False)
+            yield batch.slice(0, 0)
+
+    root = root.removeprefix("file://")
+    files.select("path", F.col("content").cast("binary")).mapInArrow(run, "path string, content binary").write.format("noop").mode("overwrite").save()
+
+
 def carve(lines: DataFrame, dropped: DataFrame) -> DataFrame:
     """(path, text) of lines (path, n, content, term) without the define lines of dropped names (name)."""
     from ..operators.delta import rebuilt

@@ -61,3 +61,26 @@ def test_instances_and_records(spark):
     m = spark.createDataFrame([("A", "f", "A::f", False), ("B", "f", "B::f", False)], "cls string, name string, symbol string, pure boolean")
     rec = spark.createDataFrame([("x", "A::f", ["A::f", "B::f"]), ("y", "A::f", ["A::f"])], "src string, static string, cha array<string>")
     assert [r.src for r in G.virtual_record_violations(rec, G.ancestors(spark, b), m).collect()] == ["y"]
+
+
+def test_long_chain_by_doubling(spark):
+    """A chain far longer than the jobs that follow it, with a fork and a cycle at its end."""
+    n = 5000
+    edges = spark.range(n).selectExpr("id AS src", "id + 1 AS dst").unionByName(spark.createDataFrame([(n, 10), (70, 9001), (9001, 9002), (9100, 9101)], "src long, dst long"))
+    got = {r.node for r in G.reach(edges, spark.range(1).toDF("node")).collect()}
+    assert got == set(range(n + 1)) | {9001, 9002}
+
+
+def test_chain_past_the_recursion_limit(spark):
+    spark.range(151).selectExpr("id AS src", "id + 1 AS dst").createOrReplaceTempView("chain_edges")
+    spark.range(1).selectExpr("id AS node").createOrReplaceTempView("chain_root")
+    assert G.reach_acyclic(spark, "chain_edges", "chain_root").count() == 152
+
+
+def test_class_lattice(spark):
+    """Two classes a level, each with both of the level above as bases: paths double with each level, rows do not."""
+    levels = 30
+    rows = [(2 * level + k, 2 * (level - 1) + b, b) for level in range(1, levels) for k in range(2) for b in range(2)]
+    up = {(r.cls, r.anc): list(r.path) for r in G.ancestors(spark, spark.createDataFrame(rows, "cls long, base long, ord int")).collect()}
+    assert len(up) == sum(1 + 2 * level for level in range(levels)) * 2
+    assert up[58, 0] == [0] * 29 and up[58, 1] == [0] * 28 + [1] and up[7, 7] == []

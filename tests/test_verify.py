@@ -61,3 +61,17 @@ def test_kinds_bases_verdict(spark):
     assert [r.key for r in V.repeated_items(lists, "k", "v").collect()] == ["a"]
     assert V.compile_db_mismatches(spark.createDataFrame([("u",), ("w",)], "unit string"), spark.createDataFrame([("u", ["b", "a"])], "unit string, incs array<string>"), ["a", "b"]).count() == 2
     assert V.refs_on_definitions(spark.createDataFrame([("r", "s:1")], "name string, site string"), spark.createDataFrame([("s:1",)], "site string")).count() == 1
+
+
+def test_includes_with_nested_dots(spark):
+    includes = spark.createDataFrame([(1, "a/b/c", "../../d.h", False, -1, False), (2, "a/b/c", "./.././x/../e.h", False, -1, False), (3, "a", "../../d.h", False, -1, False)], "id int, from_dir string, spec string, angled boolean, found_idx int, next boolean")
+    files = spark.createDataFrame([("a/d.h",), ("a/b/e.h",), ("d.h",)], "path string")
+    dirs = spark.createDataFrame([(0, "inc")], "idx int, dir string")
+    assert {r.id: r.path for r in V.resolve_includes(includes, dirs, files).collect()} == {1: "a/d.h", 2: "a/b/e.h"}
+
+
+def test_affixes_of_any_length(spark):
+    names = [f"{a}{b}{c}" for a in ("pre", "p", "", "prefix") for b in ("", "1", "mid") for c in ("", "s", "suf")]
+    patterns = [(i, p, q) for i, (p, q) in enumerate((p, q) for p in ("", "p", "pre", "prefix") for q in ("", "s", "suf") if p or q)]
+    got = {(r.id, r.name) for r in V.affix_matches(spark.createDataFrame(patterns, "id int, prefix string, suffix string"), spark.createDataFrame([(n,) for n in set(names)], "name string")).collect()}
+    assert got == {(i, n) for i, p, q in patterns for n in set(names) if n.startswith(p) and n.endswith(q) and len(n) >= len(p) + len(q)}
