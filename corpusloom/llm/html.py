@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -83,8 +84,9 @@ class Element:
         self.added = [f"m:{m}" for m in set(marks)]
         if above and self.name is marks[0]:
             self.added.append(f"p:{above}>{marks[0]}")
-        self.fresh = tuple(_bucket(x, PATH_BUCKETS) for x in self.added if not held[x])
-        held.update(self.added)
+        self.fresh = tuple([_bucket(x, PATH_BUCKETS) for x in self.added if not held[x]])
+        for x in self.added:
+            held[x] += 1
 
 
 class Block:
@@ -162,7 +164,8 @@ def read_blocks(page: str) -> list[Block]:
     def close(i: int) -> None:
         for tag, element in stack[i:]:
             open_[tag] -= 1
-            held.subtract(element.added)
+            for x in element.added:
+                held[x] -= 1
         del stack[i:]
 
     while at < n:
@@ -263,30 +266,53 @@ def path_buckets(path: Element | None) -> tuple[int, ...]:
     return tuple(out)
 
 
-def path_means(table: np.ndarray, blocks: list[Block]) -> np.ndarray:
-    """What bag_means gives for the blocks' path_buckets, with each element's part summed once."""
-    sums: dict[int, tuple[np.ndarray, int]] = {-1: (np.zeros(table.shape[1], table.dtype), 0)}
-    out = np.zeros((len(blocks), table.shape[1]), table.dtype)
-    for k, block in enumerate(blocks):
+def path_means(table: np.ndarray, blocks: list[Block], known: dict | None = None) -> np.ndarray:
+    """What bag_means gives for the blocks' path_buckets, with each element's part summed once. known: sums by bucket tuple,
+    kept from page to page."""
+    known = {} if known is None else known
+    none = np.zeros(table.shape[1], table.dtype)
+
+    def total(buckets: tuple[int, ...]) -> np.ndarray:
+        if (x := known.get(buckets)) is None:
+            x = known[buckets] = table[list(buckets)].sum(0) if buckets else none
+        return x
+
+    sums: dict[int, tuple[np.ndarray, int]] = {-1: (none, 0)}
+    paths, ends, sizes = [], [], []
+    for block in blocks:
         todo, at = [], block.path
         while at is not None and at.index not in sums:
             todo.append(at)
             at = at.parent
         for x in reversed(todo):
-            total, n = sums[x.parent.index if x.parent else -1]
-            sums[x.index] = (total + table[list(x.fresh)].sum(0), n + len(x.fresh)) if x.fresh else (total, n)
-        total, n = sums[block.path.index if block.path else -1]
-        last = tail_buckets(last_marks(block.path))
-        out[k] = (total + table[list(last)].sum(0)) / np.sqrt(n + len(last)) if last else table[0]
-    return out
+            above, n = sums[x.parent.index if x.parent else -1]
+            sums[x.index] = (above + total(x.fresh), n + len(x.fresh)) if x.fresh else (above, n)
+        path, n = sums[block.path.index if block.path else -1]
+        last = tail_buckets(last_marks(block.path)) or (0,)  # no path at all is the first bucket
+        paths.append(path)
+        ends.append(total(last))
+        sizes.append(n + len(last))
+    return (np.stack(paths) + np.stack(ends)) / np.sqrt(np.array(sizes, table.dtype))[:, None] if blocks else np.zeros((0, table.shape[1]), table.dtype)
 
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Words(dict):
+    """Buckets of words that have come by."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+        return found
+
+
+_WORDS = _Words()
+
+
 def word_buckets(text: str) -> tuple[int, ...]:
-    words = _WORD.findall(text.lower())
-    return tuple(_bucket(w, WORD_BUCKETS) for w in words) or (0,)
+    return tuple(map(_WORDS.__getitem__, _WORD.findall(text.lower()))) or (0,)
 
 
 def measures(block: Block, i: int, n: int) -> list[float]:
@@ -301,6 +327,7 @@ class Labeller:
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = {k: v.astype(np.float32) for k, v in parameters.items()}
+        self.known: dict = {}
 
     @classmethod
     def load(cls, path: Path = MODEL) -> Labeller:
@@ -311,7 +338,7 @@ class Labeller:
         """A row for each block: path vector, word vector, measures."""
         p, n = self.p, len(blocks)
         words = np.concatenate([bag_means(p["word"], [word_buckets(b.text) for b in blocks[at : at + 1000]]) for at in range(0, n, 1000)])
-        return np.concatenate([np.tanh(path_means(p["path"], blocks)), np.tanh(words), np.array([measures(b, i, n) for i, b in enumerate(blocks)], np.float32)], 1)
+        return np.concatenate([np.tanh(path_means(p["path"], blocks, self.known)), np.tanh(words), np.array([measures(b, i, n) for i, b in enumerate(blocks)], np.float32)], 1)
 
     def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page the log odds of each block to be main text."""
@@ -344,7 +371,7 @@ def bag_means(vectors: np.ndarray, bags: list[tuple[int, ...]]) -> np.ndarray:
     small = np.flatnonzero(sizes <= LONG_BAG)
     sums = np.zeros((len(bags), vectors.shape[1]), vectors.dtype)
     if len(small):
-        flat = np.fromiter((i for k in small for i in bags[k]), np.int64, sizes[small].sum())
+        flat = np.fromiter(chain.from_iterable(bags[k] for k in small.tolist()), np.int64, sizes[small].sum())
         sums[small] = np.add.reduceat(vectors[flat], np.concatenate(([0], np.cumsum(sizes[small])[:-1])), 0)
     for k in np.flatnonzero(sizes > LONG_BAG):
         sums[k] = np.bincount(bags[k], minlength=len(vectors)).astype(vectors.dtype) @ vectors
@@ -385,7 +412,7 @@ def extract_text(pages: DataFrame, parameters: dict[str, np.ndarray] | None = No
     sent = pages.sparkSession.sparkContext.broadcast(parameters or Labeller.load().p)
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        labeller = Labeller(sent.value)
+        labeller = _labeller(sent)
         out: dict[str, list] = {"page_id": batch["page_id"], "url": batch["url"], "text": [], "n_chars": [], "n_blocks": [], "n_main": []}
         for at in range(0, len(batch["html"]), 512):
             read = [read_blocks(x) if x else [] for x in batch["html"][at : at + 512]]
@@ -399,5 +426,13 @@ def extract_text(pages: DataFrame, parameters: dict[str, np.ndarray] | None = No
     return map_rows(pages.select(F.col("page_id").cast("long"), "url", "html"), rows, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
 
 
+def _labeller(sent) -> Labeller:
+    if getattr(sent, "_labeller", None) is None:
+        sent._labeller = Labeller(sent.value)
+    elif len(sent._labeller.known) > 50_000:
+        sent._labeller.known.clear()
+    return sent._labeller
+
+
 def op1_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
