@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space of the word contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows (three numbers each) that without() sends to all tasks at most.
+FEW_GONE = 500_000
+
 _OWN: dict[str, str] = {}
 
 
@@ -78,8 +81,9 @@ def row_marks(docs: DataFrame, *of: str) -> tuple[DataFrame, list[str]]:
 
 def without(docs: DataFrame, gone: DataFrame, marks: list[str]) -> DataFrame:
     """The rows of docs that gone (doc_id and the marks of row_marks) does not hold, without the marks. With them, rows
-    without a doc_id meet only those alike, and spread."""
-    out, other = docs.alias("out"), gone.alias("gone")
+    without a doc_id meet only those alike, and spread. gone is sent to all tasks where it is counted to be small, so that
+    docs are not shuffled; else the join shuffles both."""
+    out, other = docs.alias("out"), broadcast_if_small(written(gone, "gone"), FEW_GONE).alias("gone")
     same = F.col("out.doc_id").eqNullSafe(F.col("gone.doc_id"))
     for m in marks:
         same = same & (F.col(f"out.`{m}`") == F.col(f"gone.`{m}`"))
