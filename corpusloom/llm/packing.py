@@ -30,8 +30,8 @@ from .common import map_rows, scan_partitions, table, written
 LENGTH = 2048
 CLOSING_ID = 1
 DIMENSIONS, BITS, BUCKETS = 4, 15, 256
-#: Entries of a worker's word cache; it starts anew when full.
-CACHE = 1_000_000
+#: Bytes of a worker's word cache, about; it starts anew when full.
+CACHE = 96 << 20
 
 #: Texts of these characters alone are tokenized word by word: they are stable under NFC, lower-case one by one, and only
 #: the white space among them separates words. Other texts go through the tokenizer whole.
@@ -59,6 +59,7 @@ class WordTokenizer:
         self.wide = self.inner.get_vocab_size(with_added_tokens=True) > 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -78,14 +79,16 @@ class WordTokenizer:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
             pass
-        if len(cache) > CACHE:
+        if self.held > CACHE:
             cache.clear()
+            self.held = 0
         missing = {w for w in words if w not in cache}
         parts = {w: self._split(w) for w in missing}
         new = [*{p for x in parts.values() for p in x if p not in cache}]
         cache.update(zip(new, self._whole(new), strict=True))
         for w, x in parts.items():
             cache[w] = b"".join(cache[p] for p in x)
+        self.held += sum(200 + len(w) + len(cache[w]) for w in [*parts, *new])
         return b"".join([cache[w] for w in words])
 
     @staticmethod

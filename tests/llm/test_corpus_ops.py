@@ -69,6 +69,15 @@ def test_word_tokenizer_agrees():
         assert np.frombuffer(t.encode(text), t.kind).tolist() == t.inner.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    for i in range(60):
+        text = " ".join(f"w{i}x{k}" for k in range(20)) + " " + "q" * 900
+        assert np.frombuffer(t.encode(text), t.kind).tolist() == t.inner.encode(text, add_special_tokens=False).ids
+        assert t.held < 40_000 and sum(len(w) for w in t.cache) < 40_000
+
+
 def test_hilbert_neighbours_touch():
     n, bits = 3, 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
