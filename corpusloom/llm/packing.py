@@ -31,7 +31,7 @@ LENGTH = 2048
 CLOSING_ID = 1
 DIMENSIONS, BITS, BUCKETS = 4, 15, 256
 #: Bytes of a worker's word cache, about; it starts anew when full.
-CACHE = 96 << 20
+CACHE = 256 << 20
 
 #: Texts of these characters alone are tokenized word by word: they are stable under NFC, lower-case one by one, and only
 #: the white space among them separates words. Other texts go through the tokenizer whole.
