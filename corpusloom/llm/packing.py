@@ -82,13 +82,14 @@ class WordTokenizer:
         if self.held > CACHE:
             cache.clear()
             self.held = 0
+        before = len(cache)
         missing = {w for w in words if w not in cache}
         parts = {w: self._split(w) for w in missing}
         new = [*{p for x in parts.values() for p in x if p not in cache}]
         cache.update(zip(new, self._whole(new), strict=True))
         for w, x in parts.items():
             cache[w] = b"".join(cache[p] for p in x)
-        self.held += sum(200 + len(w) + len(cache[w]) for w in [*parts, *new])
+        self.held += 180 * (len(cache) - before) + 6 * sum(map(len, new))
         return b"".join([cache[w] for w in words])
 
     @staticmethod
