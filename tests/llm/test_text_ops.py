@@ -305,3 +305,28 @@ def test_lines(spark):
     assert sorted((x.doc_id, x.text) for x in got.collect()) == wanted
     assert set(d.columns) < set(got.columns)
     assert lines.dedup_lines(d.limit(0)).count() == 0
+
+
+# ---- empty tables, repeated rows, rows without a doc_id ----
+
+
+def test_scans_of_empty_and_repeated_rows(spark):
+    """Each row is scanned on its own: repeated ones give repeated results, and a null doc_id stays null."""
+    text = "mail a@b.co, token = abcdefghijkl0123, under the MIT license"
+    rows = [(7, text, "s"), (7, text, "s"), (None, text, None), (8, None, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for scan in (licenses.scan_licenses, pii.scan_pii, secrets.scan_secrets):
+        got = scan(d).collect()
+        assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == [(False, 7), (False, 7), (False, 8), (True, 0)]
+        same = [tuple(x)[1:] for x in got if x.doc_id == 7]
+        assert same[0] == same[1]
+        assert scan(d.limit(0)).count() == 0
+
+
+def test_ownership_counts(spark):
+    """Owners and repositories of a value against sets, with one value that most rows hold."""
+    r = random.Random(12)
+    rows = [(f"v{r.choice((0, 0, 0, 1, 2, 3))}".encode(), r.choice(("a", "b", "c", None)), r.choice(("x", "y"))) for _ in range(300)] + [(b"alone", "a", "x")]
+    got = {bytes(x.value): (x.n_owners, x.n_repos) for x in secrets.ownership(spark.createDataFrame(rows, "value binary, owner string, repo string")).collect()}
+    wanted = {v: (len({o for w, o, _ in rows if w == v}), len({(o, p) for w, o, p in rows if w == v})) for v, _, _ in rows}
+    assert got == wanted and got[b"alone"] == (1, 1)
