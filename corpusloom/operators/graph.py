@@ -56,23 +56,25 @@ def shortcuts(edges: DataFrame) -> DataFrame:
     return out if out is not None else edges.limit(0)
 
 
-def reach(edges: DataFrame, roots: DataFrame, most_jobs: int = 100_000) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, most_jobs: int = 100_000, by: tuple[str, ...] = ()) -> DataFrame:
     """(node) reachable from roots (node) over edges (src, dst), roots included. Cycles are fine. A job takes 1, 2, 4, ...
-    steps while frontiers are small, and ends with one anti-join against what was seen."""
+    steps while frontiers are small, and ends with one anti-join against what was seen. by: further columns of roots; what
+    is reachable is told apart by them, over the same edges."""
+    found = [*by, "node"]
     kept = edges.select("src", "dst").distinct().repartition("src").persist()
-    seen = frontier = cut(roots.select("node").distinct())
+    seen = frontier = cut(roots.select(*found).distinct())
     steps, taken, shortened = 1, 0, False
     try:
         for _ in range(most_jobs):
             met = frontier.withColumn("k", F.lit(0))
             for k in range(steps):  # each step reads the one before once; a group by node keeps the edges' partitioning
                 on = met.join(kept, (met["node"] == kept["src"]) & (met["k"] == k), "left")
-                pair = F.array(F.struct(F.col("node"), F.col("k")), F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), F.lit(k + 1).alias("k"))))
-                met = on.select(F.explode(F.array_compact(pair)).alias("x")).groupBy("x.node").agg(F.min("x.k").alias("k"))
-            new = cut(met.where("k > 0").join(seen, "node", "left_anti"))
+                pair = F.array(F.struct(*found, "k"), F.when(F.col("dst").isNotNull(), F.struct(*by, F.col("dst").alias("node"), F.lit(k + 1).alias("k"))))
+                met = on.select(F.explode(F.array_compact(pair)).alias("x")).groupBy(*[f"x.{c}" for c in found]).agg(F.min("x.k").alias("k"))
+            new = cut(met.where("k > 0").join(seen, found, "left_anti"))
             # nodes met before the last step have been followed within the job
-            frontier = new.where(F.col("k") == steps).select("node")
-            seen = seen.unionByName(new.select("node"))
+            frontier = new.where(F.col("k") == steps).select(*found)
+            seen = seen.unionByName(new.select(*found))
             if len(seen.inputFiles()) > 400:
                 seen = cut(seen)
             size = frontier.count()

@@ -100,13 +100,50 @@ def dlt_12_eol_flip(spark, sf_dir):
     return full.join(text, "path", "left").select("path", F.sha2(F.coalesce("new", F.lit("")), 256).alias("flipped"), "wide")
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT k, k % 4 <> 3 AS guarded, CASE WHEN k > 0 THEN '#include "h' || (k // 2) || '.h"' || chr(10) || '#include "h' || (k // 3) || '.h"' || chr(10) ELSE '' END AS body FROM range(0, 3100) t(k)),
+  s AS (SELECT k, guarded, strlen(CASE WHEN guarded THEN '#ifndef H' || k || '_H' || chr(10) || '#define H' || k || '_H 1' || chr(10) || body || '#endif' || chr(10) ELSE body END) AS size FROM h),
+  u AS (SELECT j, strlen('#include "h' || (j + 20) || '.h"' || chr(10) || '#if H1_H && !defined(NONE)' || chr(10) || '#include <h' || (j + 1) || '.h>' || chr(10) || '#endif' || chr(10)) AS size FROM range(0, 3000) t(j)),
+  e AS (SELECT k AS src, k // 2 AS dst FROM h WHERE k > 0 UNION ALL SELECT k, k // 3 FROM h WHERE k > 0),
+  top AS (SELECT j, j + 20 AS k FROM u UNION ALL SELECT j, j + 1 FROM u),
+  r AS (SELECT j, k FROM top UNION SELECT r.j, e.dst FROM r JOIN e ON e.src = r.k),
+  starts AS (SELECT j, k FROM top UNION ALL SELECT r.j, e.dst FROM r JOIN h USING (k) JOIN e ON e.src = r.k WHERE h.guarded),
+  v AS (SELECT j, k FROM starts UNION ALL SELECT v.j, e.dst FROM v JOIN e ON e.src = v.k WHERE v.k % 4 = 3),
+  once AS (SELECT j, count(*) AS files, sum(size) AS bytes, count_if(guarded) AS guards, sum(size) FILTER (guarded) AS guarded FROM r JOIN s USING (k) GROUP BY j),
+  often AS (SELECT j, count(*) AS n, sum(size) AS bytes FROM v JOIN s USING (k) WHERE NOT guarded GROUP BY j)
+SELECT 'web/u' || j || '.c' AS unit, 1 + files AS files, cast(u.size + once.bytes AS BIGINT) AS bytes, 1 + guards + coalesce(n, 0) AS reads, cast(u.size + guarded + coalesce(often.bytes, 0) AS BIGINT) AS read_bytes,
+  cast(length(bin(j + 20)) + 1 AS BIGINT) AS depth, guards AS defines, 0::BIGINT AS template_instances, NULL::VARCHAR AS error FROM u JOIN once USING (j) LEFT JOIN often USING (j)""")
 def grf_12_closures(spark, sf_dir):
-    """Closures of a generated include web: units include headers that include others, guarded or not."""
+    """Closures of 3,000 units of a generated include web: units include headers that include others, guarded or not."""
     k, s = F.col("id"), F.col("id").cast("string")
     inner = F.when(k > 0, F.concat(F.lit('#include "h'), F.floor(k / 2).cast("string"), F.lit('.h"\n#include "h'), F.floor(k / 3).cast("string"), F.lit('.h"\n'))).otherwise("")
     guarded = F.when(k % 4 == 3, inner).otherwise(F.concat(F.lit("#ifndef H"), s, F.lit("_H\n#define H"), s, F.lit("_H 1\n"), inner, F.lit("#endif\n")))
-    headers = spark.range(60).select(F.concat(F.lit("inc/h"), s, F.lit(".h")).alias("path"), F.encode(guarded, "UTF-8").alias("content"))
+    headers = spark.range(3100).select(F.concat(F.lit("inc/h"), s, F.lit(".h")).alias("path"), F.encode(guarded, "UTF-8").alias("content"))
     unit = F.concat(F.lit('#include "h'), (k + 20).cast("string"), F.lit('.h"\n#if H1_H && !defined(NONE)\n#include <h'), (k + 1).cast("string"), F.lit('.h>\n#endif\n'))
-    units = spark.range(30).select(F.concat(F.lit("web/u"), s, F.lit(".c")).alias("path"), F.encode(unit, "UTF-8").alias("content"))
+    units = spark.range(3000).select(F.concat(F.lit("web/u"), s, F.lit(".c")).alias("path"), F.encode(unit, "UTF-8").alias("content"))
     return preproc.closures(headers.unionByName(units), units.select(F.col("path").alias("unit")), ["inc"])
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id AS k FROM documents WHERE doc_id % 10 = 0 UNION SELECT k // 3 FROM t) SELECT 'TNAME' AS name UNION ALL SELECT 'G' || k FROM t""")
+def grf_13_tracked_names(spark, sf_dir):
+    """Every document's file defines a name by another's; every tenth asks for its own."""
+    k = F.col("doc_id").cast("string")
+    asked = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("#ifdef G"), k, F.lit("\n#endif\n"))).otherwise("")
+    text = F.concat(asked, F.lit("#define G"), k, F.lit(" (G"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(" + 1)\n"))
+    return preproc.tracked_names(preproc.parsed_files(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), k).alias("path"), F.encode(text, "UTF-8").alias("content"))))
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0 AND doc_id % 11 <> 10),
+  r AS (SELECT doc_id AS k FROM documents WHERE doc_id % 7 = 0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.k)
+SELECT CASE WHEN k % 3 = 0 THEN 'ext/h' ELSE 'fw/h' END || k || '.h' AS path, k % 3 <> 0 AND k % 5 <> 0 AND EXISTS (FROM e JOIN r AS o ON o.k = e.src WHERE e.dst = r.k AND e.src % 3 = 0) AS whole FROM r""")
+def grf_15_included_whole(spark, sf_dir):
+    """A file for each document, every third outside the carved root; each includes that of half its number, quoted with its
+    directory or by one of two search paths."""
+    k = F.col("doc_id")
+    where = lambda n: F.when(n % 3 == 0, "ext").otherwise("fw")
+    named = lambda n: F.concat(F.lit("h"), n.cast("string"), F.lit(".h"))
+    path, half = F.concat_ws("/", where(k), named(k)), F.floor(k / 2).cast("long")
+    d = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    quoted = F.concat(F.lit("../"), where(half), F.lit("/./"), named(half))
+    includes = d.where("doc_id > 0 AND doc_id % 11 <> 10").select(F.col("path").alias("src"), F.when(k % 2 == 0, quoted).otherwise(named(half)).alias("spec"), (k % 2 == 1).alias("angled"))
+    units = d.where("doc_id % 7 = 0").select(F.col("path").alias("unit"), (k % 2).cast("int").alias("search"))
+    return preproc.build_closure(includes, units, [["fw", "ext"], ["none", "ext", "fw"]], d, "fw", d.where("doc_id % 5 <> 0"))
