@@ -93,7 +93,7 @@ def grf_07_cha(spark, sf_dir):
     return found.select("cls", "name", F.array_join("cha", ",").alias("cha"))
 
 
-@query()
+@query(f"WITH RECURSIVE {FOREST} SELECT cls, cast(max(length(path)) AS INTEGER) AS level FROM up GROUP BY 1")
 def grf_06_topological(spark, sf_dir):
     bases, _ = forest(spark, sf_dir)
     placed, left = G.topological_order(bases)
@@ -158,7 +158,8 @@ def grf_22_sections(spark, sf_dir):
     return G.section_edges(nodes)
 
 
-@query()
+@query("""WITH RECURSIVE needs AS (SELECT p_partkey AS k, p_partkey // 2 AS dep FROM part WHERE p_partkey >= 3 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3),
+  never AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 = 6 UNION SELECT needs.k FROM never JOIN needs ON needs.dep = never.k) SELECT 'n' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT k FROM never)""")
 def grf_17_may_be_empty(spark, sf_dir):
     """Part k needs k // 2 and k // 3; parts below 3 need nothing; every seventh has no body."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).where("k % 7 <> 6")

@@ -403,6 +403,34 @@ def src_07_compile_db(spark, sf_dir):
     return M.read_compile_db(spark, json.dumps(body)).select("unit", F.array_join("incs", ",").alias("incs"), F.array_join("defines", ",").alias("defines"))
 
 
+@query("""WITH s AS (SELECT 'f' || doc_id AS name, doc_id AS k FROM documents) SELECT '{"_meta": {"manifestVersion": 1}, "symbols": {' AS line UNION ALL SELECT '}}'
+UNION ALL SELECT CASE WHEN name = (SELECT min(name) FROM s) THEN '' ELSE ',' END || '"' || name || '": {"def":"d:' || k || '","refs":["r:' || (k % 7) || '"]' || CASE WHEN k % 5 = 0 THEN ',"kind":"method"' ELSE '' END || '}' FROM s""")
+def snk_01_manifest(spark, sf_dir):
+    at = place(spark, "manifest")
+    key = F.col("doc_id")
+    symbols = docs(spark, sf_dir).select(k("f").alias("name"), k("d:").alias("def"), F.array(F.concat(F.lit("r:"), (key % 7).cast("string"))).alias("refs"), F.when(key % 5 == 0, "method").alias("kind"))
+    W.write_lines(W.manifest_lines(symbols, {"manifestVersion": 1}), at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@query("""WITH s AS (SELECT 'f' || doc_id AS name, doc_id AS k FROM documents) SELECT '{' AS line UNION ALL SELECT '}'
+UNION ALL SELECT CASE WHEN name = (SELECT min(name) FROM s) THEN '' ELSE ',' END || '"' || name || '": ' || CASE WHEN k % 3 = 0 THEN '"TOMBSTONE"' ELSE '{"def":"d:' || k || '","refs":[],"edges":["f' || (k // 2) || '"]' || CASE WHEN k % 2 = 0 THEN ',"removedSites":["a:' || k || '"]' ELSE '' END || '}' END FROM s""")
+def snk_03_overlay(spark, sf_dir):
+    at = place(spark, "overlay")
+    key = F.col("doc_id")
+    overlay = docs(spark, sf_dir).select(k("f").alias("name"), F.when(key % 3 == 0, "TOMBSTONE").otherwise("CHANGED").alias("op"), k("d:").alias("def"), F.array().cast("array<string>").alias("refs"), F.array(F.concat(F.lit("f"), F.floor(key / 2).cast("string"))).alias("edges"), F.when(key % 2 == 0, F.array(k("a:"))).alias("removed_sites"))
+    W.write_lines(W.overlay_lines(overlay), at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+@query("SELECT 'f' || doc_id AS name FROM documents")
+def snk_07_list(spark, sf_dir):
+    """A truth list, written in parallel in order and read again."""
+    at = place(spark, "list")
+    W.write_lines(docs(spark, sf_dir).select(k("f").alias("name")), at, ("name",), "name")
+    return spark.read.text(at).withColumnRenamed("value", "name")
+
+
 @query("SELECT o_orderkey AS path, o_orderstatus AS reason FROM orders")
 def snk_04_ordered(spark, sf_dir):
     at = place(spark, "diff")

@@ -1,5 +1,6 @@
 """Writing manifests, profiles, deltas, sharded tables and lists. Tables of any size go through Spark's committers, whose
-_SUCCESS marker readers check; single small documents go through one rename."""
+_SUCCESS marker readers check; single small documents go through one rename. A document of any size is written as lines in
+parallel, in parts that follow each other by name, and may be joined to one file by a copy of bounded pieces."""
 
 from __future__ import annotations
 
@@ -8,7 +9,6 @@ import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +35,67 @@ def symbols_json(symbols: DataFrame) -> DataFrame:
     return symbols.select("name", F.to_json(F.struct(*[c for c in symbols.columns if c not in ("name", "ord")])).alias("body"))
 
 
-def write_manifest(symbols: DataFrame, meta: dict, path: str) -> None:
-    """A manifest in order of ord, else of name. Symbols stream through the driver, one partition at a time."""
-    ordered = symbols.orderBy("ord" if "ord" in symbols.columns else "name")
-    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(path) or ".", delete=False, newline="\n") as f:
-        f.write('{"_meta": ' + json.dumps(meta) + ', "symbols": {')
-        for i, r in enumerate(symbols_json(ordered).toLocalIterator()):
-            f.write((",\n" if i else "\n") + json.dumps(r.name) + ": " + r.body)
-        f.write("\n}}\n")
+#: Bytes that a copy holds at once.
+PIECE = 1 << 20
+
+
+def document_lines(entries: DataFrame, head: str, foot: str, order: str = "name") -> DataFrame:
+    """(part, key, line) of a JSON object with a line for each of entries (name, body), which stand between head and foot in
+    the order of a column without ties."""
+    spark = entries.sparkSession
+    first = entries.agg(F.min(order).alias("first")).first()["first"]
+    comma = F.when(F.col(order) == F.lit(first), "").otherwise(",")
+    kind = entries.schema[order].dataType
+    edge = lambda part, line: spark.range(1).select(F.lit(part).alias("part"), F.lit(None).cast(kind).alias("key"), F.lit(line).alias("line"))
+    quoted = F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)")
+    body = entries.select(F.lit(1).alias("part"), F.col(order).alias("key"), F.concat(comma, quoted, F.lit(": "), "body").alias("line"))
+    return edge(0, head).unionByName(body).unionByName(edge(2, foot))
+
+
+def manifest_lines(symbols: DataFrame, meta: dict) -> DataFrame:
+    """The lines of a manifest in order of ord, else of name; null fields are left out."""
+    order = "ord" if "ord" in symbols.columns else "name"
+    body = F.to_json(F.struct(*[c for c in symbols.columns if c not in ("name", "ord")]))
+    entries = symbols.select(*dict.fromkeys(("name", order)), body.alias("body"))
+    return document_lines(entries, '{"_meta": ' + json.dumps(meta) + ', "symbols": {', "}}", order)
+
+
+def overlay_lines(overlay: DataFrame) -> DataFrame:
+    """The lines of a symbol delta: changed entries, and TOMBSTONE for what is gone."""
+    entry = F.when(F.col("op") == "TOMBSTONE", F.lit('"TOMBSTONE"')).otherwise(F.to_json(F.struct("def", "refs", "edges", F.col("removed_sites").alias("removedSites"))))
+    return document_lines(overlay.select("name", entry.alias("body")), "{", "}")
+
+
+def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("part", "key"), line: str = "line") -> None:
+    """The lines as text in parallel; parts follow each other by name."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.text(path)
+
+
+def pieces(folder: str):
+    """The bytes of the parts of a local or mounted folder, one after another, in bounded pieces."""
+    folder = folder.removeprefix("file://")
+    for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+        with open(os.path.join(folder, name), "rb") as f:
+            while piece := f.read(PIECE):
+                yield piece
+
+
+def joined(folder: str, path: str) -> None:
+    """The parts of a folder as one file, complete or not there at all."""
+    with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
+        for piece in pieces(folder):
+            f.write(piece.replace(b"\r", b""))
+        f.flush()
+        os.fsync(f.fileno())
     os.replace(f.name, path)
 
 
+def write_manifest(symbols: DataFrame, meta: dict, path: str) -> None:
+    """A manifest as one file; its parts stay beside it in path.parts."""
+    write_lines(manifest_lines(symbols, meta), path + ".parts")
+    joined(path + ".parts", path)
+
+
 def write_profile(sections: dict[str, DataFrame], posture: str, path: str) -> None:
     """The sections of a profile that the posture lets out, as one document; sections are small by construction."""
     reads, exact = POSTURES[posture]
@@ -56,10 +106,9 @@ def write_profile(sections: dict[str, DataFrame], posture: str, path: str) -> No
 
 
 def write_overlay(overlay: DataFrame, path: str) -> None:
-    """A symbol delta: changed entries, and TOMBSTONE for what is gone."""
-    entry = F.when(F.col("op") == "TOMBSTONE", F.lit('"TOMBSTONE"')).otherwise(F.to_json(F.struct("def", "refs", "edges", F.col("removed_sites").alias("removedSites"))))
-    rows = overlay.orderBy("name").select("name", entry.alias("body")).toLocalIterator()
-    write_atomic(path, ("{\n" + ",\n".join(f"{json.dumps(r.name)}: {r.body}" for r in rows) + "\n}\n").encode())
+    """A symbol delta as one file; its parts stay beside it in path.parts."""
+    write_lines(overlay_lines(overlay), path + ".parts")
+    joined(path + ".parts", path)
 
 
 def write_ordered(rows: DataFrame, path: str, order: str = "path") -> None:
@@ -80,20 +129,22 @@ def write_sharded(rows: DataFrame, order: str, size: int, path: str) -> DataFram
     return index
 
 
-def write_list(names: Iterable[str], path: str, hash_only: bool = False) -> tuple[str, int]:
-    """(sha, count) of sorted names, written with LF ends, compressed when large."""
-    h, n, body = hashlib.sha256(), 0, bytearray()
-    for name in names:
-        line = name.encode() + b"\n"
-        h.update(line)
-        n += 1
-        body += b"" if hash_only else line
-    if not hash_only:
-        big = len(body) > COMPRESS_FROM
-        if big:
-            write_atomic(path + ".gz", gzip.compress(bytes(body), mtime=0), text=False)
-        else:
-            write_atomic(path, bytes(body))
+def write_list(names: DataFrame, name: str, path: str, hash_only: bool = False) -> tuple[str, int]:
+    """(sha, count) of a column of names, written in order with LF ends, compressed when large. The names are written in
+    parallel to path.parts, from where the digest, which is sequential, takes them in bounded pieces."""
+    write_lines(names, path + ".parts", (name,), name)
+    h, n, size = hashlib.sha256(), 0, 0
+    for piece in pieces(path + ".parts"):
+        h.update(piece)
+        n += piece.count(b"\n")
+        size += len(piece)
+    if not hash_only and size <= COMPRESS_FROM:
+        joined(path + ".parts", path)
+    elif not hash_only:
+        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f, gzip.GzipFile(fileobj=f, mode="wb", mtime=0) as packed:
+            for piece in pieces(path + ".parts"):
+                packed.write(piece)
+        os.replace(f.name, path + ".gz")
     return h.hexdigest(), n
 
 

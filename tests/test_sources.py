@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import os
 import struct
@@ -80,8 +81,16 @@ def test_objects(spark):
     assert [r.path for r in rows if r.kind == "malformed"] == ["bad"]
 
 
-def test_lists_and_shards(spark, tmp_path):
-    assert K.write_list(["a", "b"], str(tmp_path / "l"))[1] == 2 and (tmp_path / "l").read_bytes() == b"a\nb\n"
+def test_lists_and_shards(spark, tmp_path, monkeypatch):
+    names = spark.createDataFrame([("b",), ("a",)], "name string")
+    assert K.write_list(names, "name", str(tmp_path / "l")) == (hashlib.sha256(b"a\nb\n").hexdigest(), 2) and (tmp_path / "l").read_bytes() == b"a\nb\n"
+    assert K.write_list(names, "name", str(tmp_path / "h"), hash_only=True)[1] == 2 and not (tmp_path / "h").exists()
+    monkeypatch.setattr(K, "COMPRESS_FROM", 3)
+    K.write_list(names, "name", str(tmp_path / "z"))
+    assert gzip.decompress((tmp_path / "z.gz").read_bytes()) == b"a\nb\n"
+    assert K.write_list(names.limit(0), "name", str(tmp_path / "e"))[1] == 0
+    K.write_manifest(spark.createDataFrame([], "name string, def string"), {}, str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"_meta": {}, "symbols": {}}
     (tmp_path / "g.gz").write_bytes(gzip.compress(b"a\nb\n"))
     assert S.read_list(spark, str(tmp_path / "g.gz")).count() == 2
     (tmp_path / "c.tsv").write_text("name\tcase\tsite\nf\tx\ta:1\n")
