@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op13_distinct_word_bpe
 from .decontaminate import op6_decontamination
 from .html import op1_html_lstm
 from .licenses import op5_license_scan
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_spans": op9_secret_spans,
     "op10_minhash_hamming": op10_minhash_hamming,
+    "op13_distinct_word_bpe": op13_distinct_word_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
