@@ -17,6 +17,7 @@ from .pii import op7_pii_spans
 from .quality import op4_quality_rules
 from .secrets import op9_secret_spans
 from .substrings import op3_suffix_dedup
+from .whitening import op11_two_pass_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_lstm": op1_html_lstm,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_spans": op9_secret_spans,
     "op10_minhash_hamming": op10_minhash_hamming,
+    "op11_two_pass_whitening": op11_two_pass_whitening,
     "op13_distinct_word_bpe": op13_distinct_word_bpe,
 }
 
