@@ -11,6 +11,7 @@ from .decontaminate import op6_decontamination
 from .html import op1_html_lstm
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
+from .negatives import OP12_SQL, op12_pca_negatives
 from .neardup import op10_minhash_hamming
 from .packing import op2_hilbert_packing
 from .pii import op7_pii_spans
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_spans": op9_secret_spans,
     "op10_minhash_hamming": op10_minhash_hamming,
     "op11_two_pass_whitening": op11_two_pass_whitening,
+    "op12_pca_negatives": op12_pca_negatives,
     "op13_distinct_word_bpe": op13_distinct_word_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op12_pca_negatives": OP12_SQL}
