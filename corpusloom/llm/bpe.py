@@ -8,8 +8,7 @@ and ids and pieces go back to the parts' lists, where each document's ids are jo
 travels once a part, however often it stands there, and documents travel never: the parts' numbers lie bucketed
 by part in the shared folder, and only the (much smaller) lists are shuffled.
 
-A task holds one part: its documents' numbers, its distinct words and its result. A document longer than a part is a part
-of its own. Parts are numbered when they are written, so a lost executor costs the reading of files.
+A task holds one part's distinct words and a row of its documents, a few MB; a longer document is a row of its own. Parts are numbered when they are written, so a lost executor costs the reading of files.
 
 Defined edge cases: a null or empty text, or one of white space alone, has no ids and decodes to an empty text. Repeated
 rows are encoded row by row, rows without a doc_id as others. An empty table gives no rows. Extra columns are ignored.
@@ -30,7 +29,7 @@ from .common import scan_partitions, shared_folder, slices, table
 from .packing import PLAIN, default_tokenizer
 
 #: Bytes of text in a part, and of those whose numbers stand in one row.
-PART_BYTES, ROW_BYTES = 32 << 20, 4 << 20
+PART_BYTES, ROW_BYTES = 32 << 20, 2 << 20
 #: Words of a part's list in one row.
 ROW_WORDS = 8192
 #: Bytes of the stream of encoded words that are packed at a time.
@@ -264,50 +263,59 @@ def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 ENCODED = "doc_id long, ids binary, decoded string"
 
 
-def joined(parts, answers):
-    """The documents of one part: their numbers against the ids and texts of the part's words."""
+def whole(planes: bytes) -> np.ndarray:
+    """Numbers of 32 bits of which the lowest bytes come first, then the next, and so on."""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+class Words:
+    """The ids and texts of a part's words, by number."""
+
+    def __init__(self, answers: list[dict], unpack):
+        codes = np.concatenate([np.zeros(0, "<i4"), *[np.frombuffer(unpack(x["codes"]), "<i4") for x in answers]])
+        sizes = np.concatenate([np.zeros(0, "<i4"), *[np.frombuffer(unpack(x["sizes"]), "<i4") for x in answers]])
+        self.ids = np.concatenate([np.zeros(0, "<i4"), *[whole(unpack(x["ids"])) for x in answers]])
+        n = len(codes)
+        self.sizes, self.begins, self.texts = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
+        self.sizes[codes] = sizes
+        self.begins[codes] = np.cumsum(sizes, dtype=np.int64) - sizes
+        at = iter(codes.tolist())
+        for x in answers:
+            for text in unpack(x["texts"]).decode().split("\n"):
+                self.texts[next(at)] = text
+        self.some_empty = bool((self.sizes == 0).any())
+
+    def documents(self, counts: list[int], codes: np.ndarray) -> tuple[list[bytes], list[str]]:
+        """Ids and texts of documents of so many words each, whose numbers follow each other in codes."""
+        lengths = self.sizes[codes]
+        tokens, stops = self.ids[spread(self.begins[codes], lengths)], np.cumsum(lengths).tolist()
+        texts, begin, end, ids, decoded = list(map(self.texts.__getitem__, codes.tolist())), 0, 0, [], []
+        for count in counts:
+            mine = texts[end : end + count]
+            end += count
+            stop = stops[end - 1] if end else 0
+            ids.append(tokens[begin:stop].tobytes())
+            decoded.append(" ".join(filter(None, mine) if self.some_empty else mine))
+            begin = stop
+        return ids, decoded
+
+
+def joined(batches):
+    """Rows of documents beside the answers of their part to documents, one row's after the other. Rows of a part follow each
+    other, so that its words are unpacked once."""
     import pyarrow as pa
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-
-    def numbers(name):
-        return [np.frombuffer(unpack(x), "<i4") for x in answers.column(name).to_pylist()] or [np.zeros(0, "<i4")]
-
-    def whole(planes: bytes):
-        return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-
-    codes, sizes = np.concatenate(numbers("codes")), np.concatenate(numbers("sizes"))
-    flat = np.concatenate([whole(unpack(x)) for x in answers.column("ids").to_pylist()] or [np.zeros(0, "<i4")])
-    n = len(codes)
-    size_of, start_of, text_of = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
-    size_of[codes] = sizes
-    start_of[codes] = np.cumsum(sizes, dtype=np.int64) - sizes
-    at = iter(codes.tolist())
-    for texts in answers.column("texts").to_pylist():
-        for text in unpack(texts).decode().split("\n"):
-            text_of[next(at)] = text
-    some_empty = bool((size_of == 0).any())
-    out = []
-    for ids, counts, planes in zip(parts.column("doc_ids").to_pylist(), parts.column("sizes").to_pylist(), parts.column("codes").to_pylist(), strict=True):
-        if ids is None:
-            continue
-        mine = whole(unpack(planes))
-        ends = np.cumsum(counts).tolist()
-        lengths = size_of[mine]
-        stops = np.cumsum(lengths)
-        tokens = flat[spread(start_of[mine], lengths)]
-        stops, texts, begin = stops.tolist(), list(map(text_of.__getitem__, mine.tolist())), 0
-        made_ids, made_texts = [], []
-        for count, end in zip(counts, ends, strict=True):
-            words = texts[end - count : end]
-            stop = stops[end - 1] if end else 0
-            made_ids.append(tokens[begin:stop].tobytes())
-            made_texts.append(" ".join(filter(None, words) if some_empty else words))
-            begin = stop
-        out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made_ids, pa.binary()), pa.array(made_texts, pa.string())], schema=schema))
-    return pa.Table.from_batches(out, schema)
+    part, words = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if words is None or batch.column("part")[i].as_py() != part:
+                words = None  # before the next part's words are unpacked
+                part, words = batch.column("part")[i].as_py(), Words(batch.column("answers")[i].as_py() or [], unpack)
+            ids, decoded = words.documents(batch.column("sizes")[i].as_py(), whole(unpack(batch.column("codes")[i].as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -321,8 +329,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     # The join keeps the stream's order, since the vocabulary is sent to all tasks; it is bounded by the tokenizer's size.
     stream = encoded_words(words, path).join(F.broadcast(vocabulary(docs.sparkSession, path)), "id", "left").select("part", "code", "at", "id", "piece")
     answers = answers_of(stream)
+    answers = answers.groupBy("part").agg(F.collect_list(F.struct("codes", "sizes", "ids", "texts")).alias("answers"))
     documents = parts.where(F.col("doc_ids").isNotNull()).select("part", "doc_ids", "sizes", "codes")
-    return documents.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(joined, ENCODED)
+    return documents.join(answers.hint("merge"), "part", "left").mapInArrow(joined, ENCODED)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids") -> DataFrame:
