@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, map_rows, table, written
+from .common import FEW_GONE, broadcast_if_small, free_names, map_rows, table, written
 
 WORDS = 5
 SHARE = 85
@@ -396,9 +396,19 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The rows of docs that stand for their group."""
-    gone = near_duplicates(docs, share).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of docs for each group of near duplicates: the one of least doc_id, rows without one last. Rows are judged
+    as rows: equal ones are copies of each other, different texts under one doc_id are not, and rows without a doc_id take
+    part. Rows are numbered in a written table, so that a lost executor changes no number."""
+    (row,) = free_names(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), share)
+    found = written(found.select(F.col("doc_id").alias("node"), "component_id", "kept"), "found")
+    members = found.join(found.where(~F.col("kept")).select("component_id").distinct(), "component_id").select("component_id", "node")
+    named = members.join(numbered.select(F.col(row).alias("node"), "doc_id"), "node")
+    ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
+    stay = named.groupBy("component_id").agg(F.min(ranked).alias("first")).select(F.col("first.node").alias("node"))
+    gone = written(members.join(stay, "node", "left_anti").select(F.col("node").alias(row)), "gone")
+    return numbered.join(broadcast_if_small(gone, FEW_GONE), row, "left_anti").drop(row)
 
 
 def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:

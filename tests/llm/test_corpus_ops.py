@@ -266,6 +266,22 @@ def test_index_covers_the_share():
         neardup.chunks_for(20)
 
 
+def test_near_duplicate_rows(spark):
+    """The stage works by row: texts under one doc_id are apart, equal rows and rows without a doc_id are copies."""
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    x, y, z = (words(60) for _ in range(3))
+    near = [*x[:30], "changed", *x[31:]]
+    text = {k: " ".join(v) for k, v in (("X", x), ("Y", y), ("Z", z), ("N", near))}
+    rows = [(5, "X"), (1, "X"), (5, "Y"), (None, "X"), (2, "Z"), (2, "Z"), (2, "Z"), (7, "N"), (None, None), (None, ""), (3, None)]
+    d = spark.createDataFrame([(i, text.get(t, t), i, True) for i, t in rows], "doc_id long, text string, node long, kept boolean")
+    assert len(set(near[i : i + 5].__str__() for i in range(56)) & {x[i : i + 5].__str__() for i in range(56)}) * 100 < 85 * 61
+    key = lambda v: (str(v[0]), str(v[1]))
+    got = sorted(((q.doc_id, {v: k for k, v in text.items()}.get(q.text, q.text)) for q in neardup.drop_near_duplicates(d, share=80).collect()), key=key)
+    assert got == sorted([(1, "X"), (5, "Y"), (2, "Z"), (None, None), (None, ""), (3, None)], key=key)
+    assert neardup.drop_near_duplicates(d, share=80).columns == d.columns
+
+
 def test_near_duplicate_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(d).collect()), key=repr)
