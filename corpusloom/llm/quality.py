@@ -18,6 +18,7 @@ filter_documents, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -29,6 +30,8 @@ from .common import broadcast_if_small, let, row_marks, table, without, written
 SYMBOLS = "#*$%&|<>"
 #: What a verdict hangs on.
 ROW = ("text", "lang")
+#: Hashes of the text, by which equal texts are one trial of the holdout.
+TEXT = ("_text", "_text2")
 WINDOW = 5
 
 
@@ -96,24 +99,38 @@ def metrics(row: DataFrame) -> dict[str, Column]:
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """ln P(X <= k) for X ~ Binomial(n, p), exactly summed in log space, term by term."""
-    odds = F.log(F.lit(p)) - F.log1p(F.lit(-p))
-    first = n * F.log1p(F.lit(-p))
+    """ln P(X <= k) for X ~ Binomial(n, p): the terms from k down, until they are negligible. Where k lies below the mean the
+    terms fall; all that are left out after 12 deviations come to less than the rounding of a double, so that the array
+    has some 12 * sqrt(n * p) entries. Where k lies above the mean by so much, the tail is 1 to the last digit."""
+    mean, deviation = n * p, F.sqrt(n * (p * (1 - p)))
+    top = F.least(k, F.ceil(mean + 12 * deviation + 64), n)
+    terms = F.least(top, F.ceil(12 * deviation + 64 + F.greatest(top - mean, F.lit(0)))).cast("long")
+    last = log_gamma(n + 1) - log_gamma(top + 1) - log_gamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
 
     def step(s: Column, i: Column) -> Column:
-        term = s["term"] + F.log((n - i + 1) / i) + odds
-        top = F.greatest(s["total"], term)
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(s["total"] - term)))).alias("total"))
+        term = s["term"] + F.log((top - i + 1) / (n - top + i)) + (math.log1p(-p) - math.log(p))
+        most = F.greatest(s["total"], term)
+        return F.struct(term.alias("term"), (most + F.log1p(F.exp(-F.abs(s["total"] - term)))).alias("total"))
 
-    start = F.struct(first.alias("term"), first.alias("total"))
-    return F.when(k <= 0, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["total"])
+    start = F.struct(last.alias("term"), last.alias("total"))
+    summed = F.when(terms <= 0, last).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(terms, F.lit(1))), start, step)["total"])
+    return F.when(k < 0, F.lit(float("-inf"))).otherwise(F.least(summed, F.lit(0.0)))
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1, by Stirling's series from x + 8 on; right to about 14 digits."""
+    y = x + F.lit(8.0)
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return series - functools.reduce(lambda a, b: a + b, [F.log(x + F.lit(float(i))) for i in range(8)])
 
 
 def cutoffs(featured: DataFrame, labels: DataFrame, rule: RiskControl) -> DataFrame:
     """lang_key, and for each metric the cutoff, null where none is certified."""
     n_metrics = len(rule.grids)
     verdicts = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
-    held = featured.where(~F.col("base_failed")).join(verdicts, "doc_id").select("lang_key", "good", *[c.alias(m) for m, c in metrics(featured).items()])
+    held = featured.where(~F.col("base_failed")).join(verdicts, "doc_id").select("lang_key", *TEXT, "good", *[c.alias(m) for m, c in metrics(featured).items()])
+    # one trial for each text, however many rows, documents and labels it has; a bad label makes it bad
+    held = held.groupBy("lang_key", *TEXT).agg(F.min("good").alias("good"), *[F.first(m).alias(m) for m in metrics(featured)])
     counts = written(
         held.groupBy("lang_key").agg(
         F.sum((F.col("good") == 1).cast("long")).alias("n"),
@@ -138,14 +155,14 @@ def judge(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None, *
     """A row for each row of docs (doc_id, text, lang): the columns of keep, the counts, base_failed, kept, and the cutoffs
     of its stratum."""
     rule = rule or RiskControl()
-    featured = written(features(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0null")).alias("lang_key"), *keep), "lang_key", *keep), "quality")
+    featured = written(features(docs.select("doc_id", "text", F.coalesce("lang", F.lit("\0null")).alias("lang_key"), *[F.xxhash64(F.lit(i), "text").alias(c) for i, c in enumerate(TEXT)], *keep), "lang_key", *TEXT, *keep), "quality")
     limits = broadcast_if_small(cutoffs(featured, labels, rule), 10_000)
     judged = featured.join(limits, "lang_key", "left")
     within = [F.coalesce(c <= F.col(f"max_{m}"), F.lit(True)) for m, c in metrics(featured).items() if m in rule.grids]
     kept = ~F.col("base_failed")
     for x in within:
         kept = kept & x
-    return judged.withColumn("kept", kept).drop("lang_key")
+    return judged.withColumn("kept", kept).drop("lang_key", *TEXT)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, rule: RiskControl | None = None) -> DataFrame:
