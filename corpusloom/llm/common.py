@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -90,6 +91,24 @@ def without(docs: DataFrame, gone: DataFrame, marks: list[str]) -> DataFrame:
     return out.join(other, same, "left_anti").drop(*marks)
 
 
+class Cover:
+    """What spans (start, end) cover together, for tests in logarithmic time."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether a character from a to b (exclusive) is covered."""
+        at = bisect.bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
+
+
 def slices(batch, most_bytes: int):
     """Parts of an Arrow batch of at most so many bytes each, or of one row. Bounds what a Python worker holds, also
     where a batch holds thousands of long texts."""

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import Cover, map_rows, table
 
 #: Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -129,20 +129,29 @@ LOOKALIKES |= {d: c for first in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D
 INVISIBLE = dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")
 NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-SIGNS = {f"{a}{s}{word}{s}{b}": sign for word, sign in (("at", "@"), ("dot", ".")) for a, b in ("()", "[]", "{}", "<>") for s in ("", " ")}
+SIGNS = {f"{a}{s}{word}{s}{b}": sign for word, sign in (("at", "@"), ("dot", "."), ("@", "@"), (".", ".")) for a, b in ("()", "[]", "{}", "<>") for s in ("", " ")}
 
 FOLD = Transducer(LOOKALIKES | INVISIBLE)
 BRACKETED = Transducer(SIGNS | {f" {k} ": v for k, v in SIGNS.items()} | {f" {k}": v for k, v in SIGNS.items()} | {f"{k} ": v for k, v in SIGNS.items()})
 
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
 ODD = re.compile("[" + "".join(re.escape(c) for c in sorted({*LOOKALIKES, *INVISIBLE})) + "]")
-_UNIT = rf"(?:{_NUMBER}|[0-9]++)\b"
+#: Words that repeat the digit after them.
+TIMES = {"double": 2, "triple": 3}
+_TIMES = r"(?:(?:" + "|".join(TIMES) + r")[\s-]+)?"
+_UNIT = rf"{_TIMES}(?:{_NUMBER}|[0-9]++)\b"
 _GAP = r"[\s,.()-]++(?:(?:dot|point)\b[\s,.()-]++)?"
 #: Number words and digits side by side, or with "dot" or "point" between them.
 RUN = re.compile(rf"(?ai)(?<![a-z0-9_])(?:plus\W+)?{_UNIT}(?:{_GAP}{_UNIT})+")
-PART = re.compile(rf"(?ai)plus\b|{_NUMBER}\b|[0-9]+")
+PART = re.compile(rf"(?ai)plus\b|{_TIMES}{_NUMBER}\b|[0-9]+")
+#: Digits among which capital or small letters stand for others.
+MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ .()-]{0,2}[0-9OoIl])+(?![A-Za-z0-9])")
+MIXED_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 POINT = re.compile(r"(?ai)\b(?:dot|point)\b")
-SIGNED = re.compile(r"(?ai)[(\[{<]\s?(?:at|dot)\s?[)\]}>]")
+SIGNED = re.compile(r"(?ai)[(\[{<]\s?(?:at|dot|[@.])\s?[)\]}>]")
+#: A domain behind a sign, its stops between blanks.
+SPACED = re.compile(r"(?ai)@\s?([a-z0-9-]++(?:\s\.\s[a-z0-9-]++)++)")
+SPACED_DOT = re.compile(r"\s\.\s")
 #: A local part however long, and what makes an address of it where that follows; a local part is read once either way.
 SPOKEN = re.compile(r"(?ai)(?<![a-z0-9._%+-])([a-z0-9._%+-]++(?:\s+dot\s+(?!at\s)[a-z0-9._%+-]++)*)(?:(\s+at\s+|\s?@\s?)([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)\b)?")
 DOT = re.compile(r"(?ai)\sdot\s")
@@ -156,10 +165,14 @@ SHORT_WORDS = frozenset("ab ad ah al am an as at au by da do du ei el em en er e
 SPOKEN_DOT = re.compile(r"(?ai)\s+dot\s+")
 
 
-def _ends_well(domain: str) -> bool:
-    """Whether a domain in bare words ends like one, and not like a sentence."""
+#: What ends a clause; a country's code that is a common word too counts only before it.
+CLAUSE_END = re.compile(r"[ \t]*(?:[.,;:!?)\]}>\"'|]|[\r\n]|$)")
+
+
+def _ends_well(domain: str, text: str, end: int) -> bool:
+    """Whether a domain in bare words, before end in text, ends like one, and not like a sentence."""
     last = re.split(r"[\s._-]", domain.lower())[-1]
-    return last in GENERIC_DOMAINS or (len(last) == 2 and last.isalpha() and last not in SHORT_WORDS)
+    return last in GENERIC_DOMAINS or (len(last) == 2 and last.isalpha() and (last not in SHORT_WORDS or CLAUSE_END.match(text, end) is not None))
 
 
 def _spoken(tape: Tape) -> Tape:
@@ -167,18 +180,25 @@ def _spoken(tape: Tape) -> Tape:
     domain ends in a known way. "x at y.z" counts where x has a sign or digit, since words stand before web sites too."""
     text, cut = "".join(tape.chars), []
     for m in SPOKEN.finditer(text) if DOT.search(text) else ():
-        for k in (1, 3) if m[2] and (m[2].strip() == "@" or _ends_well(m[3])) else ():
+        for k in (1, 3) if m[2] and (m[2].strip() == "@" or _ends_well(m[3], text, m.end(3))) else ():
             cut += [(m.start(k) + d.start(), m.start(k) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[k])]
             if k == 1:
                 cut.append((m.start(2), m.end(2), "@"))
     for m in PLAIN_AT.finditer(text) if AT.search(text) else ():
-        if not m[1].isalpha() and _ends_well(m[3]):
+        if not m[1].isalpha() and _ends_well(m[3], text, m.end(3)):
             cut.append((m.start(2), m.end(2), "@"))
     for m in GLUED.finditer(text) if GLUED_AT.search(text) else ():
         at = GLUED_AT.search(m[0])
-        if at and at.start() and GLUED_DOT.search(m[0], at.end()) and _ends_well(m[0]):
+        if at and at.start() and GLUED_DOT.search(m[0], at.end()) and _ends_well(m[0], text, m.end()):
             cut.append((m.start() + at.start(), m.start() + at.end(), "@"))
             cut += [(m.start() + d.start(), m.start() + d.end(), ".") for d in GLUED_DOT.finditer(m[0], at.end())]
+    for m in SPACED.finditer(text) if "@" in text else ():
+        if _ends_well(m[1], text, m.end()):
+            if m.start(1) > m.start() + 1:
+                cut.append((m.start() + 1, m.start(1), ""))
+            cut += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in SPACED_DOT.finditer(m[1])]
+            if m.start() and text[m.start() - 1] in " \t":
+                cut.append((m.start() - 1, m.start(), ""))
     out, free = [], 0
     for c in sorted(cut):
         if c[0] >= free:
@@ -210,11 +230,26 @@ def _spelled(tape: Tape, dots: bool = False, glued: bool = False) -> Tape:
                 elif word + (not before[0].isdigit()) + glued > 1:
                     cut.append((before.end(), p.start(), ""))
             if word:
-                cut.append((p.start(), p.end(), NUMBER_WORDS.get(p[0].lower(), "+")))
+                said = re.split(r"[\s-]+", p[0].lower())
+                cut.append((p.start(), p.end(), NUMBER_WORDS.get(said[-1], "+") * (TIMES[said[0]] if len(said) > 1 else 1)))
             before = p
     return _spliced(tape, cut)
 
 
+def _mixed(tape: Tape) -> Tape:
+    """Letters that look like digits become these in runs of at least as many digits."""
+    text, cut = "".join(tape.chars), []
+    for m in MIXED.finditer(text):
+        letters = [i for i in range(m.start(), m.end()) if text[i] in MIXED_DIGITS]
+        if letters and len(letters) <= sum(c.isdigit() for c in m[0]):
+            cut += [(i, i + 1, MIXED_DIGITS[text[i]]) for i in letters]
+    return _spliced(tape, cut)
+
+
+def _has_mixed(text: str) -> bool:
+    return any(c in MIXED_DIGITS for m in MIXED.finditer(text) for c in m[0])
+
+
 def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
     if not cut:
         return tape
@@ -230,10 +265,10 @@ def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of the normalised text, in source code points, that touch no base span of their kind."""
     odd = not text.isascii() and ODD.search(text)
-    if not (odd or SIGNED.search(text) or DOT.search(text) or (AT.search(text) and PLAIN_AT.search(text)) or (GLUED_AT.search(text) and GLUED_DOT.search(text)) or any(_worded(m[0]) for m in RUN.finditer(text))):
+    if not (odd or SIGNED.search(text) or DOT.search(text) or (AT.search(text) and PLAIN_AT.search(text)) or (GLUED_AT.search(text) and GLUED_DOT.search(text)) or SPACED.search(text) or _has_mixed(text) or any(_worded(m[0]) for m in RUN.finditer(text))):
         return []
     tape = Tape.of(text)
-    for stage in (FOLD.run, BRACKETED.run, _spoken):
+    for stage in (FOLD.run, BRACKETED.run, _spoken, _mixed):
         tape = stage(tape)
     out: list[Span] = []
     done = {text}
@@ -243,12 +278,12 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
         if flat in done:
             continue
         done.add(flat)
-        new = []
+        new, known = [], {kind: Cover((a, b) for k, a, b in base + out if k == kind) for kind in KINDS}
         for kind, a, b in base_spans(flat):
             start, end = read.source(a, b)
             while end > start and text[end - 1].isspace():
                 end -= 1
-            if text[start:end] != flat[a:b] and not any(k == kind and x < end and start < y for k, x, y in base + out):
+            if text[start:end] != flat[a:b] and not known[kind].touches(start, end):
                 new.append((kind, start, end))
         out += new
     return out

@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, written
+from .common import Cover, map_rows, table, written
 
 #: Kinds in their order, and the base patterns with the least length of what counts.
 KINDS = ("assign", "access", "hex")
@@ -55,10 +55,10 @@ def entropy(token: str) -> float:
 
 
 def further_found(text: str, base: list[Found]) -> list[Found]:
-    out = []
+    out, covered = [], Cover((a, b) for _, a, b, _ in base)
     for m in TOKEN.finditer(text):
         t = m[0]
-        if any(c.isdigit() for c in t) and t.lower() != t and t.upper() != t and entropy(t) >= LEAST_BITS and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+        if any(c.isdigit() for c in t) and t.lower() != t and t.upper() != t and entropy(t) >= LEAST_BITS and not covered.touches(m.start(), m.end()):
             out.append(("token", m.start(), m.end(), t))
     return out
 

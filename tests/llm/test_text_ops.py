@@ -50,7 +50,7 @@ def exact_tail(k, n, p):
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
-@pytest.mark.parametrize(("k", "n", "p"), [(0, 10, 0.1), (3, 40, 0.05), (7, 300, 0.02), (50, 900, 0.1)])
+@pytest.mark.parametrize(("k", "n", "p"), [(0, 10, 0.1), (0, 0, 0.004), (3, 40, 0.05), (7, 300, 0.02), (50, 900, 0.1), (12, 12, 0.3), (200, 900, 0.1), (4, 2000, 0.004)])
 def test_binomial_tail(spark, k, n, p):
     got = spark.range(1).select(quality.log_binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
     assert math.isclose(math.exp(got), exact_tail(k, n, p), rel_tol=1e-9)
@@ -77,6 +77,34 @@ def test_cutoffs_are_certified(spark):
     assert kept.columns == d.columns and kept.count() == sum(x.kept for x in got.values())
 
 
+def test_binomial_tail_of_many_trials(spark):
+    """100 million trials, against a normal approximation with its correction for skewness."""
+    n, p = 10**8, 0.004
+    deviation = math.sqrt(n * p * (1 - p))
+    k = int(n * p - 4 * deviation)
+    got = math.exp(spark.range(1).select(quality.log_binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0])
+    z = (k + 0.5 - n * p) / deviation
+    normal = 0.5 * math.erfc(-z / math.sqrt(2)) - (1 - 2 * p) / (6 * deviation) * (z * z - 1) * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    assert math.isclose(got, normal, rel_tol=1e-3)
+
+
+def test_trials_are_texts(spark):
+    """Repeated rows, exact copies under other ids and repeated labels are one trial; they change no cutoff."""
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(10_000)}" + ("#$%" if i % 4 == 0 else "") for _ in range(30)) for i in range(1500)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
+    once = spark.createDataFrame([(i, t, "en", "s", 0, True) for i, t in enumerate(texts)], schema)
+    often = once.union(once).union(once.withColumn("doc_id", F.col("doc_id") + 10_000))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    cutoffs = lambda d, x: {tuple(row) for row in quality.judge(d, x).select("max_symbol_milli", "max_dup_line_milli", "max_repeat_milli").distinct().collect()}
+    want = cutoffs(once, labels)
+    assert len(want) == 1 and next(iter(want))[0] is not None
+    assert cutoffs(often, labels.union(labels).union(labels.withColumn("doc_id", F.col("doc_id") + 10_000))) == want
+    few = once.where("doc_id < 40")
+    many = few.crossJoin(spark.range(300)).drop("id")
+    assert cutoffs(few, labels) == cutoffs(many, labels) == {(None, None, None)}
+
+
 def test_quality_empty(spark):
     none = docs(spark, []).limit(0)
     assert quality.filter_documents(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
@@ -330,3 +358,55 @@ def test_ownership_counts(spark):
     got = {bytes(x.value): (x.n_owners, x.n_repos) for x in secrets.ownership(spark.createDataFrame(rows, "value binary, owner string, repo string")).collect()}
     wanted = {v: (len({o for w, o, _ in rows if w == v}), len({(o, p) for w, o, p in rows if w == v})) for v, _, _ in rows}
     assert got == wanted and got[b"alone"] == (1, 1)
+
+
+def test_secrets_and_pii_stay_linear():
+    """Rows of several MB full of matches and disguises: time grows with their length, not with its square."""
+    r = random.Random(9)
+    token = lambda: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789") for _ in range(28))
+    secret = lambda n: " ".join(f"token={token()} {token()}" for _ in range(n))
+    person = lambda n: " ".join(f"a{i}@example.com b{i} (at) example (dot) org +49 151 23456{i % 1000:03d} c{i}@x[.]net" for i in range(n))
+    for run, make, n in ((lambda t: secrets.further_found(t, secrets.base_found(t)), secret, 8_000), (lambda t: pii.disguised_spans(t, pii.base_spans(t)), person, 4_000)):
+        small, large = make(n), make(8 * n)
+        began = time.perf_counter()
+        run(small)
+        first = time.perf_counter() - began
+        began = time.perf_counter()
+        assert len(run(large)) >= 7 * n
+        assert time.perf_counter() - began < 24 * first + 1
+
+
+def test_cover():
+    from corpusloom.llm.common import Cover
+
+    r = random.Random(5)
+    for _ in range(200):
+        spans = [(a, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(r.randrange(8)))]
+        cover = Cover(spans)
+        for a in range(60):
+            for b in (a + 1, a + 4):
+                assert cover.touches(a, b) == any(x < b and a < y for x, y in spans)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("write jane@example[.]com now", "email", "jane@example[.]com"),
+        ("at 192[.]168[.]1[.]1 now", "ip", "192[.]168[.]1[.]1"),
+        ("jane(@)example.com", "email", "jane(@)example.com"),
+        ("jane [at] example . com, please", "email", "jane [at] example . com"),
+        ("Ask jane at example dot it.", "email", "jane at example dot it"),
+        ("jane at example dot at", "email", "jane at example dot at"),
+        ("call +49 151 double five 5 one two three 44", "phone", "+49 151 double five 5 one two three 44"),
+        ("host l92.168.O.1 is up", "ip", "l92.168.O.1"),
+        ("card 4111 l111 1111 1I11", "card", "4111 l111 1111 1I11"),
+    ],
+)
+def test_more_disguises(text, kind, span):
+    got = [(k, text[a:b]) for k, a, b in pii.disguised_spans(text, pii.base_spans(text))]
+    assert (kind, span) in got
+
+
+@pytest.mark.parametrize("text", ["Meet at noon dot it was late", "Oo lol Il 1 of Ol oO", "a [.] b (.) c", "see you at home . it is late", "1 O 1 l", "double dose of one five"])
+def test_no_disguises(text):
+    assert pii.disguised_spans(text, pii.base_spans(text)) == []
