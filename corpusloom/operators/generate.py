@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .literals import names_outside
+from .order import weighted_picks
 from .rng import CATEGORIES, Stream
 
 FILES = "path string, content binary"
@@ -265,21 +267,14 @@ def from_archetypes(archetypes: DataFrame, seed: int) -> DataFrame:
 
 
 def directories_by_weight(dirs: DataFrame, picks: DataFrame) -> DataFrame:
-    """(id, dir): picks (id, u in [0, 1)) fall to dirs (dir, weight) by cumulative weight; the directories of a profile are
-    few, and are sent to all tasks."""
-    from pyspark.sql import Window
-
-    total = dirs.agg(F.sum("weight").alias("total"))
-    up = F.sum("weight").over(Window.orderBy("dir").rowsBetween(Window.unboundedPreceding, 0))
-    bounds = dirs.withColumn("high", up).withColumn("low", F.col("high") - F.col("weight")).crossJoin(F.broadcast(total)).select("dir", (F.col("low") / F.col("total")).alias("low"), (F.col("high") / F.col("total")).alias("high"))
-    return picks.join(F.broadcast(bounds), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("id", "dir")
+    """(id, dir): picks (id, draw: 32 random bits) fall to dirs (dir, weight) in proportion to their weight."""
+    return weighted_picks(picks, dirs, "id", "dir")
 
 
 def class_references(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(symbol, site) of every whole word in lines (path, n, content), outside strings, that names a class (name, symbol,
+    """(symbol, site) of every whole word in lines (path, n, content), outside comments and literals, that names a class (name, symbol,
     def_site), but for its definition."""
-    bare = F.regexp_replace("content", r'"(?:[^"\\]|\\.)*"', '""')
-    words = lines.select("path", "n", F.explode(F.regexp_extract_all(bare, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    words = names_outside(lines).select("path", "n", "name")
     site = F.concat_ws(":", "path", F.col("n").cast("string"))
     return words.join(classes, "name").select("symbol", site.alias("site"), "def_site").where("site <> def_site").select("symbol", "site").distinct()
 
@@ -320,20 +315,3 @@ PRESETS = {
 
 def expand_preset(name: str, explicit: dict | None = None) -> dict:
     return PRESETS[name.lower()] | (explicit or {})
-
-
-def edit_plan(sources_: list[str], grow: list[str], shrink: list[str], edits: int, seed: int) -> list[tuple[str, str]]:
-    """(kind, path) of an edit run: kinds in turn, sources from a shuffled pool; fails before anything is done when a pool
-    that is used once runs out."""
-    kinds = ["remove", "line-shift", "add", *["grow"] * bool(grow), *["shrink"] * bool(shrink)]
-    wanted = [kinds[k % len(kinds)] for k in range(edits)]
-    if wanted.count("shrink") > len(shrink):
-        raise ValueError(f"{edits} edits need {wanted.count('shrink')} shrink seeds; there are {len(shrink)}")
-    if wanted.count("remove") + wanted.count("line-shift") > len(sources_):
-        raise ValueError("not enough source files")
-    pool, cut = iter(Stream(seed, CATEGORIES["Mutate"], 1).shuffled(sorted(sources_))), iter(shrink)
-    out = []
-    for k, kind in enumerate(wanted):
-        path = next(pool) if kind in ("remove", "line-shift") else f"mut_add_{k}.c" if kind == "add" else grow[wanted[:k].count("grow") % len(grow)] if kind == "grow" else next(cut)
-        out.append((kind, path))
-    return out

@@ -8,34 +8,11 @@ chains are shortened by doubling: steps taken grow with the logarithm of a chain
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a local session gets a folder of its own, and a cluster is refused."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="corpusloom-graph-")
-        where = _OWN[app]
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/corpusloom-graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..storage import shared_folder  # noqa: F401  (used by callers)
+from ..storage import written as cut
 
 #: Steps of one job at most, and the size of a frontier from which on a job takes one step only.
 MOST_STEPS, WIDE = 12, 2_000_000

@@ -16,6 +16,8 @@ def query(sql: str | None = None):
     """Registers a function (spark, sf_dir) under its name."""
 
     def put(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

@@ -276,7 +276,7 @@ def dlt_04_add_and_resize(spark, sf_dir):
 
 
 @query(f"WITH {LINES} SELECT doc_id AS path, count(*) - 1 AS crlf, strlen(string_agg(line, chr(13) || chr(10) ORDER BY n)) AS size FROM line GROUP BY 1 HAVING NOT bool_or(contains(line, chr(13)))")
-def dlt_12_eol_flip(spark, sf_dir):
+def dlt_12_eol_flip_sizes(spark, sf_dir):
     every = lines(spark, sf_dir).withColumn("path", F.col("path").cast("long"))
     clean = every.join(docs(spark, sf_dir).where(F.contains("text", F.lit("\r"))).select(F.col("doc_id").alias("path")), "path", "left_anti")
     last = clean.groupBy("path").agg(F.max("n").alias("last"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import carried
+
 INDIRECT = "array<struct<target:string,via:string,dispatched:boolean,resolved:boolean>>"
 SYMBOL = f"struct<def:string,refs:array<string>,edges:array<string>,indirectEdges:{INDIRECT},unreachableRefs:array<string>,bytes:bigint,expectedMiss:boolean,templateHead:string,includedVia:string,defNotLiteral:boolean>"
 SYMBOL_V2 = SYMBOL[:-1] + ",kind:string,simpleName:string,instanceOf:string,pure:boolean,implicitEdges:array<string>,virtualEdges:array<struct<static:string,cha:array<string>,rta:array<string>>>,memberPtrEdges:array<struct<target:string,via:string,dispatched:boolean>>>"
@@ -53,6 +55,63 @@ def read_manifests(spark: SparkSession, path: str, whole: bool = True) -> DataFr
     return one.select("file", F.explode("m.symbols").alias("name", "s")).select("file", "name", "s.*")
 
 
+PROFILE = "archetypes array<struct<label:string,extension:string,class:string,count:bigint>>, _bad string"
+
+
+def read_profiles(documents: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(profile, place, label, extension, class, count, reason) of profiles, one JSON document a row (profile, body): a row
+    for each archetype. reason is null for good ones; others name an unknown class, or repeat a label and extension (but
+    for case) of an archetype before them in their profile. A body that is no such document has one row with that reason."""
+    read = documents.select("profile", F.from_json("body", PROFILE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("p"), F.col("body").isNull().alias("none"))
+    broken = F.col("none") | F.col("p._bad").isNotNull() | F.col("p").isNull()
+    each = read.select("profile", broken.alias("broken"), F.posexplode_outer(F.when(~broken, F.coalesce("p.archetypes", F.array()))).alias("place", "a"))
+    rows = each.where("broken or place is not null").select("profile", "broken", F.col("place").cast("long").alias("place"), "a.*")
+    plain = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    turn = F.row_number().over(Window.partitionBy("profile", plain("label"), plain("extension"), "broken").orderBy("place"))
+    reason = F.when(F.col("broken"), "not a profile").when(~F.coalesce(F.col("class").isin(*labels), F.lit(False)), "unknown class").when(turn > 1, "stands twice")
+    return rows.withColumn("reason", reason).drop("broken")
+
+
+def words_of_link(line: Column) -> Column:
+    """struct<script, dirs, objects> of a link line, in its order: the value of the last -T, of all -L, and what ends in .o
+    or .a and is neither an option nor the value of one."""
+    words = F.filter(F.split(line, " "), lambda w: w != "")
+    start = F.struct(F.lit("").alias("wants"), F.lit(None).cast("string").alias("script"), F.array().cast("array<string>").alias("dirs"), F.array().cast("array<string>").alias("objects"))
+
+    def step(s: Column, w: Column) -> Column:
+        free = s["wants"] == ""
+        an_object = free & ~w.startswith("-") & (w.endswith(".o") | w.endswith(".a"))
+        return F.struct(
+            F.when(free & w.isin("-T", "-L", "-o"), w).otherwise("").alias("wants"),
+            F.when(s["wants"] == "-T", w).otherwise(s["script"]).alias("script"),
+            F.when(s["wants"] == "-L", F.concat(s["dirs"], F.array(w))).otherwise(s["dirs"]).alias("dirs"),
+            F.when(an_object, F.concat(s["objects"], F.array(w))).otherwise(s["objects"]).alias("objects"),
+        )
+
+    return F.aggregate(F.slice(words, 2, 2_000_000_000), start, step)
+
+
+def plain_path(path: Column) -> Column:
+    """A relative path without empty parts, "." and, where a part stands before it, ".."."""
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def build_scopes(logs: DataFrame, linker: str = "ld.lld", block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Build logs (log, n, line), of any length. (scopes, lines): scopes (log, n, script, dirs, objects, error) of each log's
+    last link line; a log without one, or whose link line has no script, has an error. lines are the rows of logs
+    with linked: the number of the link line before or at each, null before the first."""
+    link = F.coalesce(F.ltrim("line").startswith(linker + " "), F.lit(False))
+    last = logs.groupBy("log").agg(F.max(F.when(link, F.struct("n", "line"))).alias("x")).select("log", "x.n", words_of_link(F.ltrim("x.line")).alias("w"))
+    error = F.when(F.col("n").isNull(), f"no {linker} line").when(F.col("w.script").isNull(), "the link line has no script")
+    objects = F.array_sort(F.array_distinct(F.transform("w.objects", plain_path)))
+    scopes = last.select("log", "n", plain_path(F.col("w.script")).alias("script"), F.col("w.dirs").alias("dirs"), objects.alias("objects"), error.alias("error"))
+    return scopes, carried(logs, F.when(link, F.col("n")), ["log"], "n", block, "linked")
+
+
 def read_profile(text: str, labels: tuple[str, ...]) -> dict:
     """A profile; archetype classes must be known, label and extension unique without case."""
     whole = load_json(text)

@@ -68,12 +68,8 @@ def test_small_helpers(spark):
     db = G.compile_db(["u.c"], "/old", ["inc"])
     assert json.loads(G.rebased(db, "/old", "/new"))[0] == {"directory": "/new", "file": "u.c", "command": "clang -I/new/inc -c u.c"}
     assert G.expand_preset("ci", {"scale": 1}) == {"scale": 1} and len(G.PRESETS) == 14
-    plan = G.edit_plan(list("abcdef"), ["g"], ["s"], 6, 1)
-    assert [k for k, _ in plan] == ["remove", "line-shift", "add", "grow", "shrink", "remove"] and len({p for k, p in plan if k in ("remove", "line-shift")}) == 3
-    with pytest.raises(ValueError, match="shrink"):
-        G.edit_plan(list("abcdefghijkl"), ["g"], ["s"], 11, 1)
     dirs = spark.createDataFrame([("a", 1), ("b", 3)], "dir string, weight long")
-    picks = spark.createDataFrame([(1, 0.0), (2, 0.25), (3, 0.99)], "id int, u double")
+    picks = spark.createDataFrame([(1, 0), (2, 2**30), (3, 2**32 - 1)], "id int, draw long")
     assert {r.id: r.dir for r in G.directories_by_weight(dirs, picks).collect()} == {1: "a", 2: "b", 3: "b"}
     lines = spark.createDataFrame([("a.h", 1, "class Foo;"), ("a.h", 2, 'Foo f("Foo"); Food x;'), ("a.h", 3, "class Foo {")], "path string, n int, content string")
     classes = spark.createDataFrame([("Foo", "ns::Foo", "a.h:3")], "name string, symbol string, def_site string")
