@@ -55,7 +55,7 @@ def weighted_picks(draws: DataFrame, weights: DataFrame, key: str, name: str) ->
     asked = draws.where(F.col("draw").isNotNull()).select(place.alias("_at"), key)
     asked = asked.select(F.expr(f"_at div {width}").alias("_b"), "_at", F.lit(1).alias("_rank"), F.lit(None).cast(weights.schema[name].dataType).alias("_name"), key)
     taken = F.last("_name", True).over(Window.partitionBy("_b").orderBy("_at", "_rank").rowsBetween(Window.unboundedPreceding, 0))
-    return starts.unionByName(asked).withColumn("_name", taken).where("_rank = 1").select(key, F.col("_name").alias(name))
+    return starts.unionByName(asked).withColumn("_name", taken).where("_rank = 1 and _name is not null").select(key, F.col("_name").alias(name))
 
 
 #: Rows of a histogram's bin that are sorted; larger bins are cut by more digits first.

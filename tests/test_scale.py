@@ -162,7 +162,8 @@ def test_profiles_and_logs(spark):
 
 
 def test_names_are_registered_once():
-    from corpusloom.plans.registry import QUERIES, query
+    from corpusloom.plans.queries import QUERIES
+    from corpusloom.plans.registry import query
 
     def grf_01_reach_direct(spark, sf_dir):
         return None
