@@ -3,49 +3,23 @@
 from __future__ import annotations
 
 import bisect
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, written  # noqa: F401  (used by the operators)
+
 #: White space of the word contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Rows (three numbers each) that without() sends to all tasks at most.
 FEW_GONE = 500_000
 
-_OWN: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its
-    own; a cluster is refused, since its executors would not find each other's files there."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="corpusloom-")
-        where = _OWN[app]
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it again. Shuffles before it are then free to go, and a
-    lost executor costs no more than the reading of a file."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once per row and hands it to body. Catalyst would otherwise copy value into every lambda that
     names it, and evaluate it once per array element."""
