@@ -16,6 +16,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Rows (three numbers each) that without() sends to all tasks at most.
 FEW_GONE = 500_000
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
