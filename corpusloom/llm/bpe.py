@@ -29,11 +29,13 @@ from .common import scan_partitions, shared_folder, slices, table
 from .packing import PLAIN, default_tokenizer
 
 #: Bytes of text in a part, and of those whose numbers stand in one row.
-PART_BYTES, ROW_BYTES = 32 << 20, 2 << 20
+PART_BYTES, ROW_BYTES = 32 << 20, 8 << 20
 #: Words of a part's list in one row.
 ROW_WORDS = 8192
 #: Bytes of the stream of encoded words that are packed at a time.
-STRETCH = 16 << 20
+STRETCH = 8 << 20
+#: Words that are put together at a time.
+STEP_WORDS = 1 << 17
 
 #: Stops at a word's end, behind a letter or digit: a word of their own for the tokenizer too.
 STOPS = re.compile(rb"([A-Za-z0-9])([.,]+)(?=[ \t\n\x0b\x0c\r]|$)")
@@ -269,35 +271,30 @@ def whole(planes: bytes) -> np.ndarray:
 
 
 class Words:
-    """The ids and texts of a part's words, by number."""
+    """The ids and texts of a part's words, by number: flat arrays, and where each word's stretch begins. A text has a blank
+    behind it."""
 
     def __init__(self, answers: list[dict], unpack):
         codes = np.concatenate([np.zeros(0, "<i4"), *[np.frombuffer(unpack(x["codes"]), "<i4") for x in answers]])
+        n = len(codes)
+        self.sizes, self.begins, self.lengths, self.starts = (np.zeros(n, np.int64) for _ in range(4))
         sizes = np.concatenate([np.zeros(0, "<i4"), *[np.frombuffer(unpack(x["sizes"]), "<i4") for x in answers]])
+        self.sizes[codes], self.begins[codes] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
         self.ids = np.concatenate([np.zeros(0, "<i4"), *[whole(unpack(x["ids"])) for x in answers]])
-        n = len(codes)
-        self.sizes, self.begins, self.texts = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
-        self.sizes[codes] = sizes
-        self.begins[codes] = np.cumsum(sizes, dtype=np.int64) - sizes
-        at = iter(codes.tolist())
-        for x in answers:
-            for text in unpack(x["texts"]).decode().split("\n"):
-                self.texts[next(at)] = text
-        self.some_empty = bool((self.sizes == 0).any())
-
-    def documents(self, counts: list[int], codes: np.ndarray) -> tuple[list[bytes], list[str]]:
+        self.texts = np.frombuffer(bytearray(b"".join(unpack(x["texts"]) + b"\n" for x in answers)), np.uint8)
+        ends = np.flatnonzero(self.texts == 10) + 1
+        self.texts[ends - 1] = 32
+        self.lengths[codes], self.starts[codes] = np.diff(ends, prepend=0), np.append(0, ends[:-1])[:n]
+        self.lengths[self.sizes == 0] = 0
+
+    def documents(self, counts: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """Ids and texts of documents of so many words each, whose numbers follow each other in codes."""
-        lengths = self.sizes[codes]
-        tokens, stops = self.ids[spread(self.begins[codes], lengths)], np.cumsum(lengths).tolist()
-        texts, begin, end, ids, decoded = list(map(self.texts.__getitem__, codes.tolist())), 0, 0, [], []
-        for count in counts:
-            mine = texts[end : end + count]
-            end += count
-            stop = stops[end - 1] if end else 0
-            ids.append(tokens[begin:stop].tobytes())
-            decoded.append(" ".join(filter(None, mine) if self.some_empty else mine))
-            begin = stop
-        return ids, decoded
+        parts = [codes[i : i + STEP_WORDS] for i in range(0, len(codes), STEP_WORDS)]
+        ids = b"".join([self.ids[spread(self.begins[c], self.sizes[c])].tobytes() for c in parts])
+        texts = b"".join([self.texts[spread(self.starts[c], self.lengths[c])].tobytes() for c in parts])
+        ends = np.cumsum(counts)
+        at, to = (np.append(0, np.cumsum(x[codes]))[np.append(0, ends)].tolist() for x in (4 * self.sizes, self.lengths))
+        return [ids[i:j] for i, j in zip(at, at[1:], strict=False)], [texts[i : max(i, j - 1)] for i, j in zip(to, to[1:], strict=False)]
 
 
 def joined(batches):
@@ -314,8 +311,14 @@ def joined(batches):
             if words is None or batch.column("part")[i].as_py() != part:
                 words = None  # before the next part's words are unpacked
                 part, words = batch.column("part")[i].as_py(), Words(batch.column("answers")[i].as_py() or [], unpack)
-            ids, decoded = words.documents(batch.column("sizes")[i].as_py(), whole(unpack(batch.column("codes")[i].as_py())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=schema)
+            doc_ids, counts, codes = batch.column("doc_ids")[i].values, batch.column("sizes")[i].values.to_numpy(), whole(unpack(batch.column("codes")[i].as_py()))
+            ends, begin = np.cumsum(counts, dtype=np.int64), 0
+            while begin < len(counts):  # some documents at a time
+                done = int(ends[begin] - counts[begin])
+                end = max(begin + 1, int(np.searchsorted(ends, done + STEP_WORDS, "right")))
+                ids, decoded = words.documents(counts[begin:end], codes[done : int(ends[end - 1])])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(begin, end - begin), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], schema=schema)
+                begin = end
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
