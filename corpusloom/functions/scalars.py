@@ -156,6 +156,21 @@ def spelled_class(name: Column) -> Column:
     return F.when(wrapped("Z"), "drop").when(wrapped("Y"), "open").otherwise("keep")
 
 
+def rebased_path(text: Column | str, old: str, new: str) -> Column:
+    """text with the root path old replaced by new wherever it stands as a whole path: before a slash, quote, blank or the end."""
+    quoted = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in old)
+    return F.regexp_replace(text, quoted + r'(?=["/\s]|$)', new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def effective_count(usual: Column, scale: float, given: Column | None = None, keep_one: Column | None = None) -> Column:
+    """A count knob: given as it is, else usual by scale, halves to even; one that is on (above 0) stays so with keep_one."""
+    value = usual if given is None else F.coalesce(given, usual)
+    scaled = F.bround(usual * scale).cast("long")
+    n = scaled if given is None else F.coalesce(given.cast("long"), scaled)
+    n = n if keep_one is None else F.when(keep_one, F.greatest(n, F.lit(1).cast("long"))).otherwise(n)
+    return F.when(value > 0, n).otherwise(F.lit(0).cast("long"))
+
+
 def whole_word(text: Column, word: Column, not_after_tilde: bool = False) -> Column:
     """Whether text holds word with no identifier character on either side; not_after_tilde: nor a ~ before it."""
     before = "[A-Za-z0-9_~]" if not_after_tilde else "[A-Za-z0-9_]"

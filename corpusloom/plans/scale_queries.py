@@ -6,11 +6,14 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import effective_count, rebased_path
+from ..operators import draws as X
 from ..operators import literals as L
 from ..operators import order as O
 from ..sources import manifests as M
 from ..sources import sinks as W
 from ..sources import tree as T
+from ..operators.rng import CATEGORIES, MASK, mix
 from .registry import query, table
 from .relation_queries import place
 
@@ -160,3 +163,85 @@ def src_06_profiles(spark, sf_dir):
     whole = table(spark, sf_dir, "customer").where("c_nationkey % 6 <> 5").groupBy(F.col("c_nationkey").alias("profile")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("archetypes"))).alias("body"))
     broken = table(spark, sf_dir, "nation").where("n_nationkey % 6 = 5").select(F.col("n_nationkey").alias("profile"), F.lit('{"archetypes": [').alias("body"))
     return M.read_profiles(whole.unionByName(broken), ("text", "binary")).select("profile", "place", "label", "extension", "class", "reason")
+
+
+def raw_sql(source: str, key: str, seed: int, category: str, n: int) -> str:
+    """SQL of key and x1 .. xn: the first raw values of the streams (seed, category, key), in integers of 128 bits."""
+    times = lambda x, c: f"((({x})::UHUGEINT * {c}::UHUGEINT) % {1 << 64}::UHUGEINT)::UBIGINT"
+    plus = lambda x, c: f"((({x})::UHUGEINT + {c}::UHUGEINT) % {1 << 64}::UHUGEINT)::UBIGINT"
+    turn = lambda x, k: f"({times(x, 1 << k)} | ({x} >> {64 - k}))"
+    steps, last = [], "t0"
+
+    def let(what: str) -> None:
+        nonlocal last
+        new = f"t{len(steps) + 1}"
+        steps.append(f"{new} AS MATERIALIZED (SELECT *, {what} FROM {last})")
+        last = new
+
+    def mixed(x: str, name: str) -> None:
+        let(f"{times(f'xor({x}, {x} >> 30)', X.FIRST)} AS {name}_1")
+        let(f"{times(f'xor({name}_1, {name}_1 >> 27)', X.SECOND)} AS {name}_2")
+        let(f"xor({name}_2, {name}_2 >> 31) AS {name}")
+
+    head = mix(mix(X.STEP ^ (seed & 0xFFFFFFFF)) ^ (CATEGORIES[category] << 32))
+    let(f"xor({key}::UBIGINT, {head}::UBIGINT) AS h0")
+    mixed("h0", "seedling")
+    for i in range(4):
+        let(f"{plus('seedling', X.STEP * (i + 1) & MASK)} AS in{i}")
+        mixed(f"in{i}", f"s0_{i}")
+    for k in range(n):
+        a, b, c, d = (f"s{k}_{i}" for i in range(4))
+        let(f"{times(b, 5)} AS f{k}, xor({c}, {a}) AS c{k}, xor({d}, {b}) AS d{k}")
+        let(f"{turn(f'f{k}', 7)} AS g{k}")
+        let(f"{times(f'g{k}', 9)} AS x{k + 1}, xor({a}, d{k}) AS s{k + 1}_0, xor({b}, c{k}) AS s{k + 1}_1, xor(c{k}, {times(b, 1 << 17)}) AS s{k + 1}_2, {turn(f'd{k}', 45)} AS s{k + 1}_3")
+    return f"t0 AS ({source}), {', '.join(steps)}, raw AS (SELECT {key}, {', '.join(f'x{i + 1}' for i in range(n))} FROM {last})"
+
+
+@query(f"""WITH {raw_sql("SELECT o_orderkey FROM orders", "o_orderkey", 1337, "Mutate", 3)}
+SELECT o_orderkey, x1::VARCHAR AS raw, ((1000::UHUGEINT * (x2 >> 32)) // 4294967296)::BIGINT AS below_1000, (10 + (10::UHUGEINT * (x3 >> 32)) // 4294967296)::BIGINT AS from_10_to_19 FROM raw""")
+def rng_02_bounded_draws(spark, sf_dir):
+    """A raw value and two bounded ones of each order's stream."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    made = X.drawn(X.seeded(orders, 1337, CATEGORIES["Mutate"], F.col("o_orderkey")), "x1", "x2", "x3")
+    unsigned = F.expr("cast(cast(x1 as decimal(20,0)) + if(x1 < 0, 18446744073709551616BD, 0BD) as string)")
+    return made.select("o_orderkey", unsigned.alias("raw"), X.below(F.col("x2"), 1000).alias("below_1000"), (10 + X.below(F.col("x3"), 10)).alias("from_10_to_19"))
+
+
+@query(f"""WITH c AS (SELECT unnest({sorted(CATEGORIES.values())}) AS category, doc_id FROM documents), per AS (SELECT category, count(*) AS n FROM c GROUP BY 1)
+SELECT category, n, {len(CATEGORIES)}::BIGINT AS categories FROM per""")
+def rng_03_categories(spark, sf_dir):
+    """Each document has a stream in each category, and no two of them begin alike."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.lit(c) for c in CATEGORIES.values()])).alias("category"))
+    out = X.drawn(X.seeded(d, 7, F.col("category"), F.col("doc_id")), "x")
+    first = out.groupBy("x").agg(F.min("category").alias("category"))
+    return first.groupBy("category").agg(F.count("*").alias("n")).withColumn("categories", F.lit(len(CATEGORIES)).cast("long"))
+
+
+@query()
+def gen_07_sizes(spark, sf_dir):
+    """A size for each order, in bands from its price; tests hold it against the streams, draw by draw."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("p50"), F.floor(F.col("o_totalprice") * (1 + F.col("o_orderkey") % 5)).alias("p90"), F.floor(F.col("o_totalprice") * 40).alias("max"))
+    return X.sizes(o, 11, CATEGORIES["ProfileGen"], F.col("o_orderkey"))
+
+
+@query("""SELECT 'src/u' || doc_id || '.c' AS unit, '/copy/of/inc' AS first, '/copy/of/d' || (doc_id % 7) AS second, '/old/root2/keep' AS kept FROM documents""")
+def gen_13_rebased_db(spark, sf_dir):
+    """A compile database of documents, of a line for each entry, rebased to a copy of its tree; a longer root that begins
+    alike stays."""
+    at = place(spark, "db")
+    d = table(spark, sf_dir, "documents")
+    unit = F.concat(F.lit("src/u"), F.col("doc_id").cast("string"), F.lit(".c"))
+    words = F.array(F.lit("clang"), F.lit("-I/old/root/inc"), F.concat(F.lit("-I/old/root/d"), (F.col("doc_id") % 7).cast("string")), F.lit("-I/old/root2/keep"), F.lit("-c"), unit)
+    d.select(F.to_json(F.struct(F.lit("/old/root").alias("directory"), unit.alias("file"), words.alias("arguments"))).alias("value")).write.text(at)
+    read = spark.read.text(at).select(F.from_json(rebased_path("value", "/old/root", "/copy/of"), "file string, arguments array<string>").alias("e"))
+    flag = lambda i: F.substring(F.get("e.arguments", F.lit(i)), 3, 1000)
+    return read.select(F.col("e.file").alias("unit"), flag(1).alias("first"), flag(2).alias("second"), flag(3).alias("kept"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS name, p_size * 37 AS usual, p_partkey % 3 = 0 AS keep_one, CASE WHEN p_partkey % 5 = 0 THEN p_size - 10 END AS given FROM part)
+SELECT name, CASE WHEN coalesce(given, usual) <= 0 THEN 0 ELSE greatest(coalesce(given, round_even(usual * 0.01::DOUBLE, 0)), CASE WHEN keep_one THEN 1 ELSE 0 END) END::BIGINT AS effective FROM p""")
+def gen_14_effective_counts(spark, sf_dir):
+    """Counts of populations from parts: given ones as they are, others scaled, some kept from vanishing."""
+    p = table(spark, sf_dir, "part")
+    given = F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") - 10)
+    return p.select(F.col("p_partkey").alias("name"), effective_count(F.col("p_size") * 37, 0.01, given, F.col("p_partkey") % 3 == 0).alias("effective"))

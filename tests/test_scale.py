@@ -172,3 +172,27 @@ def test_names_are_registered_once():
     with pytest.raises(ValueError, match="two queries"):
         query()(grf_01_reach_direct)
     assert json.dumps(sorted(QUERIES))
+
+
+def test_native_streams(spark):
+    """Fixed vectors, and draws and sizes of many rows against the streams in plain Python; no Python worker in the plan."""
+    from corpusloom.operators import draws as X
+    from corpusloom.operators.rng import CATEGORIES, Stream
+
+    one = X.drawn(X.seeded(spark.createDataFrame([(42,)], "i long"), 1337, 7, F.col("i")), "x", "y", "z").first()
+    assert [v & (2**64 - 1) for v in (one.x, one.y, one.z)] == [14422954827547773155, 8900491109341867659, 16519258455261250301]
+    assert X.drawn(X.seeded(spark.createDataFrame([(42,)], "i long"), 1337, 7, F.col("i")), "x").select(X.below(F.col("x"), 1000)).first()[0] == 781
+    r = random.Random(4)
+    rows = [(i, *sorted(r.choice((0, 1, 2, 3, 7, 64, 1000, 10**6, 10**9, -5)) for _ in range(3))) for i in [0, -1, 2**62, *range(300)]]
+    made = X.sizes(spark.createDataFrame(rows, "i long, p50 long, p90 long, max long"), 11, CATEGORIES["ProfileGen"], F.col("i"))
+    assert {x.i: x.size for x in made.collect()} == {i: Stream(11, CATEGORIES["ProfileGen"], i).size(a, b, c) for i, a, b, c in rows}
+    plan = X.drawn(X.seeded(spark.range(5), 1, 1, F.col("id")), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_size_query(spark):
+    from corpusloom.operators.rng import CATEGORIES, Stream
+    from corpusloom.plans.queries import QUERIES
+
+    rows = QUERIES["gen_07_sizes"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 1500 and all(x.size == Stream(11, CATEGORIES["ProfileGen"], x.o_orderkey).size(x.p50, x.p90, x.max) for x in rows)
