@@ -156,6 +156,32 @@ def spelled_class(name: Column) -> Column:
     return F.when(wrapped("Z"), "drop").when(wrapped("Y"), "open").otherwise("keep")
 
 
+def spelled_class_for(name: Column, target: int, targets: int) -> Column:
+    """Class by spelling in one of several targets: a last part (behind the last colon) that ends in two underscores and a
+    letter for each target (K keep, D drop, O open), with something before them, has that target's letter decide; others
+    are spelled as for one target."""
+    bare = F.substring_index(name, ":", -1)
+    letters = F.regexp_extract(bare, f"(?s)^.+__([KDO]{{{targets}}})$", 1)
+    letter = F.substring(letters, target + 1, 1)
+    return F.when(letter == "K", "keep").when(letter == "D", "drop").when(letter == "O", "open").otherwise(spelled_class(bare))
+
+
+def include_flags(command: Column) -> Column:
+    """The values of a command's -I flags in order; a value may stand apart, and in quotes."""
+    found = F.regexp_extract_all(command, F.lit(r'(?<!\S)-I\s*("[^"]*"|\S+)'), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, '^"|"$', ""))
+
+
+def flipped_to_binary(content: Column) -> Column:
+    """Bytes that look binary: a NUL within the first five, and no wide byte-order mark."""
+    digits = F.hex(content)
+    at = 2 * F.least(F.lit(4), F.octet_length(content) - 1)
+    nul = F.concat(F.substr(digits, F.lit(1), at), F.lit("00"), F.substr(digits, at + 3))
+    first = F.lpad(F.hex(F.conv(F.substring(nul, 1, 2), 16, 10).cast("int").bitwiseXOR(1)), 2, "0")
+    wide = nul.startswith("FFFE") | nul.startswith("FEFF") | nul.startswith("0000FEFF")
+    return F.when(F.octet_length(content) > 0, F.unhex(F.when(wide, F.concat(first, F.substr(nul, F.lit(3)))).otherwise(nul))).otherwise(content)
+
+
 def rebased_path(text: Column | str, old: str, new: str) -> Column:
     """text with the root path old replaced by new wherever it stands as a whole path: before a slash, quote, blank or the end."""
     quoted = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in old)

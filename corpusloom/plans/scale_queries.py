@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import effective_count, rebased_path
+from ..functions.scalars import effective_count, flipped_to_binary, include_flags, rebased_path, spelled_class_for
 from ..operators import draws as X
 from ..operators import literals as L
 from ..operators import order as O
@@ -245,3 +245,73 @@ def gen_14_effective_counts(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     given = F.when(F.col("p_partkey") % 5 == 0, F.col("p_size") - 10)
     return p.select(F.col("p_partkey").alias("name"), effective_count(F.col("p_size") * 37, 0.01, given, F.col("p_partkey") % 3 == 0).alias("effective"))
+
+
+@query("""WITH s AS (SELECT 'f' || doc_id AS name, doc_id AS k FROM documents), l AS (SELECT 0 AS part, '' AS name, '{"_meta": {"manifestVersion": 1}, "symbols": {' AS line UNION ALL SELECT 2, '', '}}'
+UNION ALL SELECT 1, name, CASE WHEN name = (SELECT min(name) FROM s) THEN '' ELSE ',' END || '"' || name || '": {"def":"d:' || k || '"}' FROM s) SELECT row_number() OVER (ORDER BY part, encode(name)) AS n, line FROM l""")
+def snk_01_line_order(spark, sf_dir):
+    """Each line of a manifest at its place in the file."""
+    at = place(spark, "manifest")
+    key = F.col("doc_id").cast("string")
+    W.write_lines(W.manifest_lines(table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), key).alias("name"), F.concat(F.lit("d:"), key).alias("def")), {"manifestVersion": 1}), at)
+    return W.numbered_lines(spark, at)
+
+
+@query("""WITH s AS (SELECT 'f' || doc_id AS name, doc_id AS k FROM documents), l AS (SELECT 0 AS part, '' AS name, '{' AS line UNION ALL SELECT 2, '', '}'
+UNION ALL SELECT 1, name, CASE WHEN name = (SELECT min(name) FROM s) THEN '' ELSE ',' END || '"' || name || '": ' || CASE WHEN k % 3 = 0 THEN '"TOMBSTONE"' ELSE '{"def":"d:' || k || '","refs":[],"edges":[]}' END FROM s) SELECT row_number() OVER (ORDER BY part, encode(name)) AS n, line FROM l""")
+def snk_03_line_order(spark, sf_dir):
+    at = place(spark, "overlay")
+    key, none = F.col("doc_id").cast("string"), F.array().cast("array<string>")
+    changed = F.when(F.col("doc_id") % 3 == 0, "TOMBSTONE").otherwise("CHANGED")
+    W.write_lines(W.overlay_lines(table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), key).alias("name"), changed.alias("op"), F.concat(F.lit("d:"), key).alias("def"), none.alias("refs"), none.alias("edges"), F.lit(None).cast("array<string>").alias("removed_sites"))), at)
+    return W.numbered_lines(spark, at)
+
+
+@query("""SELECT row_number() OVER (ORDER BY encode('p/' || o_orderkey)) AS n, 'p/' || o_orderkey AS path, o_orderstatus AS reason FROM orders""")
+def snk_04_line_order(spark, sf_dir):
+    at = place(spark, "diff")
+    W.write_ordered(table(spark, sf_dir, "orders").select(F.concat(F.lit("p/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderstatus").alias("reason")), at)
+    return W.numbered_lines(spark, at).select("n", F.from_json("line", "path string, reason string").alias("x")).select("n", "x.*")
+
+
+@query("SELECT row_number() OVER (ORDER BY encode(c_name)) AS n, c_name AS line FROM customer")
+def snk_07_line_order(spark, sf_dir):
+    at = place(spark, "list")
+    W.write_lines(table(spark, sf_dir, "customer").select("c_name"), at, ("c_name",), "c_name")
+    return W.numbered_lines(spark, at)
+
+
+@query("""SELECT doc_id, ['keep', 'keep', 'drop', 'open', 'keep'][c + 1] AS none, ['keep', 'open', 'keep', 'open', 'keep'][c + 1] AS first, ['drop', 'keep', 'keep', 'open', 'keep'][c + 1] AS second, ['open', 'drop', 'keep', 'open', 'keep'][c + 1] AS third
+FROM (SELECT doc_id, doc_id % 5 AS c FROM n)""")
+def prj_14_target_suffix(spark, sf_dir):
+    """The class of a name in each of three targets."""
+    key = F.col("doc_id")
+    name = F.when(key % 5 == 0, F.concat(F.lit("a:n"), key.cast("string"), F.lit("__KDO"))).when(key % 5 == 1, "Z__OKD").when(key % 5 == 2, "__DDD").when(key % 5 == 3, "YaY").otherwise("k:ZqZ__KD")
+    return table(spark, sf_dir, "documents").select("doc_id", spelled_class_for(bare, 0, 9).alias("none"), *[spelled_class_for(name, i, 3).alias(c) for i, c in enumerate(("first", "second", "third"))])
+
+
+@query("SELECT o_orderkey, 'inc,d ' || o_custkey || ',e' || (o_orderkey % 3) AS incs FROM orders")
+def src_08_include_flags(spark, sf_dir):
+    """Flags joined to their value, apart from it, and in quotes; what only looks like one is left."""
+    text = F.concat(F.lit("clang -I inc x-Iy -O2 -I\"d "), F.col("o_custkey").cast("string"), F.lit("\" -DA=-Ib -Ie"), (F.col("o_orderkey") % 3).cast("string"), F.lit(" -c u.c"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(include_flags(text), ",").alias("incs"))
+
+
+@query("""SELECT doc_id, CASE WHEN t = '' THEN '' ELSE left(h, p) || '00' || substr(h, p + 3) END AS content FROM (SELECT doc_id, t, hex(encode(t)) AS h, 2 * least(4, octet_length(encode(t)) - 1) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def dlt_14_binary_flip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(flipped_to_binary(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).alias("content"))
+
+
+@query("""SELECT 'c' || c_custkey AS name, CASE WHEN c_custkey % 2 = 0 THEN 'method' ELSE 'class' END AS kind, c_custkey % 3 = 0 AS pure, 'e' || c_nationkey AS implicit, 's' || c_custkey AS static, 'x,y' || c_nationkey AS cha, 'm' || c_custkey AS member FROM customer""")
+def src_05_v2_fields(spark, sf_dir):
+    """Manifests of version 2, one for each nation, with the fields that version 1 lacks."""
+    at = place(spark, "v2")
+    text = lambda x, p: F.concat(F.lit(p), F.col(x).cast("string"))
+    key = F.col("c_custkey")
+    virtual = F.array(F.struct(text("c_custkey", "s").alias("static"), F.array(F.lit("x"), text("c_nationkey", "y")).alias("cha"), F.array().cast("array<string>").alias("rta")))
+    member = F.array(F.struct(text("c_custkey", "m").alias("target"), F.lit("fn").alias("via"), F.lit(True).alias("dispatched")))
+    entry = F.struct(F.when(key % 2 == 0, "method").otherwise("class").alias("kind"), (key % 3 == 0).alias("pure"), F.array(text("c_nationkey", "e")).alias("implicitEdges"), virtual.alias("virtualEdges"), member.alias("memberPtrEdges"))
+    whole = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(text("c_custkey", "c"), entry))).alias("symbols"))
+    whole.select(F.to_json(F.struct("symbols")).alias("value")).repartition("value").write.text(at)
+    read = M.read_manifests(spark, at, whole=False)
+    return read.select("name", "kind", "pure", F.array_join("implicitEdges", ",").alias("implicit"), F.get("virtualEdges.static", F.lit(0)).alias("static"), F.array_join(F.get("virtualEdges.cha", F.lit(0)), ",").alias("cha"), F.get("memberPtrEdges.target", F.lit(0)).alias("member"))

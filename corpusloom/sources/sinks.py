@@ -10,7 +10,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import POSTURES
@@ -71,6 +71,15 @@ def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("part", "
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line) of text written by write_lines, n from 1 over all parts in the order of their names. A part is one row while
+    its lines are counted (2 GB at most)."""
+    parts = spark.read.text(path, wholetext=True).where("value <> ''").select(F.col("_metadata.file_name").alias("part"), F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("lines"))
+    before = F.coalesce(F.sum(F.size("lines")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", before.alias("before"))  # a row for each part
+    return parts.join(starts, "part").select(F.posexplode("lines").alias("i", "line"), "before").select((F.col("before") + F.col("i") + 1).alias("n"), "line")
+
+
 def pieces(folder: str):
     """The bytes of the parts of a local or mounted folder, one after another, in bounded pieces."""
     folder = folder.removeprefix("file://")
