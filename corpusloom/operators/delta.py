@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .graph import cut
 
 
@@ -203,13 +204,37 @@ def milli(common: Column, a: Column, b: Column) -> Column:
     return F.when(m == 0, 1000).otherwise(F.floor((1000 * common + F.floor(m / 2)) / m)).cast("long")
 
 
+def without_commonest(bags: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """bags (key, line, c) with common: whether the line is one of the text's n commonest by counts (line, held)."""
+    held = F.coalesce("held", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(held.desc(), F.desc("line")))
+    return bags.join(counts, "line", "left").withColumn("common", place <= n).drop("held")
+
+
 def similarities(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None, least: int = 1) -> DataFrame:
     """(a, b, common, milli) of texts of two sets of line bags (key, line, c) that share least lines or more; pairs (a, b)
-    bounds which. Without pairs, left is a query set: give one that is small beside right."""
+    bounds which. Without pairs, left is a query set: give one that is small beside right.
+
+    Texts that share so many lines share one that is not among the least - 1 commonest lines of either, all lines taken in
+    one order from rare to common. Only such lines bring texts together; the commonest ones are then looked up for the pairs
+    found, so that a line that stands in a third of all texts makes no pairs of its own."""
     sizes = lambda x, k, n: x.groupBy(F.col("key").alias(k)).agg(F.sum("c").alias(n))
-    a, b = left.select(F.col("key").alias("a"), "line", F.col("c").alias("ca")), right.select(F.col("key").alias("b"), "line", F.col("c").alias("cb"))
-    met = a.join(b, "line") if pairs is None else pairs.join(a, "a").join(b, ["b", "line"])
-    common = met.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("common"), F.count("*").alias("lines")).where(F.col("lines") >= least)
+    named = lambda x, k: x.withColumnsRenamed({"key": k, "c": f"c{k}"})
+    each = [F.least("ca", "cb").alias("both")]
+    if pairs is not None:
+        met = pairs.join(named(left, "a"), "a").join(named(right, "b"), ["b", "line"]).select("a", "b", *each)
+    elif least < 2:
+        met = named(left, "a").join(named(right, "b"), "line").select("a", "b", *each)
+    else:
+        counts = right.groupBy("line").agg(F.count("*").alias("held"))
+        a, b = (written(named(without_commonest(x, counts, least - 1), k), "bags") for x, k in ((left, "a"), (right, "b")))
+        rare = written(a.where(~F.col("common")).drop("common").join(b.where(~F.col("common")).drop("common"), "line").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("both"), F.count("*").alias("n")), "pairs")
+        found = rare.select("a", "b")
+        ours = found.join(a.where("common").drop("common"), "a").join(b.drop("common"), ["b", "line"])
+        theirs = found.join(b.where("common").drop("common"), "b").join(a.where(~F.col("common")).drop("common"), ["a", "line"])
+        met = rare.unionByName(ours.select("a", "b", *each, F.lit(1).cast("long").alias("n"))).unionByName(theirs.select("a", "b", *each, F.lit(1).cast("long").alias("n")))
+    lines = F.sum("n") if "n" in met.columns else F.count("*")
+    common = met.groupBy("a", "b").agg(F.sum("both").alias("common"), lines.alias("lines")).where(F.col("lines") >= least)
     return common.join(sizes(left, "a", "na"), "a").join(sizes(right, "b", "nb"), "b").select("a", "b", "common", milli(F.col("common"), F.col("na"), F.col("nb")).alias("milli"))
 
 

@@ -66,6 +66,7 @@ class Stream:
     def size(self, p50: int, p90: int, most: int) -> int:
         """A file size from bands below p50 (half of the draws), to p90 (four in ten) and to the largest; log-uniform in a
         band, by a doubling and a place in it, drawn again beyond the band."""
+        # fixed values: the shares of the bands, 50 and 90 of 100, and the order of the draws
         p50 = max(1, p50)
         p90 = max(p50, p90)
         most = max(p90, most)

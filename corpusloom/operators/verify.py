@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_if_small
 from ..functions import scalars as S
 
 COLUMNS = ("check", "key", "site", "reason")
@@ -80,8 +81,8 @@ def resolve_includes(includes: DataFrame, dirs: DataFrame, files: DataFrame) ->
     path, idx (-1: own directory)."""
     own = includes.where("NOT angled AND NOT (next AND found_idx >= 0)").select("id", F.lit(-1).alias("idx"), F.col("from_dir").alias("dir"), "spec")
     least = F.when(F.col("next") & (F.col("found_idx") >= 0), F.col("found_idx") + 1).otherwise(0)
-    # the search path is a list of directories of the build: its size does not follow the corpus
-    searched = includes.crossJoin(F.broadcast(dirs)).where(F.col("idx") >= least).select("id", "idx", "dir", "spec")
+    # the search path is a list of directories of the build: its size does not follow the corpus, and is checked
+    searched = includes.crossJoin(broadcast_if_small(dirs, 100_000)).where(F.col("idx") >= least).select("id", "idx", "dir", "spec")
     path = F.when(F.col("dir") == "", F.col("spec")).otherwise(F.concat_ws("/", "dir", "spec"))
     flat = S.folded_path(F.col("path"))
     hits = own.unionByName(searched).select("id", "idx", path.alias("path")).where(S.contained(F.col("path"))).select("id", "idx", flat.alias("path")).join(files.select("path"), "path", "left_semi")

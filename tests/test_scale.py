@@ -196,3 +196,34 @@ def test_size_query(spark):
 
     rows = QUERIES["gen_07_sizes"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 1500 and all(x.size == Stream(11, CATEGORIES["ProfileGen"], x.o_orderkey).size(x.p50, x.p90, x.max) for x in rows)
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_similarities_on_hot_lines(spark, least):
+    """Against all pairs; one line stands in every text, another in most, counts differ, and some texts are one line."""
+    from corpusloom.operators import delta as D
+
+    r = random.Random(least)
+    bags = {k: {"hot": 1 + k % 3, **({"warm": 2} if k % 4 else {}), **{f"l{r.randrange(60)}": r.randrange(1, 4) for _ in range(r.choice((0, 1, 3, 12)))}} for k in range(80)}
+    df = spark.createDataFrame([(k, line, c) for k, bag in bags.items() for line, c in bag.items()], "key long, line string, c long")
+    want = {}
+    for a in (k for k in bags if k % 5 == 0):
+        for b in bags:
+            shared = bags[a].keys() & bags[b].keys()
+            if len(shared) >= least:
+                common, most = sum(min(bags[a][x], bags[b][x]) for x in shared), max(sum(bags[a].values()), sum(bags[b].values()))
+                want[a, b] = (common, (1000 * common + most // 2) // most)
+    got = D.similarities(df.where("key % 5 = 0"), df, least=least)
+    assert {(x.a, x.b): (x.common, x.milli) for x in got.collect()} == want
+
+
+def test_hot_lines_make_no_pairs(spark):
+    """1,000 texts that share one line, and each of which has one of its own, make no rows that are joined."""
+    from corpusloom.operators import delta as D
+
+    rows = [(k, line, 1) for k in range(1000) for line in ("hot", f"own{k}")]
+    df = spark.createDataFrame(rows, "key long, line string, c long")
+    counts = df.groupBy("line").agg(F.count("*").alias("held"))
+    kept = D.without_commonest(df, counts, 1).where(~F.col("common"))
+    assert kept.where("line = 'hot'").count() == 0 and kept.count() == 1000
+    assert D.similarities(df, df, least=2).where("a <> b").collect() == []
