@@ -281,13 +281,13 @@ def snk_07_line_order(spark, sf_dir):
     return W.numbered_lines(spark, at)
 
 
-@query("""SELECT doc_id, ['keep', 'keep', 'drop', 'open', 'keep'][c + 1] AS none, ['keep', 'open', 'keep', 'open', 'keep'][c + 1] AS first, ['drop', 'keep', 'keep', 'open', 'keep'][c + 1] AS second, ['open', 'drop', 'keep', 'open', 'keep'][c + 1] AS third
-FROM (SELECT doc_id, doc_id % 5 AS c FROM n)""")
+@query("""SELECT doc_id, ['keep', 'keep', 'keep', 'open', 'keep'][c + 1] AS none, ['keep', 'open', 'keep', 'open', 'keep'][c + 1] AS first, ['drop', 'keep', 'keep', 'open', 'keep'][c + 1] AS second, ['open', 'drop', 'keep', 'open', 'keep'][c + 1] AS third
+FROM (SELECT doc_id, doc_id % 5 AS c FROM documents)""")
 def prj_14_target_suffix(spark, sf_dir):
     """The class of a name in each of three targets."""
     key = F.col("doc_id")
     name = F.when(key % 5 == 0, F.concat(F.lit("a:n"), key.cast("string"), F.lit("__KDO"))).when(key % 5 == 1, "Z__OKD").when(key % 5 == 2, "__DDD").when(key % 5 == 3, "YaY").otherwise("k:ZqZ__KD")
-    return table(spark, sf_dir, "documents").select("doc_id", spelled_class_for(bare, 0, 9).alias("none"), *[spelled_class_for(name, i, 3).alias(c) for i, c in enumerate(("first", "second", "third"))])
+    return table(spark, sf_dir, "documents").select("doc_id", spelled_class_for(name, 0, 9).alias("none"), *[spelled_class_for(name, i, 3).alias(c) for i, c in enumerate(("first", "second", "third"))])
 
 
 @query("SELECT o_orderkey, 'inc,d ' || o_custkey || ',e' || (o_orderkey % 3) AS incs FROM orders")
