@@ -217,7 +217,8 @@ def similarities(left: DataFrame, right: DataFrame, pairs: DataFrame | None = No
 
     Texts that share so many lines share one that is not among the least - 1 commonest lines of either, all lines taken in
     one order from rare to common. Only such lines bring texts together; the commonest ones are then looked up for the pairs
-    found, so that a line that stands in a third of all texts makes no pairs of its own."""
+    found, so that a line that stands in a third of all texts makes no pairs of its own. Bags are gone over several times:
+    give ones that are written."""
     sizes = lambda x, k, n: x.groupBy(F.col("key").alias(k)).agg(F.sum("c").alias(n))
     named = lambda x, k: x.withColumnsRenamed({"key": k, "c": f"c{k}"})
     each = [F.least("ca", "cb").alias("both")]
@@ -227,7 +228,7 @@ def similarities(left: DataFrame, right: DataFrame, pairs: DataFrame | None = No
         met = named(left, "a").join(named(right, "b"), "line").select("a", "b", *each)
     else:
         counts = right.groupBy("line").agg(F.count("*").alias("held"))
-        a, b = (written(named(without_commonest(x, counts, least - 1), k), "bags") for x, k in ((left, "a"), (right, "b")))
+        a, b = (written(named(without_commonest(x, counts, least - 1), k), "marked") for x, k in ((left, "a"), (right, "b")))
         rare = written(a.where(~F.col("common")).drop("common").join(b.where(~F.col("common")).drop("common"), "line").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("both"), F.count("*").alias("n")), "pairs")
         found = rare.select("a", "b")
         ours = found.join(a.where("common").drop("common"), "a").join(b.drop("common"), ["b", "line"])
