@@ -247,7 +247,12 @@ def _mixed(tape: Tape) -> Tape:
 
 
 def _has_mixed(text: str) -> bool:
-    return any(c in MIXED_DIGITS for m in MIXED.finditer(text) for c in m[0])
+    """Whether a run could be an identifier with letters among its digits; the shortest one has four characters."""
+    for m in MIXED.finditer(text):
+        letters, digits = sum(c in MIXED_DIGITS for c in m[0]), sum(c.isdigit() for c in m[0])
+        if 0 < letters <= digits and letters + digits >= 4:
+            return True
+    return False
 
 
 def _spliced(tape: Tape, cut: list[tuple[int, int, str]]) -> Tape:
