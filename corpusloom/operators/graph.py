@@ -142,19 +142,66 @@ def class_hierarchy_targets(up: DataFrame, methods: DataFrame) -> DataFrame:
     return each.groupBy("cls", "name").agg(F.array_sort(F.collect_set("symbol")).alias("cha"))
 
 
-def topological_order(bases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, level) by peeling classes whose bases are all placed, and (cls) of those in or above a cycle."""
-    edges = cut(bases.where("base IS NOT NULL").select("cls", "base").distinct())
-    left = cut(bases.select("cls").union(edges.select("base")).distinct())
-    placed, level = None, 0
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (cls, base) with chains taken out: (cls, base, far) of classes with several ways up, (cls, base, far) of
+    classes with one, and (cls) of those found on or above a cycle of single ways. far is the longest way's length; bases
+    are classes with several ways, with none, or on cycles. Single ways are followed by doubling; where all ways of a
+    class then lead to one base it has a single way itself, and goes round again."""
+    up = cut(edges.select("cls", "base", F.lit(1).cast("long").alias("far")).distinct())
+    looped = edges.select("cls").limit(0)
+    singles = -1
     while True:
-        free = cut(left.join(edges, "cls", "left_anti").withColumn("level", F.lit(level)))
-        if not free.take(1):
-            return placed if placed is not None else free, left
-        placed = free if placed is None else placed.unionByName(free)
-        left = cut(left.join(free, "cls", "left_anti"))
-        edges = cut(edges.join(free.select(F.col("cls").alias("base")), "base", "left_anti"))
-        level += 1
+        ways = up.groupBy("cls").agg(F.count("*").alias("n"), F.min("base").alias("base"), F.max("far").alias("far"))
+        jump = cut(ways.where("n = 1").drop("n"))
+        one = jump.count()
+        if one == singles:
+            return up.join(jump, "cls", "left_anti"), jump, looped
+        span, on = 1, lambda x: x.select(F.col("cls").alias("base"), F.col("base").alias("top"), F.col("far").alias("more"))
+        while span < 2 * one and jump.join(on(jump), "base", "left_semi").take(1):
+            further = jump.join(on(jump), "base", "left")
+            jump = cut(further.select("cls", F.coalesce("top", "base").alias("base"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+            span *= 2
+        # a way that has not ended after as many steps as there are single ways never does
+        endless = cut(jump.join(on(jump), "base", "left_semi").select("cls"))
+        looped = looped.union(endless)
+        jump = jump.join(endless, "cls", "left_anti")
+        many = up.join(ways.where("n > 1").select("cls"), "cls", "left_semi").join(on(jump), "base", "left")
+        lifted = many.select("cls", F.coalesce("top", "base").alias("base"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        up, singles = cut(lifted.groupBy("cls", "base").agg(F.max("far").alias("far")).unionByName(jump)), one - endless.count()
+
+
+def topological_order(bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, level) by the longest way up, and (cls) of those in or above a cycle. Chains, however long, and diamonds in
+    them go by doubling; what is left is placed level by level, each round taking what it placed off the counts of open
+    bases. Repeated rows count once; null bases are none."""
+    edges = cut(bases.where("cls IS NOT NULL AND base IS NOT NULL").select("cls", "base").distinct())
+    every = cut(bases.select("cls").union(edges.select("base")).where("cls IS NOT NULL").distinct())
+    many, single, looped = contracted(edges)
+    many, looped = cut(many), cut(looped)
+    placed = frontier = cut(every.join(edges, "cls", "left_anti").select("cls", F.lit(0).cast("long").alias("level")))
+    waiting = cut(many.groupBy("cls").agg(F.count("*").alias("open"), F.lit(0).cast("long").alias("level")))
+    while frontier.take(1) and waiting.take(1):
+        met = many.join(frontier.select(F.col("cls").alias("base"), F.col("level").alias("at")), "base")
+        met = met.groupBy("cls").agg(F.count("*").alias("less"), F.max(F.col("at") + F.col("far")).alias("to"))
+        left = waiting.join(met, "cls", "left").select("cls", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.greatest("level", "to").alias("level"))
+        left = cut(left)
+        frontier, waiting = left.where("open = 0").select("cls", "level"), left.where("open > 0")
+        placed = placed.unionByName(frontier)
+        if len(placed.inputFiles()) > 400:
+            placed = cut(placed)
+    chains = single.join(placed.select(F.col("cls").alias("base"), "level"), "base").select("cls", (F.col("level") + F.col("far")).alias("level"))
+    placed = cut(placed.unionByName(chains).select("cls", F.col("level").cast("int").alias("level")))
+    return placed, every.join(placed, "cls", "left_anti")
+
+
+def live_classes(up: DataFrame, members: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(cls) that seeds (cls) make live: a live class makes live the classes that it and its ancestors hold as members."""
+    return reach(held_classes(up, members), seeds.select(F.col("cls").alias("node"))).withColumnRenamed("node", "cls")
+
+
+def held_classes(up: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (src, dst) from each class to the members (cls, member) of itself and of its ancestors."""
+    return up.join(members.withColumnRenamed("cls", "anc"), "anc").select(F.col("cls").alias("src"), F.col("member").alias("dst")).distinct()
 
 
 def rapid_types(spark: SparkSession, sites: DataFrame, bases: DataFrame, methods: DataFrame, members: DataFrame, constructs: DataFrame, static_objects: DataFrame, fixed: DataFrame, roots: DataFrame) -> dict:
@@ -164,8 +211,7 @@ def rapid_types(spark: SparkSession, sites: DataFrame, bases: DataFrame, methods
     up = cut(ancestors(spark, bases))
     resolved = cut(resolve_methods(up, methods).where("NOT pure"))
     receivers = cut(sites.join(subtree(up), "cls").join(resolved.select(F.col("cls").alias("sub"), "name", "symbol"), ["sub", "name"]))
-    # a live class makes live the member classes of itself and of its ancestors
-    holds = cut(up.join(members.withColumnRenamed("cls", "anc"), "anc").select(F.col("cls").alias("src"), F.col("member").alias("dst")).distinct())
+    holds = cut(held_classes(up, members))
     live = reach(holds, static_objects.select(F.col("cls").alias("node")))
     rounds = 0
     while True:
@@ -191,12 +237,8 @@ def virtual_record_violations(records: DataFrame, up: DataFrame, methods: DataFr
 
 def instance_propagation(seeds: DataFrame, uses: DataFrame) -> DataFrame:
     """(tmpl, type) of all instances: a used template passes its type on to the templates (tmpl, inner) it uses."""
-    frontier = seen = cut(seeds.select("tmpl", "type").distinct())
-    while frontier.take(1):
-        found = frontier.join(uses, "tmpl").select(F.col("inner").alias("tmpl"), "type").distinct()
-        frontier = cut(found.join(seen, ["tmpl", "type"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    found = reach(uses.select(F.col("tmpl").alias("src"), F.col("inner").alias("dst")), seeds.select("type", F.col("tmpl").alias("node")), by=("type",))
+    return found.select(F.col("node").alias("tmpl"), "type")
 
 
 def backward_flags(edges: DataFrame, marked: DataFrame) -> DataFrame:
@@ -206,17 +248,19 @@ def backward_flags(edges: DataFrame, marked: DataFrame) -> DataFrame:
 
 def all_of_fixpoint(bodies: DataFrame) -> DataFrame:
     """(name) that can be empty: bodies (name, body, dep) fire when all their deps are in (no dep: dep null); a name is in
-    when any of its bodies fires."""
-    needs = cut(bodies.groupBy("name", "body").agg(F.count("dep").alias("need")))
+    when any of its bodies fires. A round takes only the names it added off the counts of the bodies that wait for them."""
     deps = cut(bodies.where("dep IS NOT NULL").select("name", "body", "dep").distinct())
-    needs = cut(needs.drop("need").join(deps.groupBy("name", "body").agg(F.count("*").alias("need")), ["name", "body"], "left").fillna(0, ["need"]))
-    inside = cut(needs.where("need = 0").select("name").distinct())
-    while True:
-        met = deps.join(inside.select(F.col("name").alias("dep")), "dep").groupBy("name", "body").agg(F.count("*").alias("met"))
-        grown = cut(inside.union(needs.join(met, ["name", "body"]).where("met = need").select("name")).distinct())
-        if grown.count() == inside.count():
-            return inside
-        inside = grown
+    waiting = cut(deps.groupBy("name", "body").agg(F.count("*").alias("open")))
+    inside = fresh = cut(bodies.select("name", "body").distinct().join(waiting, ["name", "body"], "left_anti").select("name").distinct())
+    while fresh.take(1):
+        met = deps.join(fresh.select(F.col("name").alias("dep")), "dep").groupBy("name", "body").agg(F.count("*").alias("less"))
+        left = waiting.join(met, ["name", "body"], "left").select("name", "body", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"))
+        left = cut(left)
+        fresh = cut(left.where("open = 0").select("name").distinct().join(inside, "name", "left_anti"))
+        waiting, inside = left.where("open > 0"), inside.unionByName(fresh)
+        if len(inside.inputFiles()) > 400:
+            inside = cut(inside)
+    return inside
 
 
 def wanted_names(seeds: DataFrame, body_names: DataFrame, patterns: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from corpusloom.operators import graph as G
 
 
@@ -17,6 +19,43 @@ def test_topological_order_finds_cycles(spark):
     assert {r.cls: r.level for r in placed.collect()} == {"a": 0, "b": 1, "c": 2} and nodes(left) == ["x", "y"]
 
 
+def longest(edges):
+    """Levels by trying every class until nothing changes; what never settles is on or above a cycle."""
+    every = {c for e in edges for c in e}
+    levels = {}
+    while True:
+        new = {c: 1 + max((levels[b] for a, b in edges if a == c), default=-1) for c in every if c not in levels and all(b in levels for a, b in edges if a == c)}
+        if not new:
+            return levels, sorted(every - set(levels))
+        levels |= new
+
+
+def test_topological_order_as_by_trying(spark):
+    """Chains, diamonds, shared bases, repeated rows, nulls, cycles of single and of several ways, and classes above them."""
+    draw = random.Random(5)
+    for n, ways, loops in ((40, 1, 2), (16, 2, 0), (24, 3, 2)):
+        edges = {(c, draw.randrange(c)) for c in range(1, n) for _ in range(draw.randint(1, ways))}
+        edges |= {(draw.randrange(n // 2), draw.randrange(n // 2, n)) for _ in range(loops)}
+        rows = [(*e, 0) for e in edges] + [(0, None, 0), (None, 3, 0), (*min(edges), 1)]
+        placed, left = G.topological_order(spark.createDataFrame(rows, "cls long, base long, ord int"))
+        assert ({r.cls: r.level for r in placed.collect()}, nodes(left)) == longest(sorted(edges))
+
+
+def test_topological_order_of_long_chains(spark):
+    """10,000 classes in a row, and 600 diamonds on top of each other, go by doubling."""
+    chain = spark.range(1, 10_000).selectExpr("id AS cls", "id - 1 AS base")
+    diamonds = spark.range(600).selectExpr("20000 + 3 * id AS k").selectExpr("explode(array(struct(k + 1 AS cls, k AS base), struct(k + 2 AS cls, k AS base), struct(k + 3 AS cls, k + 1 AS base), struct(k + 3 AS cls, k + 2 AS base))) AS x").select("x.*")
+    placed, left = G.topological_order(chain.unionByName(diamonds))
+    levels = {r.cls: r.level for r in placed.collect()}
+    assert levels[9_999] == 9_999 and levels[21_800] == 1_200 and levels[21_799] == 1_199 and not left.take(1)
+    assert all(levels[k] == k for k in range(10_000))
+
+
+def test_topological_order_of_nothing(spark):
+    placed, left = G.topological_order(spark.createDataFrame([], "cls long, base long, ord int"))
+    assert placed.count() == left.count() == 0
+
+
 def test_resolution_is_depth_first(spark):
     b = spark.createDataFrame([("d", "b", 0), ("d", "c", 1), ("b", "a", 0)], "cls string, base string, ord int")
     m = spark.createDataFrame([("a", "f", "a::f", False), ("c", "f", "c::f", False)], "cls string, name string, symbol string, pure boolean")
