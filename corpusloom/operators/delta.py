@@ -84,7 +84,7 @@ def compose(base: DataFrame, overlay: DataFrame) -> DataFrame:
 def selected(lines: DataFrame, density: float, seed: int) -> DataFrame:
     """lines with a flag sel, true for about a share density of them, from keys alone (no random state)."""
     threshold = round(max(0.0, min(1.0, density)) * 10_000)
-    return lines.withColumn("sel", F.pmod(F.xxhash64(F.lit(seed), "path", "n"), F.lit(10_000)) < threshold)
+    return lines.withColumn("sel", keyed_draw(seed, "line", "path", "n") < threshold)
 
 
 def runs(chosen: DataFrame) -> DataFrame:
@@ -315,10 +315,16 @@ def three_way(lines: DataFrame) -> DataFrame:
     return out.unionByName(inserts)
 
 
+def keyed_draw(seed: int, tag: str, *keys: str) -> Column:
+    """A value from 0 to 9,999 of a row's keys by MD5, as any database can compute it."""
+    text = F.concat_ws(":", F.lit(seed), F.lit(tag), *[F.col(c).cast("string") for c in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000
+
+
 def joint_edits(lines: DataFrame, density: float, overlap: float, seed: int) -> DataFrame:
     """lines with edits v1 and v2 on odd lines only: shared ones, and ones of either side alone."""
     d, f = round(density * 10_000), round(overlap * 10_000)
-    draw = lambda tag: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "path", "n"), F.lit(10_000))
+    draw = lambda tag: keyed_draw(seed, tag, "path", "n")
     odd = F.col("n") % 2 == 1
     two = odd & (draw("v2") < d)
     shared = two & (draw("share") < f)

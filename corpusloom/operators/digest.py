@@ -111,3 +111,11 @@ def manifest_sha(raw: bytes, root: str, leaf: str) -> str:
     """Identity of a manifest: carriage returns dropped, the corpus root blanked, the leaf's line left out."""
     text = raw.replace(b"\r", b"").replace(root.encode(), b"")
     return hashlib.sha256(b"\n".join(x for x in text.split(b"\n") if leaf.encode() not in x)).hexdigest()
+
+
+def manifest_identity(raw: Column, root: Column, leaf: Column) -> Column:
+    """manifest_sha of a row's manifest, a string or binary, as a column; null where any of the three is null. An empty
+    root blanks nothing, an empty leaf leaves out every line."""
+    text = F.replace(F.replace(raw.cast("string"), F.lit("\r"), F.lit("")), root, F.lit(""))
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.contains(x, leaf))
+    return F.sha2(F.array_join(kept, "\n").cast("binary"), 256)

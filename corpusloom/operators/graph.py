@@ -273,6 +273,31 @@ def wanted_names(seeds: DataFrame, body_names: DataFrame, patterns: DataFrame, n
     return reach(inner.union(built), seeds.select(F.col("name").alias("node"))).withColumnRenamed("node", "name")
 
 
+def resolved_references(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """Edges (src, dst) of references (src, unit, name) to what their names mean: the local definitions of the name in the
+    referring unit hide all others; else every definition of that name that is not local. nodes: (key, unit, name, local);
+    a key with several names has several rows."""
+    local = nodes.where("local").select("unit", "name", F.col("key").alias("dst"))
+    outer = nodes.where("NOT local").select("name", F.col("key").alias("dst"))
+    own = refs.join(local, ["unit", "name"]).select("src", "dst")
+    rest = refs.join(local.select("unit", "name").distinct(), ["unit", "name"], "left_anti")
+    return own.unionByName(rest.join(outer, "name").select("src", "dst")).distinct()
+
+
+def function_reach(nodes: DataFrame, refs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(run, node) under the readings min, over references (src, unit, name, strict) that are strict, and max, over all.
+    Roots are nodes (key, unit, name, local, root) marked as roots and the definitions that are not local of names in
+    seeds (name). Both readings are one fixpoint over nodes tagged with the reading."""
+    strict, loose = (resolved_references(nodes, refs.where(x)) for x in ("strict", "NOT strict"))
+    edges = strict.withColumn("loose", F.lit(False)).unionByName(loose.withColumn("loose", F.lit(True)))
+    runs = F.explode(F.when(F.col("loose"), F.array(F.lit("max"))).otherwise(F.array(F.lit("min"), F.lit("max"))))
+    tag = lambda c: F.struct(F.col("run"), F.col(c).alias("key"))
+    tagged = edges.withColumn("run", runs).select(tag("src").alias("src"), tag("dst").alias("dst"))
+    named = nodes.where("NOT local").join(seeds.select("name").distinct(), "name", "left_semi").select("key")
+    roots = nodes.where("root").select("key").union(named).distinct().withColumn("run", F.explode(F.array(F.lit("min"), F.lit("max"))))
+    return reach(tagged, roots.select(tag("key").alias("node"))).select("node.run", F.col("node.key").alias("node"))
+
+
 def section_edges(nodes: DataFrame) -> DataFrame:
     """Edges (src, dst) between nodes (key, unit, section) of one input section: a star to the least key, both ways."""
     centre = nodes.groupBy("unit", "section").agg(F.min("key").alias("centre"))

@@ -267,3 +267,40 @@ def agg_20_touched(spark, sf_dir):
     h = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_linenumber").cast("long").alias("old_lines"), F.col("l_quantity").cast("long").alias("new_lines"))
     rules = table(spark, sf_dir, "orders").select(F.lit(1).cast("long").alias("range_start"), (F.col("o_custkey") + 50).alias("range_end"), F.lit(7).cast("long").alias("stride"))
     return D.touched_lines(h, rules)
+
+
+#: Draws of joint edits: three in ten lines of a side, half of the second side's shared.
+JOINT = f"""{LINES}, draw AS (SELECT doc_id AS path, n, line, n % 2 = 1 AS odd, {", ".join(f"('0x' || left(md5('9:{t}:' || doc_id || ':' || n), 8))::BIGINT % 10000 AS {t}" for t in ("v1", "v2", "share"))} FROM line),
+  joint AS (SELECT path, n, line, odd AND v2 < 3000 AS two, odd AND CASE WHEN v2 < 3000 THEN share < 5000 ELSE v1 < 3000 END AS one FROM draw)"""
+
+
+@query(f"""WITH {JOINT} SELECT path, count_if(one) AS v1, count_if(two) AS v2, count_if(one AND two) AS shared,
+  sha256(string_agg(line || CASE WHEN one THEN ' /*v1:' || n || '*/' ELSE '' END, chr(10) ORDER BY n)) AS v1_sha, sha256(string_agg(line || CASE WHEN two THEN ' /*v2:' || n || '*/' ELSE '' END, chr(10) ORDER BY n)) AS v2_sha FROM joint GROUP BY 1""")
+def dlt_22_joint_edits(spark, sf_dir):
+    """Both sides' texts of joint edits on odd lines."""
+    edited = D.joint_edits(lines(spark, sf_dir).withColumn("path", F.col("path").cast("long")), 0.3, 0.5, 9)
+    side = lambda s: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(f"{s}_text").alias("t")))), lambda x: x["t"]), "\n"), 256).alias(f"{s}_sha")
+    one, two = F.col("v1").isNotNull(), F.col("v2").isNotNull()
+    return edited.groupBy("path").agg(F.count_if(one).alias("v1"), F.count_if(two).alias("v2"), F.count_if(one & two).alias("shared"), side("v1"), side("v2"))
+
+
+@query(f"""WITH {JOINT}, x AS (SELECT path, n, one, two, n - row_number() OVER (PARTITION BY path ORDER BY n) AS g FROM joint WHERE one OR two)
+SELECT path, CASE WHEN one AND two THEN 'conflict' ELSE 'clean' END AS kind, CASE WHEN one AND two THEN NULL WHEN one THEN 'v1' ELSE 'v2' END AS side, cast(n AS BIGINT) AS base_start FROM x""")
+def dlt_22_joint_regions(spark, sf_dir):
+    """Regions of joint edits: no two touch, since even lines stay; shared lines are marked differently and conflict."""
+    edited = D.joint_edits(lines(spark, sf_dir).withColumn("path", F.col("path").cast("long")), 0.3, 0.5, 9)
+    return D.three_way(edited).select("path", "kind", "side", "base_start")
+
+
+@query("""SELECT doc_id, sha256(coalesce(array_to_string([x for x in string_split(replace(replace(coalesce(text, ''), chr(13), ''), lang, ''), chr(10)) if NOT contains(x, source)], chr(10)), '')) AS sha FROM documents WHERE lang <> '' AND source IS NOT NULL""")
+def dig_08_manifest_identity(spark, sf_dir):
+    """Documents as manifests, their language as the root to blank, their source as the leaf."""
+    d = table(spark, sf_dir, "documents").where("lang <> '' AND source IS NOT NULL")
+    return d.select("doc_id", G.manifest_identity(F.coalesce("text", F.lit("")), F.col("lang"), F.col("source")).alias("sha"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id AS path, cast(n AS BIGINT) AS n FROM line WHERE ('0x' || left(md5('4:line:' || doc_id || ':' || n), 8))::BIGINT % 10000 < 123""")
+def dlt_07_selected_lines(spark, sf_dir):
+    """Lines that an edit of density 0.0123 takes."""
+    chosen = D.selected(lines(spark, sf_dir), 0.01230004, 4).where("sel")
+    return chosen.select(F.col("path").cast("long").alias("path"), "n")

@@ -127,7 +127,13 @@ def two_runs(spark, sf_dir):
     n = docs.agg(F.count("*").alias("n"))
     wide = docs.crossJoin(F.broadcast(n))
     refs = wide.select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 7 + 3) % F.col("n")).alias("dst")).unionByName(wide.where("doc_id % 3 = 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 5 + 1) % F.col("n")).alias("dst")))
-    return G.reach(refs.where("(src + dst) % 4 <> 1"), root(spark)), G.reach(refs, root(spark)), docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 2).cast("string")).alias("name"))
+    # one fixpoint for both runs, over nodes tagged with the run
+    tag = lambda c: F.struct("run", F.col(c).alias("key"))
+    runs = F.explode(F.when((F.col("src") + F.col("dst")) % 4 != 1, F.array(F.lit("min"), F.lit("max"))).otherwise(F.array(F.lit("max"))))
+    start = root(spark).withColumn("run", F.explode(F.array(F.lit("min"), F.lit("max")))).select(tag("node").alias("node"))
+    met = G.reach(refs.withColumn("run", runs).select(tag("src").alias("src"), tag("dst").alias("dst")), start)
+    of = lambda run: met.where(F.col("node.run") == run).select(F.col("node.key").alias("node"))
+    return of("min"), of("max"), docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 2).cast("string")).alias("name"))
 
 
 @query(f"""WITH RECURSIVE {RUNS}, c AS (SELECT 'f' || (doc_id // 2) AS name, CASE WHEN doc_id IN (SELECT node FROM a) THEN 0 WHEN doc_id IN (SELECT node FROM b) THEN 1 ELSE 2 END AS r FROM documents)
@@ -174,3 +180,75 @@ def jon_17_affixes(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select(F.concat(F.lit("v_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "_ADDR").otherwise("_IN")).alias("name"))
     patterns = spark.createDataFrame([(1, "v_", "_ADDR"), (3, "", "N")], "id int, prefix string, suffix string")
     return V.affix_matches(patterns, names)
+
+
+# ---- what sets the operators apart from plain reachability ----
+
+
+#: Class k derives from k // 2, but for every seventh; every fifth holds another class as a member.
+HOLDERS = """b AS (SELECT doc_id AS cls, doc_id // 2 AS base FROM documents WHERE doc_id > 0 AND doc_id % 7 <> 3),
+  up AS (SELECT doc_id AS cls, doc_id AS anc FROM documents UNION SELECT up.cls, b.base FROM up JOIN b ON b.cls = up.anc),
+  h AS (SELECT DISTINCT up.cls AS src, m.doc_id // 3 + m.doc_id % 11 AS dst FROM up JOIN documents m ON m.doc_id = up.anc WHERE m.doc_id % 5 = 2)"""
+
+
+@query(f"WITH RECURSIVE {HOLDERS}, r AS (SELECT doc_id AS cls FROM documents WHERE doc_id % 40 = 0 UNION SELECT h.dst FROM r JOIN h ON h.src = r.cls) SELECT cls FROM r")
+def grf_09_live_members(spark, sf_dir):
+    """Classes made live by those with a key divisible by 40, through members of their own and of their ancestors."""
+    k = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cls"))
+    derived = (F.col("cls") > 0) & (F.col("cls") % 7 != 3)
+    bases = k.select("cls", F.when(derived, F.floor(F.col("cls") / 2)).cast("long").alias("base"), F.lit(0).alias("ord"))
+    members = k.where("cls % 5 = 2").select("cls", (F.floor(F.col("cls") / 3) + F.col("cls") % 11).cast("long").alias("member"))
+    return G.live_classes(G.ancestors(spark, bases), members, k.where("cls % 40 = 0"))
+
+
+@query(f"""WITH RECURSIVE {FOREST}, s AS (SELECT DISTINCT anc AS cls, cls AS sub FROM up),
+  o AS (SELECT s.cls, name, list_sort(list(DISTINCT symbol)) AS cha FROM s JOIN resolved r ON r.cls = s.sub WHERE NOT pure GROUP BY 1, 2),
+  c AS (SELECT c_custkey AS src, c_custkey % 25 AS cls, CASE WHEN c_custkey % 3 = 2 THEN c_custkey % 25 // 2 ELSE c_custkey % 25 END AS other, 'm' || (c_custkey % 2) AS name FROM customer),
+  w AS (SELECT src, resolved.symbol AS static, o.cha FROM c JOIN resolved ON resolved.cls = c.cls AND resolved.name = c.name JOIN o ON o.cls = c.other AND o.name = c.name),
+  known AS (SELECT DISTINCT symbol AS static, cha FROM o JOIN resolved USING (cls, name))
+SELECT src, static, array_to_string(cha, ',') AS cha FROM w WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.static = w.static AND k.cha = w.cha)""")
+def grf_10_override_sets(spark, sf_dir):
+    """Customers are calls over the class forest; every third lists the overrides of its class's base instead. Those pass
+    too where some receiver with the same static target has that very set."""
+    bases, methods = forest(spark, sf_dir)
+    up = G.ancestors(spark, bases)
+    key = F.col("c_custkey")
+    calls = table(spark, sf_dir, "customer").select(key.alias("src"), (key % 25).alias("cls"), F.when(key % 3 == 2, F.floor(key % 25 / 2)).otherwise(key % 25).cast("long").alias("other"), F.concat(F.lit("m"), (key % 2).cast("string")).alias("name"))
+    static = G.resolve_methods(up, methods).select("cls", "name", F.col("symbol").alias("static"))
+    sets = G.class_hierarchy_targets(up, methods).select(F.col("cls").alias("other"), "name", "cha")
+    records = calls.join(static, ["cls", "name"]).join(sets, ["other", "name"]).select("src", "static", "cha")
+    return G.virtual_record_violations(records, up, methods).select("src", "static", F.array_join("cha", ",").alias("cha"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT 'v' || doc_id AS name, doc_id FROM documents WHERE doc_id % 9 <> 5),
+  p AS (SELECT 'v' || doc_id AS name, 'v' || (doc_id // 10) AS prefix, cast(doc_id % 10 AS VARCHAR) AS suffix FROM documents WHERE doc_id % 6 = 1),
+  e AS (SELECT 'v' || doc_id AS src, n.name AS dst FROM documents d JOIN n ON n.name = 'v' || (d.doc_id // 3) WHERE d.doc_id > 0
+    UNION SELECT p.name, n.name FROM p JOIN n ON starts_with(n.name, prefix) AND ends_with(n.name, suffix) AND length(n.name) >= length(prefix) + length(suffix)),
+  r AS (SELECT name FROM n WHERE doc_id % 50 = 49 UNION SELECT e.dst FROM r JOIN e ON e.src = r.name) SELECT name FROM r""".replace("SELECT 'v' || doc_id AS src", "SELECT 'v' || d.doc_id AS src"))
+def grf_18_built_names(spark, sf_dir):
+    """Wanted names through bodies and through names that wanted bodies build from a prefix and a suffix."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    v = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    names = docs.where("doc_id % 9 <> 5").select("doc_id", v(F.col("doc_id")).alias("name"))
+    inner = docs.where("doc_id > 0").select(v(F.col("doc_id")).alias("name"), v(F.floor(F.col("doc_id") / 3)).alias("inner"))
+    built = docs.where("doc_id % 6 = 1").select(v(F.col("doc_id")).alias("name"), v(F.floor(F.col("doc_id") / 10)).alias("prefix"), (F.col("doc_id") % 10).cast("string").alias("suffix"))
+    return G.wanted_names(names.where("doc_id % 50 = 49").select("name"), inner, built, names.select("name"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT doc_id AS k, doc_id // 8 AS u, 'f' || (doc_id // 32) || '_' || (doc_id % 4) AS name, doc_id % 3 = 0 AS loc FROM documents),
+  r AS (SELECT k AS src, u, 'f' || (k // 32) || '_' || ((k + 1) % 4) AS name, k % 5 <> 0 AS strict FROM n UNION ALL SELECT k, u, 'f' || (k // 64) || '_' || (k % 4), true FROM n),
+  own AS (SELECT r.src, n.k AS dst, strict FROM r JOIN n ON n.u = r.u AND n.name = r.name AND n.loc),
+  far AS (SELECT r.src, n.k AS dst, strict FROM r JOIN n ON n.name = r.name AND NOT n.loc WHERE NOT EXISTS (SELECT 1 FROM n l WHERE l.u = r.u AND l.name = r.name AND l.loc)),
+  a AS (SELECT * FROM own UNION ALL SELECT * FROM far),
+  e AS (SELECT 'max' AS run, src, dst FROM a UNION SELECT 'min', src, dst FROM a WHERE strict),
+  x AS (SELECT run, k AS node FROM n, (VALUES ('min'), ('max')) v(run) WHERE k % 41 = 40 OR (name LIKE 'f3/_%' ESCAPE '/' AND NOT loc)
+    UNION SELECT x.run, e.dst FROM x JOIN e ON e.run = x.run AND e.src = x.node) SELECT run, node FROM x""")
+def grf_21_resolved_reach(spark, sf_dir):
+    """Functions reached under both readings: local definitions hide others of their name, roots by predicate and by name."""
+    k = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+    part = lambda by, d: F.concat(F.lit("f"), F.floor(F.col("key") / by).cast("string"), F.lit("_"), ((F.col("key") + d) % 4).cast("string"))
+    unit = F.floor(F.col("key") / 8).alias("unit")
+    nodes = k.select("key", unit, part(32, 0).alias("name"), (F.col("key") % 3 == 0).alias("local"), (F.col("key") % 41 == 40).alias("root"))
+    near = k.select(F.col("key").alias("src"), unit, part(32, 1).alias("name"), (F.col("key") % 5 != 0).alias("strict"))
+    far = k.select(F.col("key").alias("src"), unit, part(64, 0).alias("name"), F.lit(True).alias("strict"))
+    return G.function_reach(nodes, near.unionByName(far), nodes.where("name LIKE 'f3/_%' ESCAPE '/'").select("name"))
