@@ -127,6 +127,12 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(40)) * _U(buckets)) >> _U(24)
 
 
+def _home(ids: np.ndarray, text_hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document: by doc_id and text, so that copies of one text are spread over all groups."""
+    mixed = _mixed(_mixed(np.asarray(ids, np.int64).astype(np.uint64) * _BASE) ^ np.asarray(text_hashes, np.int64).astype(np.uint64))
+    return (_mixed(mixed) % _U(groups)).astype(np.int64)
+
+
 #: A document in transit: its doc_id and a hash that tells its text from others of that doc_id.
 WHO = "doc_id long, text_hash long"
 SHARED_BY_BATCH = 2**31 - 1
@@ -163,7 +169,7 @@ def _anchor_rows(batch: dict[str, list], buckets: int) -> dict[str, list]:
     tails = np.concatenate((heads[1:], [len(h)])) - 1
     many = (doc[heads] != doc[tails])[group]
     for doc_id, text_hash, packed in _rows_of_docs(doc[many], who, place[many]):
-        out["bucket"].append(text_hash % buckets)
+        out["bucket"].append(int(_home([doc_id], [text_hash], buckets)[0]))
         out["doc_id"].append(doc_id)
         out["text_hash"].append(text_hash)
         out["packed"].append(packed)
@@ -200,7 +206,7 @@ def _group_rows(docs: np.ndarray, who: list[tuple[int, int]], groups: int, *colu
     if not len(docs):
         return
     ids, text_hashes = (np.array(x, np.int64) for x in zip(*who, strict=True))
-    group = text_hashes[docs] % groups
+    group = _home(ids, text_hashes, groups)[docs]
     by = np.argsort(group, kind="stable")
     edge = np.searchsorted(group[by], np.arange(groups + 1))
     for g in np.flatnonzero(np.diff(edge)):
@@ -328,7 +334,7 @@ def _context_rows(batch: dict[str, list], buckets: int) -> dict[str, list]:
     more = ids[by] > ids[by[head]]
     repeats = by[more]
     for doc_id, text_hash, packed in _rows_of_docs(doc[repeats], who, place[repeats].astype(np.int32), _all_splits(before[repeats], after[repeats])):
-        out["bucket"].append(text_hash % buckets)
+        out["bucket"].append(int(_home([doc_id], [text_hash], buckets)[0]))
         out["doc_id"].append(doc_id)
         out["text_hash"].append(text_hash)
         out["packed"].append(packed)

@@ -166,6 +166,15 @@ def test_repeats_empty(spark):
     assert substrings.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_copies_of_one_text_are_spread():
+    """Thousands of documents of one text, with negative and equal keys, lie in all groups alike."""
+    ids = np.arange(-2000, 6000)
+    home = substrings._home(ids, np.full(len(ids), -7), 50)
+    counts = np.bincount(home, minlength=50)
+    assert counts.min() > 100 and counts.max() < 230
+    assert [int(substrings._home([i], [-7], 50)[0]) for i in ids[:20].tolist()] == home[:20].tolist()
+
+
 def test_deep_shallow_sorts(monkeypatch):
     from corpusloom.llm import deepshallow
 
