@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Eight-byte characters that quicksort looks at, and the length of segments that are sorted directly.
-SHALLOW, DIRECT = 3, 4096
+SHALLOW, DIRECT = 3, 64
 
 
 def as_words(rows: np.ndarray) -> np.ndarray:
