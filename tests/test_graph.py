@@ -123,3 +123,47 @@ def test_class_lattice(spark):
     up = {(r.cls, r.anc): list(r.path) for r in G.ancestors(spark, spark.createDataFrame(rows, "cls long, base long, ord int")).collect()}
     assert len(up) == sum(1 + 2 * level for level in range(levels)) * 2
     assert up[58, 0] == [0] * 29 and up[58, 1] == [0] * 28 + [1] and up[7, 7] == []
+
+
+def test_rapid_types_query_by_sets(spark):
+    """The registered query against sets that grow one by one, over the same forest of 25 classes."""
+    from corpusloom.plans.queries import QUERIES
+
+    bases = {k: [k // 2] * (k > 0) + [k // 3] * (k > 0 and k % 6 == 0) for k in range(25)}
+    symbol = {k: f"c{k}::m{k % 3}" for k in range(25)}
+
+    def above(c):
+        return {c}.union(*[above(b) for b in bases.get(c, [])])
+
+    def means(c, name):
+        if c % 3 == name:
+            return c
+        return next((m for b in bases[c] if (m := means(b, name)) is not None), None)
+
+    def closed(live):
+        while more := {a + 1 for c in live if c < 25 for a in above(c) if a and a % 7 == 0} - live:
+            live = live | more
+        return live
+
+    def reached(live):
+        seen, todo = set(), [0]
+        while todo:
+            k = todo.pop()
+            if k in seen:
+                continue
+            seen.add(k)
+            targets = {means(c, (k + 1) % 3) for c in live if c < 25 and k // 4 in above(c)} - {None}
+            todo += [m for m in targets if m % 4 != 1]
+        return seen
+
+    live, rounds = closed({1}), 0
+    while True:
+        rounds += 1
+        bodies = reached(live)
+        grown = closed(live | {k + 5 for k in bodies if k % 3 == 0})
+        if grown == live:
+            break
+        live = grown
+    wanted = {("live", str(c)) for c in live} | {("reach", symbol[k]) for k in bodies} | {("reach", "main"), ("rounds", str(rounds))}
+    got = [tuple(r) for r in QUERIES["grf_08_rta"](spark, "/root/testdata/sf0.001").collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
