@@ -53,3 +53,13 @@ def test_tree_and_list(spark):
     assert G.tree_sha(files) == hashlib.sha256(b"a\n2\n11b\n1\n2").hexdigest()
     assert G.list_sha(["a", "b"]) == (hashlib.sha256(b"a\nb\n").hexdigest(), 2)
     assert tuple(G.list_sha_row(spark.createDataFrame([("b",), ("a",)], "n string"), "n").first()) == G.list_sha(["a", "b"])
+
+
+def test_manifest_identity_is_manifest_sha(spark):
+    from pyspark.sql import functions as F
+
+    cases = [("a\r\n/r/x\nleaf 1\nz\n", "/r", "leaf"), ("", "/r", "leaf"), ("one", "", "x"), ("one\ntwo", "o", ""), ("\n\n", "q", "q"), ("a.b\n(c)", ".", "("), ("é\nü\n", "é", "ü")]
+    rows = spark.createDataFrame([*cases, (None, "a", "b")], "raw string, root string, leaf string")
+    got = {tuple(r)[:3]: r.sha for r in rows.withColumn("sha", G.manifest_identity(F.col("raw"), F.col("root"), F.col("leaf"))).collect()}
+    assert got.pop((None, "a", "b")) is None
+    assert got == {c: G.manifest_sha(c[0].encode(), c[1], c[2]) for c in cases}
