@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_GONE, broadcast_if_small, free_names, map_rows, table, written
+from .common import FEW_GONE, broadcast_if_small, free_names, giving_back, map_rows, table, written
 
 WORDS = 5
 SHARE = 85
@@ -231,7 +231,7 @@ def _keyed(classes: DataFrame, chunks: int) -> DataFrame:
                 reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False)[at : at + 1000], POSITIONS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "signature").mapInArrow(giving_back(run), "key long, rep long")
 
 
 def _nearest(stars: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _nearest(stars: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near)), pa.array(d[near].astype(np.int64))], names=["a", "b", "d"])
 
     sides = stars.join(classes.select(F.col("rep").alias("b"), F.col("signature").alias("signature_b")), "b").join(classes.select(F.col("rep").alias("a"), "signature"), "a")
-    measured = sides.select("a", "b", "signature", "signature_b").mapInArrow(run, "a long, b long, d long")
+    measured = sides.select("a", "b", "signature", "signature_b").mapInArrow(giving_back(run), "a long, b long, d long")
     return measured.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select("x.a", "b")
 
 
@@ -314,7 +314,7 @@ def _answers(asks: DataFrame, labels: DataFrame, classes: DataFrame, share: int,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return dealt.select(*names, "sketch").repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "side", "rep").mapInArrow(run, "a long, b long")
+    return dealt.select(*names, "sketch").repartition("home", "x", "y").sortWithinPartitions("home", "x", "y", "side", "rep").mapInArrow(giving_back(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:

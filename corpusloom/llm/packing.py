@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, scan_partitions, table, written
+from .common import giving_back, map_rows, scan_partitions, table, written
 
 LENGTH = 2048
 CLOSING_ID = 1
 DIMENSIONS, BITS, BUCKETS = 4, 15, 256
-#: Bytes of a worker's word cache, about; it starts anew when full.
-CACHE = 256 << 20
+#: Bytes of a worker's word cache, about: two halves, the older of which goes when the other is full. Workers keep it from
+#: task to task, so that an executor holds one for each worker.
+CACHE = 96 << 20
 
 #: Texts of these characters alone are tokenized word by word: they are stable under NFC, lower-case one by one, and only
 #: the white space among them separates words. Other texts go through the tokenizer whole.
@@ -59,6 +60,7 @@ class WordTokenizer:
         self.wide = self.inner.get_vocab_size(with_added_tokens=True) > 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -79,17 +81,21 @@ class WordTokenizer:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
             pass
-        if self.held > CACHE:
-            cache.clear()
-            self.held = 0
-        before = len(cache)
+        if self.held > CACHE // 2:
+            self.older, self.cache, self.held = cache, {}, 0
+            cache = self.cache
+        before, older = len(cache), self.older
         missing = {w for w in words if w not in cache}
-        parts = {w: self._split(w) for w in missing}
-        new = [*{p for x in parts.values() for p in x if p not in cache}]
+        known = {w: older[w] for w in missing if w in older}
+        parts = {w: self._split(w) for w in missing if w not in known}
+        pieces = {p for x in parts.values() for p in x if p not in cache}
+        known |= {p: older[p] for p in pieces if p in older}
+        new = [p for p in pieces if p not in known]
+        cache.update(known)
         cache.update(zip(new, self._whole(new), strict=True))
         for w, x in parts.items():
             cache[w] = b"".join(cache[p] for p in x)
-        self.held += 180 * (len(cache) - before) + 6 * sum(map(len, new))
+        self.held += 180 * (len(cache) - before) + 6 * (sum(map(len, new)) + sum(map(len, known)))
         return b"".join([cache[w] for w in words])
 
     @staticmethod
@@ -232,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool
             yield batch_of(rows)
 
     along = made.repartitionByRange(scan_partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "n_tokens")
-    return along.select("doc_id", "ids").mapInArrow(run, schema)
+    return along.select("doc_id", "ids").mapInArrow(giving_back(run), schema)
 
 
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,39 @@ def test_word_cache_is_bounded_by_bytes(monkeypatch):
         assert t.held < 40_000 and sum(len(w) for w in t.cache) < 40_000
 
 
+def test_word_cache_keeps_words_in_use(monkeypatch):
+    """A full cache gives up its older half alone; both halves together stay near the bound."""
+    monkeypatch.setattr(packing, "CACHE", 40_000)
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    made, whole = [], t._whole
+    monkeypatch.setattr(t, "_whole", lambda texts: made.extend(texts) or whole(texts))
+    for i in range(200):
+        text = f"common. w{i}x w{i}y " + "q" * 100 + str(i)
+        assert np.frombuffer(t.encode(text), t.kind).tolist() == t.inner.encode(text, add_special_tokens=False).ids
+        assert 180 * (len(t.cache) + len(t.older)) < 44_000
+    assert made.count("common") == 1 and t.older
+
+
+def test_workers_give_memory_back():
+    """A task's freed memory does not stay with its worker, which later tasks use."""
+    import re
+    from pathlib import Path
+
+    from corpusloom.llm.common import giving_back
+
+    held = lambda: int(re.search(r"\nPss_Anon: +(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    def run(batches):
+        for n in batches:
+            some = [np.ones(8000, np.uint8) for _ in range(n)]
+            del some[: n - 1]  # what is left lies behind it
+            yield some
+
+    before = held()
+    kept = [*giving_back(run)([20_000])]
+    assert len(kept[0]) == 1 and held() - before < 60
+
+
 def test_hilbert_neighbours_touch():
     n, bits = 3, 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
