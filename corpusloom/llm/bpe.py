@@ -8,7 +8,8 @@ and ids and pieces go back to the parts' lists, where each document's ids are jo
 travels once a part, however often it stands there, and documents travel never: the parts' numbers lie bucketed
 by part in the shared folder, and only the (much smaller) lists are shuffled.
 
-A task holds one part's distinct words and a row of its documents, a few MB; a longer document is a row of its own. Parts are numbered when they are written, so a lost executor costs the reading of files.
+A task holds one part's distinct words and a row of its documents, a few MB; a longer document is a row of its own. A
+part's ids and texts reach a task once, beside the first row of its documents. Parts are numbered when they are written, so a lost executor costs the reading of files.
 
 Defined edge cases: a null or empty text, or one of white space alone, has no ids and decodes to an empty text. Repeated
 rows are encoded row by row, rows without a doc_id as others. An empty table gives no rows. Extra columns are ignored.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scan_partitions, shared_folder, slices, table
+from .common import giving_back, scan_partitions, shared_folder, slices, table
 from .packing import PLAIN, default_tokenizer
 
 #: Bytes of text in a part, and of those whose numbers stand in one row.
@@ -40,6 +41,7 @@ STEP_WORDS = 1 << 17
 #: Stops at a word's end, behind a letter or digit: a word of their own for the tokenizer too.
 STOPS = re.compile(rb"([A-Za-z0-9])([.,]+)(?=[ \t\n\x0b\x0c\r]|$)")
 
+#: first_code: the number of a row's first word; of a row of documents its place among those of its part.
 PARTS = "part long, doc_ids array<long>, sizes array<int>, codes binary, first_code int, words array<string>"
 
 
@@ -87,10 +89,10 @@ class Part:
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(n, np.int32)
         rank[order] = np.arange(n, dtype=np.int32)
-        for ids, sizes, codes in self.rows:
+        for place, (ids, sizes, codes) in enumerate(self.rows):
             planes = rank[np.concatenate(codes)].astype("<i4").view(np.uint8).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array([self.number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack.compress(planes.tobytes())], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))],
+                [pa.array([self.number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack.compress(planes.tobytes())], pa.binary()), pa.array([place], pa.int32()), pa.nulls(1, pa.list_(pa.string()))],
                 schema=schema,
             )
         words = list(self.known)
@@ -126,7 +128,7 @@ def split_words(docs: DataFrame) -> DataFrame:
         if part.rows:
             yield from part.batches(schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), kinds)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
@@ -193,7 +195,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
             columns = [pa.array(part, mask=is_token), pa.array(code, mask=is_token), pa.array(ats, mask=~is_token), pa.array(made, mask=~has_id)]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "code", "at", "id"])
 
-    return words.mapInArrow(run, TOKENS)
+    return words.mapInArrow(giving_back(run), TOKENS)
 
 
 ANSWERS = "part long, codes binary, sizes binary, ids binary, texts binary"
@@ -253,7 +255,7 @@ def answers_of(stream: DataFrame) -> DataFrame:
         if held and (made := rows(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield made
 
-    return stream.mapInArrow(run, kinds)
+    return stream.mapInArrow(giving_back(run), kinds)
 
 
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -298,8 +300,8 @@ class Words:
 
 
 def joined(batches):
-    """Rows of documents beside the answers of their part to documents, one row's after the other. Rows of a part follow each
-    other, so that its words are unpacked once."""
+    """Rows of documents to documents, one row's after the other. Rows of a part follow each other, and the answers stand
+    beside the first, so that a part's words travel and are unpacked once."""
     import pyarrow as pa
     import zstandard
 
@@ -321,6 +323,13 @@ def joined(batches):
                 begin = end
 
 
+def answered(documents: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of documents in order of part and place, the first of a part with its answers beside it, the others with null."""
+    d, a = documents.alias("d"), answers.hint("merge").alias("a")
+    met = d.join(a, (F.col("d.part") == F.col("a.part")) & (F.col("d.place") == 0), "left")
+    return met.select("d.*", "a.answers").sortWithinPartitions("part", "place")
+
+
 def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of each row of docs (doc_id, text): the ids as unsigned little-endian numbers of 32 bits, and
     the text that decoding them gives."""
@@ -333,8 +342,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     stream = encoded_words(words, path).join(F.broadcast(vocabulary(docs.sparkSession, path)), "id", "left").select("part", "code", "at", "id", "piece")
     answers = answers_of(stream)
     answers = answers.groupBy("part").agg(F.collect_list(F.struct("codes", "sizes", "ids", "texts")).alias("answers"))
-    documents = parts.where(F.col("doc_ids").isNotNull()).select("part", "doc_ids", "sizes", "codes")
-    return documents.join(answers.hint("merge"), "part", "left").mapInArrow(joined, ENCODED)
+    documents = parts.where(F.col("doc_ids").isNotNull()).select("part", F.col("first_code").alias("place"), "doc_ids", "sizes", "codes")
+    return answered(documents, answers).mapInArrow(giving_back(joined), ENCODED)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids") -> DataFrame:

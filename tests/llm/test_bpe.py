@@ -70,6 +70,14 @@ def test_each_distinct_word_is_encoded_once(spark):
     assert sum(x["at"] is not None and x.id is None for x in rows) == 1
 
 
+def test_answers_reach_a_part_once(spark):
+    """Not beside every row of its documents; rows of a part come in order, also of one without answers."""
+    documents = spark.createDataFrame([(p, k, [10 * p + k], [1], b"x") for p in (3, 1, 2) for k in (2, 0, 1)], "part long, place int, doc_ids array<long>, sizes array<int>, codes binary").repartition(2)
+    answers = spark.createDataFrame([(p, [(b"c", b"s", b"i", b"t")]) for p in (1, 2)], "part long, answers array<struct<codes: binary, sizes: binary, ids: binary, texts: binary>>")
+    rows = bpe.answered(documents, answers).collect()
+    assert {p: [(x.place, x.answers is not None) for x in rows if x.part == p] for p in (1, 2, 3)} == {1: [(0, True), (1, False), (2, False)], 2: [(0, True), (1, False), (2, False)], 3: [(0, False), (1, False), (2, False)]}
+
+
 def test_decode_ids(spark, library):
     lists = [[320, 1125, 49406, 7], [], None, [3, None, 10**8, 3], [49407]]
     d = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
