@@ -32,7 +32,7 @@ CLOSING_ID = 1
 DIMENSIONS, BITS, BUCKETS = 4, 15, 256
 #: Bytes of a worker's word cache, about: two halves, the older of which goes when the other is full. Workers keep it from
 #: task to task, so that an executor holds one for each worker.
-CACHE = 96 << 20
+CACHE = 160 << 20
 
 #: Texts of these characters alone are tokenized word by word: they are stable under NFC, lower-case one by one, and only
 #: the white space among them separates words. Other texts go through the tokenizer whole.
