@@ -34,6 +34,13 @@ DIMENSIONS, BITS, BUCKETS = 4, 15, 256
 #: task to task, so that an executor holds one for each worker.
 CACHE = 160 << 20
 
+#: Distinct words that are looked up, and where missing encoded, at a time.
+STEP_WORDS = 8192
+
+#: Signs of a word's tail, behind a letter or digit: tokens of their own anyway; apart, more words are found in the cache.
+#: They are neither letters nor digits, nor do they begin a token with letters, as "'" does.
+TAIL = re.compile(r"[.,;:!?*#$%&](?<=[^\W_].)[.,;:!?*#$%&]*(?=[ \t\n\x0b\x0c\r]|$)")
+
 #: Texts of these characters alone are tokenized word by word: they are stable under NFC, lower-case one by one, and only
 #: the white space among them separates words. Other texts go through the tokenizer whole.
 PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-įı-ňŊ-ž‐-‧‰-⁞]*")
@@ -62,6 +69,12 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
+        #: By id, whether its token ends a word; None where the tokenizer's tokens do not tell.
+        self.last: np.ndarray | None = None
+        if suffix := getattr(self.inner.model, "end_of_word_suffix", None):
+            vocabulary = self.inner.get_vocab(with_added_tokens=False)
+            self.last = np.zeros(max([*vocabulary.values(), self.inner.get_vocab_size(with_added_tokens=True)]) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -70,39 +83,63 @@ class WordTokenizer:
         return cls._made[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.inner.encode_batch(texts, add_special_tokens=False)]
+        words = [x for x in texts if x.isalpha()] if self.last is not None else []
+        made = self._in_one(words) if len(words) > 1 else {}
+        rest = [x for x in texts if x not in made]
+        made |= zip(rest, (np.asarray(e.ids, self.kind).tobytes() for e in self.inner.encode_batch_fast(rest, add_special_tokens=False)), strict=True)
+        return [made[x] for x in texts]
+
+    def _in_one(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, encoded as one text: each has one token that ends a word, its last. Nothing where the
+        count of such tokens is another, so that a word could have been cut."""
+        ids = np.asarray(self.inner.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return {}
+        raw, cuts = ids.tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
+        return {w: raw[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
 
     def encode(self, text: str) -> bytes:
         """The ids as bytes of self.kind."""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self._whole([text])[0]
-        words, cache = text.lower().split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode of each text. A word is looked up once, however often it stands in them."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [i for i, text in enumerate(texts) if "<|" not in text and PLAIN.fullmatch(text)]
+        # these texts' only white space is ASCII's
+        words = pc.ascii_split_whitespace(pa.array([TAIL.sub(r" \g<0>", texts[i].lower()) for i in plain], pa.large_string()))
+        found = words.flatten().dictionary_encode()
+        distinct = found.dictionary
+        ids = [pa.array([], pa.large_binary())]
+        for at in range(0, len(distinct), STEP_WORDS):
+            ids.append(pa.array(self._known(distinct.slice(at, STEP_WORDS).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()))
+        joined = pa.concat_arrays(ids).take(found.indices)
+        _, starts, data = joined.buffers()
+        cuts = np.frombuffer(starts, np.int64, len(joined) + 1)[words.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(plain) + 1)
+        view = memoryview(data or b"")
+        out: list[bytes | None] = [None] * len(texts)
+        for i, a, b in zip(plain, cuts, cuts[1:]):
+            out[i] = bytes(view[a:b])
+        return [self._whole([text])[0] if x is None else x for x, text in zip(out, texts, strict=True)]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, through the cache."""
         if self.held > CACHE // 2:
-            self.older, self.cache, self.held = cache, {}, 0
-            cache = self.cache
-        before, older = len(cache), self.older
-        missing = {w for w in words if w not in cache}
-        known = {w: older[w] for w in missing if w in older}
-        parts = {w: self._split(w) for w in missing if w not in known}
-        pieces = {p for x in parts.values() for p in x if p not in cache}
-        known |= {p: older[p] for p in pieces if p in older}
-        new = [p for p in pieces if p not in known]
-        cache.update(known)
-        cache.update(zip(new, self._whole(new), strict=True))
-        for w, x in parts.items():
-            cache[w] = b"".join(cache[p] for p in x)
-        self.held += 180 * (len(cache) - before) + 6 * (sum(map(len, new)) + sum(map(len, known)))
-        return b"".join([cache[w] for w in words])
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, ...]:
-        """Letters and a tail of stops are tokens apart anyway; apart, more words are found in the cache."""
-        stem = word.rstrip(".,")
-        return (stem, word[len(stem) :]) if stem and stem != word and stem[-1].isalpha() else (word,)
+            self.older, self.cache, self.held = self.cache, {}, 0
+        cache, older = self.cache, self.older
+        out = list(map(cache.get, words))
+        missing = [w for w, x in zip(words, out, strict=True) if x is None]
+        if not missing:
+            return out
+        found = {w: older[w] for w in missing if w in older}
+        new = [w for w in missing if w not in found]
+        found |= zip(new, self._whole(new), strict=True)
+        cache.update(found)
+        self.held += 180 * len(found) + 6 * sum(map(len, found))
+        return [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -160,11 +197,11 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         words, project, pack = WordTokenizer.of(tokenizer), Projection(), zstandard.ZstdCompressor(level=3)
         closing = np.asarray([CLOSING_ID], words.kind).tobytes()
-        ids = [words.encode(t or "") + closing for t in batch["text"]]
+        ids = [x + closing for x in words.encode_all([t or "" for t in batch["text"]])]
         cells = np.array([project.cells(np.frombuffer(x, words.kind).astype(np.int64)) for x in ids])
         return {"doc_id": batch["doc_id"], "curve": hilbert_key(cells, BITS).tolist(), "n_tokens": [len(x) // words.kind.itemsize for x in ids], "ids": [pack.compress(x) for x in ids]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, curve long, n_tokens long, ids binary")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, curve long, n_tokens long, ids binary", 4 << 20)
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

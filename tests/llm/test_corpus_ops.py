@@ -69,6 +69,36 @@ def test_word_tokenizer_agrees():
         assert np.frombuffer(t.encode(text), t.kind).tolist() == t.inner.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_reach_the_tokenizer_together(monkeypatch):
+    """Words of letters that no cache holds are encoded as one text, not one by one."""
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    inner, sent = t.inner, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return (lambda texts, **k: sent.extend(texts) or getattr(inner, name)(texts, **k)) if name.startswith("encode_batch") else getattr(inner, name)
+
+    monkeypatch.setattr(t, "inner", Counting())
+    r = random.Random(3)
+    text = " ".join("".join(r.choices("aeinorstéß", k=9)) + r.choice(["", ",", ".", "***", "?!"]) for _ in range(5000))
+    assert np.frombuffer(t.encode(text), t.kind).tolist() == inner.encode(text, add_special_tokens=False).ids
+    assert len(sent) < 20
+
+
+@pytest.mark.parametrize("telling", [True, False])
+def test_texts_of_a_part_agree(monkeypatch, telling):
+    """Every character of word-wise texts, tails of signs, empty texts and others, all at once; also where an encoded
+    text does not tell its words apart."""
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    if not telling:
+        monkeypatch.setattr(t, "last", np.zeros_like(t.last))
+    signs = [c for c in map(chr, range(0x2100)) if packing.PLAIN.fullmatch(c)]
+    texts = ["", " \n\t", *(x or "" for x in ODD), *(f"{c} a{c}b {c}{c}X, x{c}. A{c}'s q{c}*** 5{c}%" for c in signs), "a'*s it's?! <|endoftext|> b", "x\x0b\x0cy  z ", "ﬁ á b&#$", ""]
+    got = [np.frombuffer(x, t.kind).tolist() for x in t.encode_all(texts)]
+    assert got == [t.inner.encode(x, add_special_tokens=False).ids for x in texts]
+    assert t.encode_all([]) == [] and t.encode_all(["", "Ω"])[0] == b"" and t.encode_all(["Ω"]) == [t.encode("Ω")]
+
+
 def test_word_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 20_000)
     t = packing.WordTokenizer(packing.default_tokenizer())
