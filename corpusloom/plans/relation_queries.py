@@ -315,7 +315,7 @@ def dlt_21_margin_filter(spark, sf_dir):
     key = F.col("doc_id")
     some = docs(spark, sf_dir).where("doc_id % 4 = 0")
     renames = some.select(key.alias("from"), (key + 1_000_000).alias("to"), F.lit(900).alias("similarity_milli"))
-    scores = some.select(key.alias("from"), F.when(key % 12 == 0, key + 2_000_000).otherwise(key + 1_000_004).alias("added"), F.when(key % 8 == 0, 950).otherwise(500).alias("milli"))
+    scores = some.select(key.alias("from"), F.when(key % 12 == 0, key + 2_000_000).otherwise(key + 1_000_004).alias("added"), F.when(key % 8 == 0, 950).otherwise(500).alias("milli"), (key % 12 == 0).alias("decoy"))
     close, contested = D.margin_filter(renames, scores)
     return close.select(F.lit("decoy").alias("kind"), F.col("added").alias("key")).union(contested.select(F.lit("rename"), "from"))
 
