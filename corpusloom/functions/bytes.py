@@ -54,8 +54,9 @@ def strict_text(raw: bytes) -> tuple[str, str] | None:
 SCHEMA = "key string, encoding string, bom boolean, bytes long, printable double, digitish double, entropy double, text string"
 
 
-def featured(files: DataFrame, key: str = "path", content: str = "content", with_text: bool = True) -> DataFrame:
-    """A row for each file with its byte features; text is the thinned prefix, one character per byte."""
+def featured(files: DataFrame, key: str = "path", content: str = "content", with_text: bool = True, prefix: int | None = PREFIX) -> DataFrame:
+    """A row for each file with the byte features of its prefix, or of all of it where prefix is None; text is what was
+    read, thinned, one character per byte."""
     from pyspark.sql import functions as F
 
     def run(batches):
@@ -63,8 +64,8 @@ def featured(files: DataFrame, key: str = "path", content: str = "content", with
 
         for batch in batches:
             rows = []
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name, bom, data = thinned(raw or b"")
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one file's bytes at a time
+                name, bom, data = thinned(value.as_py() or b"")
                 shares = byte_features(data) if data else (0.0, 0.0, 0.0)
                 rows.append((k, name, bom, len(data), *shares, data.decode("latin-1") if with_text else None))
             names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -72,7 +73,8 @@ def featured(files: DataFrame, key: str = "path", content: str = "content", with
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return files.select(F.col(key).cast("string"), F.substring(content, 1, PREFIX)).mapInArrow(run, SCHEMA)
+    read = F.col(content) if prefix is None else F.substring(content, 1, prefix)
+    return files.select(F.col(key).cast("string"), read).mapInArrow(run, SCHEMA)
 
 
 def _trigrams(data: bytes) -> np.ndarray:

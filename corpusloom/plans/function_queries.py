@@ -140,14 +140,15 @@ BYTES = """h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text
 
 def features(spark, sf_dir):
     some = docs(spark, sf_dir).where("text IS NOT NULL AND text <> ''")
-    return B.featured(some.select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", with_text=False).select(F.col("key").cast("long").alias("doc_id"), "bytes", "printable", "digitish", "entropy")
+    return B.featured(some.select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", with_text=False, prefix=None).select(F.col("key").cast("long").alias("doc_id"), "bytes", "printable", "digitish", "entropy")
 
 
 @query("WITH u AS (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, count_if(x <> '' AND unicode(x) % 256 > 0) AS bytes FROM u GROUP BY 1 HAVING max(unicode(x)) < 65536")
 def txt_02_thinned(spark, sf_dir):
-    wide = docs(spark, sf_dir).where("text IS NOT NULL AND NOT text rlike '[\\\\x{10000}-\\\\x{10FFFF}]' AND text <> ''")
-    content = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
-    return B.featured(wide.select("doc_id", content.alias("content")), "doc_id", with_text=False).select(F.col("key").cast("long").alias("doc_id"), "bytes")
+    """Rows of one doc_id count together; one with a character beyond 16 bits has no content, so no mark, and takes its doc_id out."""
+    content = F.when(~F.col("text").rlike("[\\x{10000}-\\x{10FFFF}]"), F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    made = B.featured(docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", content.alias("content")), "doc_id", with_text=False, prefix=None)
+    return made.groupBy(F.col("key").cast("long").alias("doc_id")).agg(F.sum("bytes").alias("bytes"), F.bool_and("bom").alias("narrow")).where("narrow").select("doc_id", "bytes")
 
 
 @query(f"WITH {BYTES} SELECT doc_id, cast(sum(c) FILTER (b IN ('09', '0A', '0D') OR (b >= '20' AND b <= '7E')) AS BIGINT) AS printable FROM c GROUP BY 1")

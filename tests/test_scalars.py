@@ -1,6 +1,10 @@
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from corpusloom.functions import scalars as S
 from corpusloom.functions import text as T
+from corpusloom.plans.queries import QUERIES, SQL
 from pyspark.sql import functions as F
 
 
@@ -64,3 +68,22 @@ def test_include_target(spark, line, target):
 def test_qualified(spark):
     got = spark.createDataFrame([("ns::A<B<int>>::f",)], "v string").select(*S.owner_and_last(F.col("v"))).first()
     assert tuple(got) == ("ns::A::f", "ns::A", "f")
+
+
+def test_bytes_of_whole_texts(spark, tmp_path):
+    """Empty texts and texts longer than a profile's prefix count whole; one with a character beyond 16 bits is left out."""
+    texts = {0: "", 1: None, 2: "a\0\u0100\u00e9", 3: "x\U0001f600", 4: "\u00e9" * 2_097_151, 5: "\u00e9" * 2_100_000, 6: "x1" * 2_150_000}
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    pq.write_table(pa.table({"doc_id": list(texts), "text": list(texts.values())}, kinds), tmp_path / "documents.parquet")
+    found = lambda name: {r.doc_id: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found("txt_02_thinned") == {0: 0, 2: 2, 4: 2_097_151, 5: 2_100_000, 6: 4_300_000}
+    assert found("txt_03_printable")[6] == found("txt_04_digitish")[6] == 4_300_000 and found("txt_05_entropy")[6] == 1.0
+
+
+def test_odd_rows_by_sql(spark, tmp_path):
+    """Empty texts, rows without a doc_id, and rows that share one, of which one may be wide."""
+    rows = [(0, ""), (1, "ab"), (2, "c"), (2, "de"), (3, "f"), (3, "\U0001f600"), (None, "g"), (None, "h"), (4, None)]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), tmp_path / "documents.parquet")
+    wanted = duckdb.execute(SQL["txt_02_thinned"].replace("documents", f"'{tmp_path}/documents.parquet'")).fetchall()
+    assert set(wanted) == {(0, 0), (1, 2), (2, 3), (None, 2)}
+    assert sorted((tuple(r) for r in QUERIES["txt_02_thinned"](spark, str(tmp_path)).collect()), key=repr) == sorted(wanted, key=repr)
