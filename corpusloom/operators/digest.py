@@ -1,18 +1,21 @@
 """Canonical digests of relations: SHA-256 over sections of sorted records.
 
 Fields are joined by US, each record is followed by RS, sections are separated by GS and always present. Except in the
-truth digest, a section holds each record once. A section is sorted as an array in one row, which fits tables of truth
-(2 GB); tree_sha and list_sha stream instead.
+truth digest, a section holds each record once. Records are sorted in parallel, in ranges, and written as pieces of text.
+SHA-256 itself goes through its input one piece after another: one task takes the sorted pieces and holds a batch of them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 US, RS, GS = "\x1f", "\x1e", "\x1d"
 
 
@@ -25,30 +28,75 @@ def flag(c: str | Column) -> Column:
     return F.when(F.col(c) if isinstance(c, str) else c, "1").otherwise("0")
 
 
-def section(df: DataFrame, rec: Column, name: str, distinct: bool = True) -> DataFrame:
-    """One row with the section's text in column name."""
-    gathered = F.collect_set(rec) if distinct else F.collect_list(rec)
-    ordered = df.agg(F.array_sort(gathered).alias("r"))
-    return ordered.select(F.concat(F.array_join("r", RS), F.when(F.size("r") > 0, RS).otherwise("")).alias(name))
+#: Bytes of text in a row of what is digested.
+PIECE = 16 << 10
+
+
+def section(df: DataFrame, rec: Column, distinct: bool = True) -> DataFrame:
+    """The section's records (once, text)."""
+    return df.select(F.lit(distinct).alias("once"), rec.alias("text"))
+
+
+def pieces(sections: list[DataFrame]) -> DataFrame:
+    """(section, part, n, text): the sections' records in order, each with RS behind it, cut into pieces of PIECE bytes at
+    most. Where a section holds a record once, equal ones meet in one part and follow each other there."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, n, last = TaskContext.get().partitionId(), 0, (None, None)
+        for batch in batches:
+            for at in pc.unique(batch.column(0)).to_pylist():  # few: batches are sorted by section
+                rows = batch.filter(pc.equal(batch.column(0), at))
+                text = rows.column(2)
+                before = pa.array([last[1] if last[0] == at else None], text.type)
+                last = at, text[-1].as_py()
+                if rows.column(1)[0].as_py():
+                    before = pa.concat_arrays([before, text[:-1]])
+                    text = text.filter(pc.fill_null(pc.not_equal(text, before), True))
+                joined = pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text)
+                ended = pc.binary_join(joined, RS.encode())[0].as_py() + RS.encode() if len(text) else b""
+                cut = [ended[i : i + PIECE] for i in range(0, len(ended), PIECE)]
+                columns = ([at] * len(cut), pa.int32()), ([part] * len(cut), pa.int32()), (range(n, n + len(cut)), pa.int64()), (cut, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["section", "part", "n", "text"])
+                n += len(cut)
+
+    rows = [s.select(F.lit(i).alias("section"), "once", F.col("text").cast("binary").alias("text")) for i, s in enumerate(sections)]
+    dealt = functools.reduce(DataFrame.unionByName, rows).repartitionByRange("section", "text").sortWithinPartitions("section", "text")
+    return dealt.mapInArrow(run, "section int, part int, n long, text binary")
 
 
 def combined(*sections: DataFrame) -> DataFrame:
-    """One row sha: the digest of sections (one row, one column each)."""
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.crossJoin(s)
-    return out.select(F.sha2(F.concat_ws(GS, *[s.columns[0] for s in sections]), 256).alias("sha"))
+    """One row sha: the digest of sections."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        h, now = hashlib.sha256(), 0
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h.update(GS.encode() * (at - now))
+                h.update(text.as_buffer())
+                now = at
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["sha"])
+
+    cut = written(pieces(list(sections)), "pieces")
+    end = cut.sparkSession.range(1).select(F.lit(len(sections) - 1).alias("section"), F.lit((1 << 31) - 1).alias("part"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("text"))
+    whole = cut.unionByName(end).coalesce(1).sortWithinPartitions("section", "part", "n")
+    return whole.select("section", "text").mapInArrow(run, "sha string")
 
 
 def truth_sha(symbols: DataFrame) -> DataFrame:
     """symbols: name, def, refs array, edges array (strings), expected_miss. Refs and edges keep repetitions."""
     listed = lambda c: F.array_join(F.array_sort(F.coalesce(c, F.array().cast("array<string>"))), ",")
-    return combined(section(symbols, record("name", "def", listed(F.col("refs")), listed(F.col("edges")), flag("expected_miss")), "s1", False))
+    return combined(section(symbols, record("name", "def", listed(F.col("refs")), listed(F.col("edges")), flag("expected_miss")), False))
 
 
 def indirect_sha(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges: source, target, via, dispatched, resolved; roots: name."""
-    return combined(section(edges, record("source", "target", "via", flag("dispatched"), flag("resolved")), "s1"), section(roots, record("name"), "s2"))
+    return combined(section(edges, record("source", "target", "via", flag("dispatched"), flag("resolved"))), section(roots, record("name")))
 
 
 def cpp_sha(virtual: DataFrame, implicit: DataFrame, member_ptr: DataFrame, kinds: DataFrame, static_roots: DataFrame) -> DataFrame:
@@ -56,11 +104,11 @@ def cpp_sha(virtual: DataFrame, implicit: DataFrame, member_ptr: DataFrame, kind
     dispatched; kinds: name, kind, instance_of; static_roots: name."""
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c))), ",")
     return combined(
-        section(virtual, record("source", "static", names("cha"), names("rta")), "s1"),
-        section(implicit, record("source", "target"), "s2"),
-        section(member_ptr, record("source", "target", "via", flag("dispatched")), "s3"),
-        section(kinds.where("kind IS NOT NULL"), record("name", "kind", "instance_of"), "s4"),
-        section(static_roots, record("name"), "s5"),
+        section(virtual, record("source", "static", names("cha"), names("rta"))),
+        section(implicit, record("source", "target")),
+        section(member_ptr, record("source", "target", "via", flag("dispatched"))),
+        section(kinds.where("kind IS NOT NULL"), record("name", "kind", "instance_of")),
+        section(static_roots, record("name")),
     )
 
 
@@ -68,10 +116,10 @@ def diff_sha(files: DataFrame, hunks: DataFrame, runs: DataFrame, renames: DataF
     """files: path, reason, old_sha, new_sha, old_size, new_size; hunks: path, op, old_start, old_lines, new_start,
     new_lines; runs: path, op, stride, range_start, range_end, per_hunk; renames: from, to, similarity_milli."""
     return combined(
-        section(files, record("path", "reason", "old_sha", "new_sha", "old_size", "new_size"), "s1"),
-        section(hunks, record("path", "op", "old_start", "old_lines", "new_start", "new_lines"), "s2"),
-        section(runs, record("path", "op", "stride", "range_start", "range_end", "per_hunk"), "s3"),
-        section(renames, record("from", "to", "similarity_milli"), "s4"),
+        section(files, record("path", "reason", "old_sha", "new_sha", "old_size", "new_size")),
+        section(hunks, record("path", "op", "old_start", "old_lines", "new_start", "new_lines")),
+        section(runs, record("path", "op", "stride", "range_start", "range_end", "per_hunk")),
+        section(renames, record("from", "to", "similarity_milli")),
     )
 
 
@@ -79,8 +127,8 @@ def conflict_sha(conflicts: DataFrame, clean: DataFrame) -> DataFrame:
     """conflicts: path, base_start, base_lines, v1_op, v1_new_start, v1_new_lines, v2_op, v2_new_start, v2_new_lines;
     clean: path, side, op, old_start, old_lines, new_start, new_lines."""
     return combined(
-        section(conflicts, record("path", "base_start", "base_lines", "v1_op", "v1_new_start", "v1_new_lines", "v2_op", "v2_new_start", "v2_new_lines"), "s1"),
-        section(clean, record("path", "side", "op", "old_start", "old_lines", "new_start", "new_lines"), "s2"),
+        section(conflicts, record("path", "base_start", "base_lines", "v1_op", "v1_new_start", "v1_new_lines", "v2_op", "v2_new_start", "v2_new_lines")),
+        section(clean, record("path", "side", "op", "old_start", "old_lines", "new_start", "new_lines")),
     )
 
 

@@ -3,6 +3,7 @@
 import hashlib
 
 from corpusloom.operators import digest as G
+from pyspark.sql import functions as F
 
 TRUTH = "7de5e47c16574fd481e461173401dbbe2c874e8712c61049b8830c3a78775d6e"
 INDIRECT = "fa9432bd75cd97b7d0a509f885f964b86b8ef41d449cc8c23b1b79df1aa1572f"
@@ -48,6 +49,31 @@ def test_empty_sections(spark):
     assert G.indirect_sha(none, spark.createDataFrame([], "name string")).first().sha == "1f18d650d205d71d934c3646ff5fac1c096ba52eba4cf758b865364f4167d3cd"
 
 
+def test_sections_over_many_parts(spark):
+    """Records of several sections in many parts and batches, repeated ones on both sides of a batch's edge, a record longer
+    than a piece; sections at either end and between may be empty."""
+    none = spark.createDataFrame([], "v string")
+    some = [f"k{i * 7919 % 5000:05d}" for i in range(9000)] + ["", "é", "\U0001f600", "\uffff", "x" * 3 * G.PIECE] * 2
+    df = spark.createDataFrame([(x,) for x in some], "v string").repartition(5)
+    text = lambda rows: "".join(x + G.RS for x in sorted(rows, key=str.encode))
+    sha = lambda *parts: hashlib.sha256(G.GS.join(parts).encode()).hexdigest()
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        once, each = G.section(df, G.record("v")), G.section(df, G.record("v"), False)
+        assert G.combined(once).first().sha == sha(text(set(some)))
+        assert G.combined(each).first().sha == sha(text(some))
+        empty = G.section(none, G.record("v"))
+        assert G.combined(empty, once, empty, each, empty).first().sha == sha("", text(set(some)), "", text(some), "")
+        assert G.combined(empty).first().sha == sha("") and G.combined(empty, empty).first().sha == sha("", "")
+        held = G.pieces([each]).agg(F.max(F.octet_length("text")), F.sum(F.octet_length("text")), F.count_distinct("part")).first()
+        assert held[0] == G.PIECE and held[1] == len(text(some).encode()) and held[2] == 4  # no row holds a section
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_tree_and_list(spark):
     files = spark.createDataFrame([("b", bytearray(b"2")), ("a", bytearray(b"11"))], "path string, content binary")
     assert G.tree_sha(files) == hashlib.sha256(b"a\n2\n11b\n1\n2").hexdigest()
