@@ -6,6 +6,7 @@ import json
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,39 @@ def test_hot_lines_make_no_pairs(spark):
     kept = D.without_commonest(df, counts, 1).where(~F.col("common"))
     assert kept.where("line = 'hot'").count() == 0 and kept.count() == 1000
     assert D.similarities(df, df, least=2).where("a <> b").collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_searched_texts_against_all_pairs(spark, monkeypatch, few):
+    """Copies by the dozen, some with lines of their own, hot lines, texts without shared lines; classes dealt to several
+    chunks and tasks, with and without broadcasts."""
+    from corpusloom.operators import delta as D
+
+    for name, value in (("CHUNK", 3), ("PAIRS_A_TASK", 50), ("FEW_MARKS", few), ("FEW_BYTES", few)):
+        monkeypatch.setattr(D, name, value)
+    r, texts = random.Random(5), {}
+    for k in range(150):
+        kind = k % 7
+        texts[k] = ["hot"] * (1 + kind % 2) + ([f"copy{i}" for i in range(kind)] if kind < 4 else [f"l{r.randrange(40)}" for _ in range(r.choice((0, 1, 4, 9)))]) + [f"own{k}"] * (k % 3)
+    want = {}
+    for a in (k for k in texts if k % 5 == 0):
+        for b in texts.keys() - {a}:
+            x, y = Counter(texts[a]), Counter(texts[b])
+            if len(x.keys() & y.keys()) >= 2:
+                common, most = sum((x & y).values()), max(len(texts[a]), len(texts[b]))
+                want[a, b] = (common, (1000 * common + most // 2) // most)
+    rows = spark.createDataFrame([(k, x) for k, lines in texts.items() for x in lines], "key long, line string").repartition(3)
+    got = D.searched(rows, F.col("key") % 5 == 0, 2).collect()
+    assert len(got) == len(want) and {(x.a, x.b): (x.common, x.milli) for x in got} == want
+
+
+def test_copies_are_compared_once(spark):
+    """1,000 texts alike in the lines they share are one class, whose pair with itself is all that is compared."""
+    from corpusloom.operators import delta as D
+
+    bags = spark.createDataFrame([(k, line, 1) for k in range(1000) for line in ("x", "y", f"own{k}")], "key long, line string, c long")
+    ours, theirs, counts = D.shared_lines(bags.where("key % 20 = 0"), bags, True)
+    assert counts.count() == 2 and ours.count() == 100 and theirs.count() == 2000
+    texts, kinds = D.kinds(theirs, 2)
+    assert [tuple(r) for r in texts.select("class", "n").distinct().collect()] == [(0, 1000)] and kinds.count() == 2
+    assert D.similarities(bags.where("key % 20 = 0"), bags, least=2, others=True).count() == 50 * 999
